@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NO_ARTICLE = "Readability could not parse article"
 
@@ -62,7 +63,7 @@ def article_text(html: str | None) -> str | None:
     return _tidy(parser.article) or _tidy(parser.body) or None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _article(html: pd.Series) -> pd.Series:
     return html.map(article_text)
 

@@ -139,23 +139,24 @@ def deep_dive(
         F.pmod(digest, F.col("ga")).alias("i"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("gf") - 1).cast("bigint"))).alias("j"),
     )
+    # Fresh names on this side keep the two branches of one source apart.
     followers = v.withColumnRenamed("s", "sf").join(grid, "sf").select(
-        "vec_id", "us", "embedding", "s", "d",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("ga") - 1).cast("bigint"))).alias("i"),
-        F.pmod(digest, F.col("gf")).alias("j"),
+        F.col("vec_id").alias("f_id"), F.col("us").alias("f_us"), F.col("embedding").alias("f_embedding"),
+        F.col("s").alias("fs"), F.col("d").alias("fd"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("ga") - 1).cast("bigint"))).alias("fi"),
+        F.pmod(digest, F.col("gf")).alias("fj"),
     )
-    block = ["s", "d", "i", "j"]
     band = int(hours * 3600 * 1e6)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"vec_id": [], "n": [], "best": [], "best_id": []}
         if len(left) and len(right):
-            r = _unit(right)
-            r_us, r_id = right["us"].to_numpy(), right["vec_id"].to_numpy()
+            r = _unit(right["f_embedding"])
+            r_us, r_id = right["f_us"].to_numpy(), right["f_id"].to_numpy()
             step = max(1, 4_000_000 // len(right))
             for at in range(0, len(left), step):
                 part = left.iloc[at : at + step]
-                sim = _unit(part) @ r.T
+                sim = _unit(part["embedding"]) @ r.T
                 gap = r_us[None, :] - part["us"].to_numpy()[:, None]
                 sim = np.where((gap > 0) & (gap < band) & (sim > threshold), sim, -np.inf)
                 n = (sim > -np.inf).sum(axis=1)
@@ -167,14 +168,16 @@ def deep_dive(
                     out["best_id"].append(r_id[best[i]])
         return pd.DataFrame(out).astype({"vec_id": "int64", "n": "int64", "best": "float64", "best_id": "int64"})
 
-    partial = anchors.groupBy(*block).cogroup(followers.groupBy(*block)).applyInPandas(compare, _DIVE)
+    partial = (
+        anchors.groupBy("s", "d", "i", "j").cogroup(followers.groupBy("fs", "fd", "fi", "fj")).applyInPandas(compare, _DIVE)
+    )
     return partial.groupBy("vec_id").agg(
         F.sum("n").alias("n_related"), F.max("best").alias("best_similarity"), F.max_by("best_id", "best").alias("best_id")
     )
 
 
-def _unit(frame: pd.DataFrame) -> np.ndarray:
-    m = np.stack(frame["embedding"].to_numpy())
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack(vectors.to_numpy())
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norms == 0, 1.0, norms)
 

@@ -38,13 +38,10 @@ def carried_last(
     end = Window.currentRow if include_current else -1
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     scanned = d.withColumn("_local", F.last("_v", ignorenulls=True).over(local))
-    per_chunk = (
-        d.filter(F.col("_v").isNotNull())
-        .groupBy(*keys, "_chunk")
-        .agg(F.max_by("_v", F.struct(*order)).alias("_last"))
+    # Chunks without a value are listed too (NULL), because they need the carry.
+    chunks = d.groupBy(*keys, "_chunk").agg(
+        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_last")
     )
-    # A chunk without a value needs the carry too, so every occupied chunk is listed.
-    chunks = d.groupBy(*keys, "_chunk").agg().join(per_chunk, [*keys, "_chunk"], "left")
     across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = chunks.select(*keys, "_chunk", F.last("_last", ignorenulls=True).over(across).alias("_carry"))
     return (
