@@ -36,7 +36,6 @@ LINK_TYPES = (
     "publish.completed",
     "link.visibility_changed",
 )
-_EMPTY = F.array
 
 
 def _is(kind: str) -> Column:
@@ -196,7 +195,7 @@ def link_content(partials: DataFrame) -> DataFrame:
 def link_metadata(partials: DataFrame) -> DataFrame:
     return partials.filter(F.col("m_last").isNotNull()).select(
         "subject_id",
-        F.coalesce("m_tags.v", _EMPTY().cast("array<string>")).alias("tags"),
+        F.coalesce("m_tags.v", F.array().cast("array<string>")).alias("tags"),
         *[F.col(f"m_{c}.v").alias(c) for c in ("summary_short", "summary_long", "language", "model_version")],
         F.col("m_last.v").alias("updated_at"),
     )
@@ -213,30 +212,33 @@ def publish_state(partials: DataFrame) -> DataFrame:
     )
 
 
-def merge_partials(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Combine the partials of an earlier prefix of the stream with those of a later batch."""
-    counts = ("n_err", "n_enrich", "n_before_pub")
+def merge_partials(
+    old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("subject_id",), first: tuple[str, ...] = ("added",)
+) -> DataFrame:
+    """Combine the partials of an earlier prefix of the stream with those of a later batch.
+
+    Columns in `first` keep the older value, counts add up, and every other column
+    takes the newer value where there is one, because later batches hold later
+    positions.
+    """
     o, n = old.alias("o"), new.alias("n")
     zero = F.lit(0).cast("bigint")
 
     def num(side: str, name: str) -> Column:
         return F.coalesce(F.col(f"{side}.{name}"), zero)
 
-    columns: list[Column] = [F.coalesce("o.subject_id", "n.subject_id").alias("subject_id")]
-    for name in old.columns:
-        if name == "subject_id":
-            continue
-        if name == "added":
-            merged = F.coalesce("o.added", "n.added")
+    columns: list[Column] = [F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys]
+    for name in (c for c in old.columns if c not in keys):
+        if name in first:
+            merged = F.coalesce(f"o.{name}", f"n.{name}")
         elif name == "n_before_pub":
             merged = F.when(F.col("n.pub").isNotNull(), num("o", "n_enrich") + num("n", name)).otherwise(num("o", name))
-        elif name in counts:
+        elif name.startswith("n_"):
             merged = num("o", name) + num("n", name)
         else:
-            # Later batches hold later positions, so the newer value wins when present.
             merged = F.coalesce(f"n.{name}", f"o.{name}")
         columns.append(merged.alias(name))
-    return o.join(n, F.col("o.subject_id") == F.col("n.subject_id"), "full_outer").select(*columns)
+    return o.join(n, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys], "full_outer").select(*columns)
 
 
 # ------------------------------------------------- links, "sql" dialect
@@ -324,7 +326,7 @@ def link_metadata_sql(events: DataFrame) -> DataFrame:
     a = F.col("a_ord")
     return agg.filter(F.col("at.ord") > a).select(
         "subject_id",
-        F.coalesce(F.when(F.col("tags.ord") > a, F.col("tags.v")), _EMPTY().cast("array<string>")).alias("tags"),
+        F.coalesce(F.when(F.col("tags.ord") > a, F.col("tags.v")), F.array().cast("array<string>")).alias("tags"),
         *[F.when(F.col(n)["ord"] > a, F.col(n)["v"]).alias(n) for n in fields],
         F.col("at.v").alias("updated_at"),
     )
@@ -350,12 +352,9 @@ def publish_state_sql(events: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- subjects
 
 
-def subjects(events: DataFrame) -> DataFrame:
-    """First event fixes the row, a todo's title follows, visibility by subject id alone."""
-    ev = _decoded(
-        events,
-        ("link.added", "temp.reading_recorded", "todo.created", "annotation.added", "link.visibility_changed"),
-    )
+def subject_partials(events: DataFrame) -> DataFrame:
+    """Per (subject, subject_id): the creating event and the last todo title."""
+    ev = _decoded(events, ("link.added", "temp.reading_recorded", "todo.created", "annotation.added"))
     usable = (
         (_is("link.added") & present("p.url"))
         | (_is("temp.reading_recorded") & has_key(unwrap_payload("payload"), "celsius"))
@@ -380,7 +379,7 @@ def subjects(events: DataFrame) -> DataFrame:
         .otherwise("{}")
         .alias("meta"),
     )
-    base = (
+    return (
         ev.filter(usable)
         .withColumn("subject", kind)
         .groupBy("subject", "subject_id")
@@ -389,11 +388,15 @@ def subjects(events: DataFrame) -> DataFrame:
             _last(F.col("p.title"), _is("todo.created")).alias("title"),
         )
     )
-    changes = (
-        ev.filter(_is("link.visibility_changed") & valid_visibility("p.visibility"))
-        .groupBy("subject_id")
-        .agg(_last(F.col("p.visibility"), F.lit(True)).alias("vis"))
-    )
+
+
+def visibility_partials(events: DataFrame) -> DataFrame:
+    """Per subject_id: the last valid visibility change."""
+    ev = _decoded(events, ("link.visibility_changed",)).filter(valid_visibility("p.visibility"))
+    return ev.groupBy("subject_id").agg(_last(F.col("p.visibility"), F.lit(True)).alias("vis"))
+
+
+def subjects_from(base: DataFrame, changes: DataFrame) -> DataFrame:
     return base.join(changes, "subject_id", "left").select(
         "subject",
         "subject_id",
@@ -404,19 +407,24 @@ def subjects(events: DataFrame) -> DataFrame:
     )
 
 
+def subjects(events: DataFrame) -> DataFrame:
+    """First event fixes the row, a todo's title follows, visibility by subject id alone."""
+    return subjects_from(subject_partials(events), visibility_partials(events))
+
+
 # -------------------------------------------------------------- sensors
 
 
-def temperature_readings(events: DataFrame, dialect: str = "imperative") -> DataFrame:
-    """One row per (subject, time): the first arrival wins, in the sql dialect the last."""
+def reading_partials(events: DataFrame, dialect: str = "imperative") -> DataFrame:
     ev = _decoded(events, ("temp.reading_recorded",)).filter(F.col("p.celsius").isNotNull())
     value = F.struct("p.celsius", "p.humidity", "p.battery")
     pick = F.min_by if dialect == "imperative" else F.max_by
-    return (
-        ev.groupBy("subject_id", "occurred_at")
-        .agg(pick(value, F.col("ord")).alias("v"))
-        .select("subject_id", "occurred_at", "v.celsius", "v.humidity", "v.battery")
-    )
+    return ev.groupBy("subject_id", "occurred_at").agg(pick(value, F.col("ord")).alias("v"))
+
+
+def temperature_readings(events: DataFrame, dialect: str = "imperative") -> DataFrame:
+    """One row per (subject, time): the first arrival wins, in the sql dialect the last."""
+    return reading_partials(events, dialect).select("subject_id", "occurred_at", "v.celsius", "v.humidity", "v.battery")
 
 
 def temperature_latest(events: DataFrame, dialect: str = "imperative") -> DataFrame:
@@ -425,7 +433,10 @@ def temperature_latest(events: DataFrame, dialect: str = "imperative") -> DataFr
         ev = _decoded(events, ("temp.reading_recorded",)).filter(F.col("p.celsius").isNotNull())
         value = F.struct("occurred_at", "p.celsius", "p.humidity", "p.battery")
         return ev.groupBy("subject_id").agg(F.max_by(value, F.col("ord")).alias("v")).select("subject_id", "v.*")
-    readings = temperature_readings(events)
+    return latest_of(temperature_readings(events))
+
+
+def latest_of(readings: DataFrame) -> DataFrame:
     value = F.struct("occurred_at", "celsius", "humidity", "battery")
     return readings.groupBy("subject_id").agg(F.max_by(value, "occurred_at").alias("v")).select("subject_id", "v.*")
 
@@ -433,18 +444,25 @@ def temperature_latest(events: DataFrame, dialect: str = "imperative") -> DataFr
 # ---------------------------------------------------- todos, annotations
 
 
-def todos(events: DataFrame) -> DataFrame:
+def todo_partials(events: DataFrame) -> DataFrame:
     ev = _decoded(events, ("todo.created", "todo.completed"))
     created = _is("todo.created") & present("p.title")
-    agg = ev.groupBy("subject_id").agg(
+    return ev.groupBy("subject_id").agg(
         _first(meta_json("source"), created).alias("first"),
-        _last(F.struct("p.title", F.coalesce("p.labels", _EMPTY().cast("array<string>")).alias("labels"), "occurred_at"), created).alias("last"),
+        _last(F.struct("p.title", F.coalesce("p.labels", F.array().cast("array<string>")).alias("labels"), "occurred_at"), created).alias("last"),
         _last(F.col("p.project"), created & F.col("p.project").isNotNull()).alias("project"),
         _last(F.col("p.due_at"), created & F.col("p.due_at").isNotNull()).alias("due"),
         _last(F.col("occurred_at"), _is("todo.completed")).alias("done"),
     )
+
+
+def todos(events: DataFrame) -> DataFrame:
+    return todos_from(todo_partials(events))
+
+
+def todos_from(partials: DataFrame) -> DataFrame:
     done = F.coalesce(F.col("done.ord") > F.col("first.ord"), F.lit(False))
-    return agg.filter(F.col("first").isNotNull()).select(
+    return partials.filter(F.col("first").isNotNull()).select(
         "subject_id",
         F.col("last.v.title").alias("title"),
         F.col("project.v").alias("project"),
@@ -456,14 +474,14 @@ def todos(events: DataFrame) -> DataFrame:
     )
 
 
-def annotations(events: DataFrame) -> DataFrame:
-    """Keyed by annotation id; the first event whose parent link exists creates the row."""
-    ev = _decoded(events, ("link.added", "annotation.added"))
-    parents = (
-        ev.filter(_is("link.added") & present("p.url"))
-        .groupBy(F.col("subject_id").alias("link_subject_id"))
-        .agg(F.min("ord").alias("parent_ord"))
-    )
+def link_arrivals(events: DataFrame) -> DataFrame:
+    """(link_subject_id, parent_ord): when each link came to exist."""
+    ev = _decoded(events, ("link.added",)).filter(present("p.url"))
+    return ev.groupBy(F.col("subject_id").alias("link_subject_id")).agg(F.min("ord").alias("parent_ord"))
+
+
+def annotation_partials(events: DataFrame, parents: DataFrame) -> DataFrame:
+    ev = _decoded(events, ("annotation.added",))
     notes = ev.filter(_is("annotation.added") & F.col("p.annotation_id").isNotNull()).select(
         "ord",
         "occurred_at",
@@ -475,7 +493,7 @@ def annotations(events: DataFrame) -> DataFrame:
         F.coalesce("p.selector", F.lit("{}")).alias("selector"),
         F.coalesce("p.visibility", F.lit("private")).alias("visibility"),
     )
-    agg = (
+    return (
         notes.join(parents, "link_subject_id", "left")
         .groupBy("annotation_id")
         .agg(
@@ -488,8 +506,16 @@ def annotations(events: DataFrame) -> DataFrame:
             _last(F.col("note"), F.col("note").isNotNull()).alias("n"),
         )
     )
+
+
+def annotations(events: DataFrame) -> DataFrame:
+    """Keyed by annotation id; the first event whose parent link exists creates the row."""
+    return annotations_from(annotation_partials(events, link_arrivals(events)))
+
+
+def annotations_from(partials: DataFrame) -> DataFrame:
     made = F.col("first.ord")
-    return agg.filter(F.col("first").isNotNull()).select(
+    return partials.filter(F.col("first").isNotNull()).select(
         "annotation_id",
         "first.v.subject_id",
         "first.v.link_subject_id",

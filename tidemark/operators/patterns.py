@@ -109,16 +109,16 @@ _DIVE = "vec_id long, n long, best double, best_id long"
 
 
 def deep_dive(
-    vectors: DataFrame, threshold: float = 0.7, hours: float = 2.0, slices: int = 4, block_rows: int = 20_000
+    vectors: DataFrame, threshold: float = 0.7, hours: float = 2.0, slices: int = 1, block_rows: int = 20_000
 ) -> DataFrame:
     """Anchors with at least one later vector inside the time band whose cosine
     similarity is above the threshold: number of matches and the best one.
 
-    Time is cut into slices. An anchor slice meets its own and the next `slices`
-    slices block by block, compared by a matrix product inside a task; only reduced
-    rows leave the task, never pairs. A crowded slice is cut into as many blocks as
-    its counted size needs, so a block stays near `block_rows` vectors and no partner
-    is skipped.
+    Time is cut into slices. The anchors of a slice meet the vectors of their own and
+    the next `slices` slices block by block, compared by a matrix product inside a
+    task; only reduced rows leave the task, never pairs. A crowded slice is cut into
+    as many blocks as its counted size needs, so a block stays near `block_rows`
+    vectors and no partner is skipped.
     """
     width = hours * 3600.0 / slices
     v = vectors.select(
@@ -127,24 +127,31 @@ def deep_dive(
         F.floor(F.unix_micros("ts") / F.lit(width * 1e6)).alias("s"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
-    sizes = v.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("g"))
-    grid = (
-        sizes.select("s", F.col("g").alias("ga"), F.explode(F.sequence(F.lit(0), F.lit(slices))).alias("d"))
-        .withColumn("sf", F.col("s") + F.col("d"))
-        .join(sizes.select(F.col("s").alias("sf"), F.col("g").alias("gf")), "sf")
+    # Blocks per slice on either side; one row per slice.
+    reach = F.sequence(F.lit(0), F.lit(slices))
+    own = v.groupBy("s").agg(F.count(F.lit(1)).alias("na"))
+    seen = own.withColumn("d", F.explode(reach)).select((F.col("s") - F.col("d")).alias("s"), F.col("na").alias("nf"))
+    grid = own.join(seen.groupBy("s").agg(F.sum("nf").alias("nf")), "s").select(
+        "s", F.ceil(F.col("na") / block_rows).alias("ga"), F.ceil(F.col("nf") / block_rows).alias("gf")
     )
     digest = F.xxhash64("vec_id")
+    zero = F.lit(0).cast("bigint")
     anchors = v.join(grid, "s").select(
-        "vec_id", "us", "embedding", "s", "d",
+        "vec_id", "us", "embedding", "s",
         F.pmod(digest, F.col("ga")).alias("i"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("gf") - 1).cast("bigint"))).alias("j"),
+        F.explode(F.sequence(zero, F.col("gf") - 1)).alias("j"),
     )
     # Fresh names on this side keep the two branches of one source apart.
-    followers = v.withColumnRenamed("s", "sf").join(grid, "sf").select(
-        F.col("vec_id").alias("f_id"), F.col("us").alias("f_us"), F.col("embedding").alias("f_embedding"),
-        F.col("s").alias("fs"), F.col("d").alias("fd"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("ga") - 1).cast("bigint"))).alias("fi"),
-        F.pmod(digest, F.col("gf")).alias("fj"),
+    followers = (
+        v.withColumn("d", F.explode(reach))
+        .select("vec_id", "us", "embedding", (F.col("s") - F.col("d")).alias("s"))
+        .join(grid, "s")
+        .select(
+            F.col("vec_id").alias("f_id"), F.col("us").alias("f_us"), F.col("embedding").alias("f_embedding"),
+            F.col("s").alias("fs"),
+            F.explode(F.sequence(zero, F.col("ga") - 1)).alias("fi"),
+            F.pmod(digest, F.col("gf")).alias("fj"),
+        )
     )
     band = int(hours * 3600 * 1e6)
 
@@ -169,7 +176,7 @@ def deep_dive(
         return pd.DataFrame(out).astype({"vec_id": "int64", "n": "int64", "best": "float64", "best_id": "int64"})
 
     partial = (
-        anchors.groupBy("s", "d", "i", "j").cogroup(followers.groupBy("fs", "fd", "fi", "fj")).applyInPandas(compare, _DIVE)
+        anchors.groupBy("s", "i", "j").cogroup(followers.groupBy("fs", "fi", "fj")).applyInPandas(compare, _DIVE)
     )
     return partial.groupBy("vec_id").agg(
         F.sum("n").alias("n_related"), F.max("best").alias("best_similarity"), F.max_by("best_id", "best").alias("best_id")

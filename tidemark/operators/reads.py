@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.payload import display_date, display_title
 
-_TAGS = F.array
-
 
 def published_stream(links: DataFrame, content: DataFrame, metadata: DataFrame, publish: DataFrame) -> DataFrame:
     """Public published links with their content, metadata and publication time."""
@@ -20,7 +18,7 @@ def published_stream(links: DataFrame, content: DataFrame, metadata: DataFrame,
         .join(content.select("subject_id", "title"), "subject_id", "left")
         .join(metadata.select("subject_id", "tags", "summary_short"), "subject_id", "left")
         .join(publish.select("subject_id", F.col("last_published_at").alias("published_at")), "subject_id", "left")
-        .withColumn("tags", F.coalesce("tags", _TAGS().cast("array<string>")))
+        .withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     )
 
 
@@ -67,7 +65,7 @@ def stuck_links(links: DataFrame, metadata: DataFrame, events: DataFrame) -> Dat
         .select("subject_id", "url", "status", "created_at")
         .join(done, "subject_id", "left_anti")
         .join(metadata.drop("updated_at"), "subject_id", "left")
-        .withColumn("tags", F.coalesce("tags", _TAGS().cast("array<string>")))
+        .withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     )
 
 

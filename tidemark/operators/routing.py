@@ -10,7 +10,6 @@ from tidemark.functions.payload import present
 from tidemark.sources.ledger import with_payload
 
 ROUTED_TYPES = ("link.added", "content.fetched", "enrichment.completed", "work.failed")
-_NONE = F.lit
 
 
 def _work(events: DataFrame, work_type: str, payload: Column, now: Column) -> DataFrame:

@@ -60,11 +60,13 @@ def write_ledger(events: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def decode_events(raw: DataFrame, column: str = "value", schema: str = schemas.EVENT) -> tuple[DataFrame, DataFrame]:
-    """(events, malformed): missing fields are NULL, unreadable rows are set aside."""
+    """(events, malformed): missing fields are NULL, unreadable rows are set aside.
+    Other columns of `raw`, such as the broker position, stay with the event."""
+    extra = [c for c in raw.columns if c != column]
     parsed = raw.withColumn(
         "_e", F.from_json(F.col(column), schema + ", _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
     )
-    good = parsed.filter(F.col("_e").isNotNull() & F.col("_e._corrupt").isNull()).select("_e.*").drop("_corrupt")
+    good = parsed.filter(F.col("_e").isNotNull() & F.col("_e._corrupt").isNull()).select(*extra, "_e.*").drop("_corrupt")
     bad = parsed.filter(F.col("_e").isNull() | F.col("_e._corrupt").isNotNull()).drop("_e")
     return good, bad
 
