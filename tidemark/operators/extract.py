@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 NO_ARTICLE = "Readability could not parse article"
 
-_SKIPPED = {"script", "style", "nav", "noscript", "template", "head", "header", "footer", "aside"}
+_SKIPPED = {"script", "style", "nav", "noscript", "template", "head", "title", "header", "footer", "aside"}
 _BLOCKS = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article", "blockquote"}
 
 
