@@ -185,3 +185,16 @@ def test_ledger_round_trip_and_outbox(spark, tmp_path):
     assert mark_published(e, batch).filter("published_to_kafka").count() == 25
     good, bad = decode_events(to_kafka_records(e).select("value"))
     assert (good.count(), bad.count()) == (40, 0)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_skew_join_equals_plain_join(spark, how):
+    from tidemark.operators.skew import heavy_keys, skew_join
+
+    rows = hot_rows()
+    many = spark.createDataFrame([(k, i) for k, i, _, _ in rows], "k string, i long")
+    one = spark.createDataFrame([("hot", 1), ("k1", 2), ("zz", 3)], "k string, v int")
+    assert [r.k for r in heavy_keys(many, ["k"], min_rows=200).collect()] == ["hot"]
+    got = skew_join(many, one, ["k"], how, salt_by="i", min_rows=200, salts=4)
+    want = many.join(one, "k", how)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))

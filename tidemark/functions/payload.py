@@ -114,6 +114,23 @@ def add_hours(ts: Column | str, hours: int = 1) -> Column:
     return _col(ts) + F.expr(f"INTERVAL {int(hours)} HOURS")
 
 
+# Fixed values of the context fields.
+LOCATION_TYPES = ("home", "office", "transit", "other")
+ACTIVITIES = ("focused", "browsing", "moving")
+
+
+def location_type(value: Column | str) -> Column:
+    """One of the known places, 'other' for anything else."""
+    v = F.lower(_col(value))
+    return F.when(v.isin(*LOCATION_TYPES), v).otherwise(F.lit("other"))
+
+
+def activity(value: Column | str) -> Column:
+    """One of the known activities, NULL for anything else."""
+    v = F.lower(_col(value))
+    return F.when(v.isin(*ACTIVITIES), v)
+
+
 def time_of_day(ts: Column | str) -> Column:
     """morning before 12, afternoon before 18, evening after."""
     hour = F.hour(_col(ts))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.payload import tag_prompt_list, truncate_content
+from tidemark.operators.skew import skew_join
 
 
 def compact(records: DataFrame, keys: Sequence[str], value: str = "value", order: str = "ord") -> DataFrame:
@@ -41,11 +42,8 @@ def prompt_tags(catalog: DataFrame, limit: int = schemas.MAX_TAGS_IN_PROMPT) ->
 def unknown_tags(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Tags of new rows that the catalog lacks: (key columns..., tag), one row each."""
     keys = [c for c in rows.columns if c != "tags"]
-    return (
-        rows.select(*keys, F.explode(F.array_distinct("tags")).alias("tag"))
-        .join(catalog.select("tag"), "tag", "left_anti")
-        .select(*keys, "tag")
-    )
+    tagged = rows.select(*keys, F.explode(F.array_distinct("tags")).alias("tag"))
+    return skew_join(tagged, catalog.select("tag"), ["tag"], "left_anti", salt_by=keys[0]).select(*keys, "tag")
 
 
 def with_prompt_tags(work: DataFrame, catalog: DataFrame) -> DataFrame:

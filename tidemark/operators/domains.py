@@ -76,7 +76,7 @@ def todos_without_calendar(todo_rows: DataFrame, created: DataFrame) -> DataFram
     done = with_payload(created.filter(F.col("event_type") == "calendar.event_created"), schemas.CALENDAR_PAYLOAD)
     return (
         todo_rows.filter(F.col("due_at").isNotNull())
-        .join(done.select(F.col("p.todo_subject_id").alias("subject_id")), "subject_id", "left_anti")
+        .join(done.select(F.col("p.todo_subject_id").alias("subject_id")).distinct(), "subject_id", "left_anti")
         .select("subject_id", "title", F.col("due_at").alias("start_at"), add_hours("due_at").alias("end_at"))
     )
 

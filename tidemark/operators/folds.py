@@ -7,7 +7,7 @@ holds its history. `ord` is the arrival order; A is the arrival of the first usa
 
 "Last value after A" needs no A in the aggregation: the last value overall is either
 after A, or there is none after A. Counts do need A, so the two counted event kinds
-are joined, as three narrow columns, with one row per subject.
+are joined, as three narrow columns, with one row per subject; a hot subject is salted.
 
 Dialects: "imperative" (default; replayable) and "sql" (the upsert statement set).
 """
@@ -27,6 +27,7 @@ from tidemark.functions.payload import (
     valid_visibility,
 )
 from tidemark.functions.urls import normalize_url
+from tidemark.operators.skew import skew_join
 from tidemark.sources.ledger import with_payload
 
 LINK_TYPES = (
@@ -137,7 +138,7 @@ def _counts(ev: DataFrame, anchors: DataFrame, enriched: Column, failed: Column)
     """Fetch errors and enrichments after A, and enrichments before the last publish."""
     rows = ev.filter(enriched | failed).select("subject_id", "ord", enriched.alias("is_enrich"))
     return (
-        rows.join(anchors.filter(F.col("a_ord").isNotNull()), "subject_id")
+        skew_join(rows, anchors.filter(F.col("a_ord").isNotNull()), ["subject_id"], salt_by="ord")
         .filter(F.col("ord") > F.col("a_ord"))
         .groupBy("subject_id")
         .agg(
@@ -494,7 +495,7 @@ def annotation_partials(events: DataFrame, parents: DataFrame) -> DataFrame:
         F.coalesce("p.visibility", F.lit("private")).alias("visibility"),
     )
     return (
-        notes.join(parents, "link_subject_id", "left")
+        skew_join(notes, parents, ["link_subject_id"], "left", salt_by="ord")
         .groupBy("annotation_id")
         .agg(
             _first(

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.scans import carried_last, positions, time_chunk
+from tidemark.operators.scans import carried_last, position_chunk, positions, time_chunk
 
 
 def lifecycle(events: DataFrame, within_seconds: int = 300) -> DataFrame:
@@ -74,21 +74,20 @@ def stage_latency(events: DataFrame) -> DataFrame:
     )
 
 
-def run_trace(events: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
-    """All events of a run in order with the seconds since the previous one."""
+def run_trace(events: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
+    """All events of a run in arrival order with the seconds since the previous one.
+    Chunks are ranges of unique positions, so none holds more than `chunk_rows` rows."""
     e = events.select(
-        F.coalesce("correlation_id", "id").alias("run_key"), "ord", "id", "event_type", "occurred_at", "received_at"
-    )
-    traced = carried_last(
-        e, ["run_key"], time_chunk("received_at", chunk_seconds), ["received_at", "ord"], F.col("occurred_at"), "previous_at"
+        F.coalesce("correlation_id", "id").alias("run_key"), "ord", "id", "event_type", "occurred_at"
     )
+    traced = carried_last(e, ["run_key"], position_chunk("ord", chunk_rows), ["ord"], F.col("occurred_at"), "previous_at")
     return traced.withColumn(
         "seconds_since", (F.unix_micros("occurred_at") - F.unix_micros("previous_at")) / 1_000_000.0
     )
 
 
 def context_join(
-    events: DataFrame, readings: DataFrame, keys: Sequence[str], ts: str, value: str, chunk_seconds: int = 3600
+    events: DataFrame, readings: DataFrame, keys: Sequence[str], ts: str, value: str, chunk_seconds: int = 600
 ) -> DataFrame:
     """Each event with the latest reading at or before its time (as-of join).
 

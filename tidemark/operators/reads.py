@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.payload import display_date, display_title
+from tidemark.operators.skew import skew_join
 
 
 def published_stream(links: DataFrame, content: DataFrame, metadata: DataFrame, publish: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def link_detail(links: DataFrame, content: DataFrame, metadata: DataFrame, publi
 
 def stuck_links(links: DataFrame, metadata: DataFrame, events: DataFrame) -> DataFrame:
     """Enriched links for which no publish.completed event exists."""
-    done = events.filter(F.col("event_type") == "publish.completed").select("subject_id")
+    done = events.filter(F.col("event_type") == "publish.completed").select("subject_id").distinct()
     return (
         links.filter(F.col("status") == "enriched")
         .select("subject_id", "url", "status", "created_at")
@@ -69,30 +70,32 @@ def stuck_links(links: DataFrame, metadata: DataFrame, events: DataFrame) -> Dat
     )
 
 
-def with_parent(children: DataFrame, links: DataFrame, key: str = "subject_id") -> DataFrame:
-    """Child rows whose link exists."""
-    return children.join(links.select(F.col("subject_id").alias(key)), key, "left_semi")
+def with_parent(children: DataFrame, links: DataFrame, key: str = "subject_id", salt_by: str | None = None) -> DataFrame:
+    """Child rows whose link exists. Children that are many to one link, such as
+    annotations, name the column that tells them apart in `salt_by`."""
+    parents = links.select(F.col("subject_id").alias(key)).distinct()
+    if salt_by is None:
+        return children.join(parents, key, "left_semi")
+    return skew_join(children, parents, [key], "left_semi", salt_by=salt_by)
 
 
 def public_only(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("visibility") == "public")
 
 
-def public_children(children: DataFrame, links: DataFrame, key: str = "subject_id") -> DataFrame:
+def public_children(children: DataFrame, links: DataFrame, key: str = "subject_id", salt_by: str | None = None) -> DataFrame:
     """Child rows whose link is public."""
-    return with_parent(children, public_only(links), key)
+    return with_parent(children, public_only(links), key, salt_by)
 
 
 def causation_edges(events: DataFrame) -> DataFrame:
-    """Each event with the event that caused it; ids are unique, the join is one to one."""
+    """Each event with the event that caused it. Ids are unique, but one event may
+    have caused a large part of the ledger, so the children are salted."""
     parent = events.select(
         F.col("id").alias("causation_id"), F.col("event_type").alias("parent_type"), F.col("occurred_at").alias("parent_at")
     )
-    return (
-        events.filter(F.col("causation_id").isNotNull())
-        .select("id", "event_type", "occurred_at", "causation_id")
-        .join(parent, "causation_id")
-    )
+    children = events.filter(F.col("causation_id").isNotNull()).select("id", "event_type", "occurred_at", "causation_id")
+    return skew_join(children, parent, ["causation_id"], salt_by="id")
 
 
 def links_by_tag(stream: DataFrame, tag: str) -> DataFrame:
@@ -167,7 +170,7 @@ def shared_tag_weight(items: DataFrame, others: DataFrame, key: str = "subject_i
     )
     tagged = items.select(key, F.explode(F.array_distinct("tags")).alias("tag"))
     return (
-        tagged.join(weights, "tag")
+        skew_join(tagged, weights, ["tag"], salt_by=key)
         .select(key, "tag", F.explode("per_domain").alias("d"))
         .groupBy(key, F.col("d.domain").alias("other_domain"))
         .agg(F.count(F.lit(1)).alias("shared_tags"), F.sum("d.n").alias("related"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.payload import present
+from tidemark.operators.skew import skew_join
 from tidemark.sources.ledger import with_payload
 
 ROUTED_TYPES = ("link.added", "content.fetched", "enrichment.completed", "work.failed")
@@ -28,9 +29,16 @@ def _work(events: DataFrame, work_type: str, payload: Column, now: Column) -> Da
     )
 
 
-def without(rows: DataFrame, done: DataFrame) -> DataFrame:
-    """Rows whose subject is not in `done`; the done side is one narrow column."""
-    return rows.join(done.select("subject_id"), "subject_id", "left_anti")
+def without(rows: DataFrame, done: DataFrame, salt_by: str = "subject_id") -> DataFrame:
+    """Rows whose subject is not in `done`; the done side is one narrow column.
+
+    Event rows of one subject are told apart by `salt_by`; tables with one row per
+    subject need no salt.
+    """
+    done = done.select("subject_id")
+    if salt_by == "subject_id":
+        return rows.join(done, "subject_id", "left_anti")
+    return skew_join(rows, done, ["subject_id"], "left_anti", salt_by=salt_by)
 
 
 def fetched_subjects(content: DataFrame) -> DataFrame:
@@ -49,7 +57,7 @@ def published_subjects(publish_state: DataFrame) -> DataFrame:
 
 def route_fetch(decoded: DataFrame, content: DataFrame, now: Column) -> DataFrame:
     rows = decoded.filter((F.col("event_type") == "link.added") & present("p.url"))
-    return _work(without(rows, fetched_subjects(content)), "fetch_link", F.to_json(F.struct("p.url")), now)
+    return _work(without(rows, fetched_subjects(content), "id"), "fetch_link", F.to_json(F.struct("p.url")), now)
 
 
 def route_enrich(decoded: DataFrame, metadata: DataFrame, now: Column) -> DataFrame:
@@ -57,12 +65,12 @@ def route_enrich(decoded: DataFrame, metadata: DataFrame, now: Column) -> DataFr
         (F.col("event_type") == "content.fetched") & ~present("p.fetch_error") & present("p.text_content")
     )
     payload = F.to_json(F.struct("p.title", "p.text_content"))
-    return _work(without(rows, enriched_subjects(metadata)), "enrich_link", payload, now)
+    return _work(without(rows, enriched_subjects(metadata), "id"), "enrich_link", payload, now)
 
 
 def route_publish(decoded: DataFrame, publish_state: DataFrame, now: Column) -> DataFrame:
     rows = decoded.filter(F.col("event_type") == "enrichment.completed")
-    return _work(without(rows, published_subjects(publish_state)), "publish_link", F.lit("{}"), now)
+    return _work(without(rows, published_subjects(publish_state), "id"), "publish_link", F.lit("{}"), now)
 
 
 def failed_work(decoded: DataFrame) -> DataFrame:

@@ -83,39 +83,43 @@ def positions(
 
     `number` is an integer column, `tie` a unique text, ordered by its md5 first so
     that ties of any size split into 4096 even chunks. Counts are reduced level by
-    level: blocks of `width` numbers, single numbers, digest chunks; only chunk-local
-    row numbers touch single rows.
+    level, each level holding at most `width` parts of the one above: blocks of
+    width^2 numbers, blocks of width numbers, single numbers, digest chunks. Only
+    chunk-local row numbers touch single rows.
     """
+    keys = list(keys)
+    levels = ["_b2", "_b1", "_n", "_c"]
     d = rows.withColumns(
-        {"_b": F.floor(F.col(number) / width), "_n": F.col(number), "_h": F.md5(tie)}
-    ).withColumn("_c", F.substring("_h", 1, 3))
-    one = F.count(F.lit(1))
-    fine = d.groupBy(*keys, "_b", "_n", "_c").agg(one.alias("_cnt"))
-    by_number = fine.groupBy(*keys, "_b", "_n").agg(F.sum("_cnt").alias("_cnt"))
-    by_block = by_number.groupBy(*keys, "_b").agg(F.sum("_cnt").alias("_cnt"))
-    before = (Window.unboundedPreceding, -1)
-
-    def offset(frame: DataFrame, parent: Sequence[str], level: str, name: str) -> DataFrame:
-        w = Window.partitionBy(*parent).orderBy(level).rowsBetween(*before)
-        return frame.withColumn(name, F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-
-    whole = Window.partitionBy(*keys)
-    blocks = (
-        offset(by_block, keys, "_b", "_ob")
-        .withColumn(total, F.sum("_cnt").over(whole))
-        .drop("_cnt")
+        {
+            "_b2": F.floor(F.col(number) / (width * width)),
+            "_b1": F.floor(F.col(number) / width),
+            "_n": F.col(number),
+            "_h": F.md5(tie),
+            "_c": F.substring(F.md5(tie), 1, 3),
+        }
     )
-    numbers = offset(by_number, [*keys, "_b"], "_n", "_on").drop("_cnt").join(blocks, [*keys, "_b"])
-    chunks = (
-        offset(fine, [*keys, "_b", "_n"], "_c", "_oc")
-        .drop("_cnt")
-        .join(numbers, [*keys, "_b", "_n"])
-        .select(*keys, "_b", "_n", "_c", total, (F.col("_ob") + F.col("_on") + F.col("_oc")).alias("_off"))
-    )
-    local = Window.partitionBy(*keys, "_b", "_n", "_c").orderBy("_h", tie)
+    counts = [d.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("_cnt"))]
+    for depth in (3, 2, 1):
+        counts.insert(0, counts[0].groupBy(*keys, *levels[:depth]).agg(F.sum("_cnt").alias("_cnt")))
+    offsets = counts[0].withColumn(total, F.sum("_cnt").over(Window.partitionBy(*keys)))
+    offsets = offsets.withColumn("_off", _before(keys, levels[0])).drop("_cnt")
+    for depth in (1, 2, 3):
+        parent = [*keys, *levels[:depth]]
+        offsets = (
+            counts[depth]
+            .withColumn("_in", _before(parent, levels[depth]))
+            .join(offsets, parent)
+            .select(*parent, levels[depth], total, (F.col("_off") + F.col("_in")).alias("_off"))
+        )
+    local = Window.partitionBy(*keys, *levels).orderBy("_h", tie)
     return (
         d.withColumn("_rn", F.row_number().over(local))
-        .join(chunks, [*keys, "_b", "_n", "_c"])
+        .join(offsets, [*keys, *levels])
         .withColumn(out, F.col("_off") + F.col("_rn"))
-        .drop("_b", "_n", "_c", "_h", "_off", "_rn")
+        .drop(*levels, "_h", "_off", "_rn")
     )
+
+
+def _before(parent: Sequence[str], level: str) -> Column:
+    w = Window.partitionBy(*parent).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_cnt").over(w), F.lit(0))

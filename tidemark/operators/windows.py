@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.scans import position_chunk, running_max
+from tidemark.operators.skew import skew_join
 
 
 def _seconds(interval: str) -> int:
@@ -76,7 +77,8 @@ def assign_sessions(rows: DataFrame, keys: Sequence[str], ts: str, gap: str = "3
     """Adds session_no to every row by joining rows to slots on (key, slot)."""
     width = _seconds(gap)
     slots = _slots(rows, keys, ts, gap).select(*keys, "slot", "session_no")
-    return rows.withColumn("slot", F.floor(F.unix_seconds(F.col(ts)) / width)).join(slots, [*keys, "slot"]).drop("slot")
+    placed = rows.withColumn("slot", F.floor(F.unix_seconds(F.col(ts)) / width))
+    return skew_join(placed, slots, [*keys, "slot"], salt_by=rows.columns).drop("slot")
 
 
 def session_topics(rows: DataFrame, keys: Sequence[str], ts: str, topic: str, gap: str = "30 minutes") -> DataFrame:
@@ -128,10 +130,9 @@ def anomalies(
         .agg(F.collect_list(F.struct("start", "mean", "sd")).alias("ws"))
     )
     hit = F.filter("ws", lambda w: F.abs(F.col(value) - w["mean"]) > sigmas * w["sd"])
+    placed = readings.filter(F.col(value).isNotNull()).withColumn("pane", pane)
     return (
-        readings.filter(F.col(value).isNotNull())
-        .withColumn("pane", pane)
-        .join(per_pane, [key, "pane"])
+        skew_join(placed, per_pane, [key, "pane"], salt_by=[ts, value])
         .select(*[c for c in readings.columns], F.explode(hit).alias("w"))
         .select(
             *readings.columns,

@@ -51,7 +51,7 @@ def with_parent_link(spark, sf):
 
     notes = with_payload(adapters.annotation_events(spark, sf)).select("id", "p.link_subject_id")
     links = adapters.lifecycle_events(spark, sf).filter("event_type = 'link.added'")
-    return reads.with_parent(notes, links, "link_subject_id")
+    return reads.with_parent(notes, links, "link_subject_id", salt_by="id")
 
 
 @query(

@@ -240,6 +240,21 @@ def time_helpers(spark, sf):
     )
 
 
+@query(
+    "context_fields",
+    f"""WITH {S.BASE} SELECT event_id, CASE k % 3 WHEN 0 THEN 'home' WHEN 1 THEN 'office' ELSE 'other' END AS place,
+      CASE WHEN k % 2 = 0 THEN 'focused' END AS doing FROM base""",
+)
+def context_fields(spark, sf):
+    k = F.col("k")
+    place = F.when(k % 3 == 0, "Home").when(k % 3 == 1, "office").otherwise("beach")
+    return adapters.base_events(spark, sf).select(
+        "event_id",
+        payload.location_type(place).alias("place"),
+        payload.activity(F.when(k % 2 == 0, "FOCUSED").otherwise("asleep")).alias("doing"),
+    )
+
+
 _SHAPES = f"""{S.BASE}, shaped AS (
   SELECT event_id, k, CASE k % 4 WHEN 0 THEN '{{"a":{{"k":' || k || '}}}}' WHEN 1 THEN '{{"a":[1,' || k || ']}}'
     WHEN 2 THEN '{{"a":"v' || k || '"}}' ELSE '{{"b":1}}' END AS doc FROM base)"""

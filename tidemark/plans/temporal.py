@@ -175,16 +175,18 @@ def stage_latency(spark, sf):
     "stage_latency_percentiles",
     f"""WITH {S.LIFE}, s AS (SELECT subject_id, min(ts) FILTER (WHERE kind = 'link.added') AS a,
       min(ts) FILTER (WHERE kind = 'content.fetched') AS f FROM life GROUP BY subject_id)
-    SELECT count(*) AS runs, round(quantile_cont((epoch_us(f) - epoch_us(a)) / 1000000.0, 0.5), 3) AS fetch_p50,
-      round(quantile_cont((epoch_us(f) - epoch_us(a)) / 1000000.0, 0.9), 3) AS fetch_p90 FROM s WHERE f > a""",
+    SELECT count(*) AS runs, round(quantile_cont(CAST((epoch_us(f) - epoch_us(a)) // 60000000 AS DOUBLE), 0.5), 3) AS fetch_p50,
+      round(quantile_cont(CAST((epoch_us(f) - epoch_us(a)) // 60000000 AS DOUBLE), 0.9), 3) AS fetch_p90 FROM s WHERE f > a""",
 )
 def stage_latency_percentiles(spark, sf):
-    """Exact percentiles; they keep a count per distinct value, not a sorted list."""
+    """Percentiles of whole minutes. Runs are counted per minute first, so the last
+    step sees one row per minute of latency, however many runs there are."""
     rows = patterns.stage_latency(adapters.lifecycle_events(spark, sf, runs=True)).filter("fetch_seconds > 0")
-    return rows.agg(
-        F.count(F.lit(1)).alias("runs"),
-        F.round(F.percentile("fetch_seconds", 0.5), 3).alias("fetch_p50"),
-        F.round(F.percentile("fetch_seconds", 0.9), 3).alias("fetch_p90"),
+    minutes = rows.groupBy(F.floor(F.col("fetch_seconds") / 60).alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    return minutes.agg(
+        F.sum("n").alias("runs"),
+        F.round(F.percentile("m", F.lit(0.5), F.col("n")), 3).alias("fetch_p50"),
+        F.round(F.percentile("m", F.lit(0.9), F.col("n")), 3).alias("fetch_p90"),
     )
 
 
@@ -195,7 +197,7 @@ def stage_latency_percentiles(spark, sf):
     SELECT *, (epoch_us(occurred_at) - epoch_us(previous_at)) / 1000000.0 AS seconds_since FROM t""",
 )
 def run_trace(spark, sf):
-    return flat(patterns.run_trace(adapters.lifecycle_events(spark, sf, runs=True)).drop("ord", "received_at"))
+    return flat(patterns.run_trace(adapters.lifecycle_events(spark, sf, runs=True)).drop("ord"))
 
 
 @query(

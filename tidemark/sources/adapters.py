@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.ids import link_subject_id
 from tidemark.functions.urls import normalize_url
 from tidemark.session import configure
+from tidemark.streaming.sources import read_event_stream
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +26,16 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("k", _k())
+def base_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """The events table; with `stream` the same file as an unbounded source."""
+    source = event_stream(spark, sf_dir) if stream else table(spark, sf_dir, "events")
+    return source.withColumn("k", _k())
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The explicit type makes the zone-less column an instant, as watermarks need.
+    schema = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+    return read_event_stream(configure(spark), f"{sf_dir}/events*.parquet", schema=schema)
 
 
 def _envelope(events: DataFrame, *, subject: str, subject_id: Column, event_type: Column, payload: Column,
@@ -51,9 +60,9 @@ def _envelope(events: DataFrame, *, subject: str, subject_id: Column, event_type
     )
 
 
-def lifecycle_events(spark: SparkSession, sf_dir: str, runs: bool = False) -> DataFrame:
+def lifecycle_events(spark: SparkSession, sf_dir: str, runs: bool = False, stream: bool = False) -> DataFrame:
     """Link events: signup, view, error, click, purchase are the five stages."""
-    e = base_events(spark, sf_dir)
+    e = base_events(spark, sf_dir, stream)
     k, kind = F.col("k"), F.col("event_type")
     subject_id = F.concat(F.lit("link:"), F.col("user_id") * 10 + k % 10)
     event_type = (

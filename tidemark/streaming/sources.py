@@ -50,6 +50,17 @@ def dedupe_stream(events: DataFrame, delay: str = "5 minutes", key: str = "id")
     return with_event_time(events, delay).dropDuplicatesWithinWatermark([key])
 
 
+def write_jdbc(rows: DataFrame, url: str, table: str, batch_rows: int = 200, **options: str) -> None:
+    """Append a frame to a database table in batches; needs a driver on the class path.
+
+    Spark's writer has no keyed upsert, so state tables are merged first
+    (`tidemark.operators.merge`) and this fills a fresh version or a staging table.
+    """
+    rows.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batch_rows).options(
+        **options
+    ).mode("append").save()
+
+
 def write_records(records: DataFrame, checkpoint: str, *, kafka: Mapping[str, str] | None = None, path: str | None = None) -> StreamingQuery:
     """Routed records to the broker (topic column), or to one folder per topic."""
     writer = records.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
