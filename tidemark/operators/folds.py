@@ -27,7 +27,7 @@ from tidemark.functions.payload import (
     valid_visibility,
 )
 from tidemark.functions.urls import normalize_url
-from tidemark.operators.skew import skew_join
+from tidemark.operators.skew import MIN_ROWS, SALTS, TOP_KEYS, skew_join
 from tidemark.sources.ledger import with_payload
 
 LINK_TYPES = (
@@ -56,7 +56,9 @@ def _fetch_error() -> Column:
 
 
 def _decoded(events: DataFrame, types: tuple[str, ...]) -> DataFrame:
-    wanted = events.filter(F.col("event_type").isin(*types))
+    # The NULL check is stated here, not left to the joins that would infer it, so that
+    # two uses of one aggregate keep the same plan and share its exchange.
+    wanted = events.filter(F.col("event_type").isin(*types) & F.col("subject_id").isNotNull())
     return with_payload(wanted)
 
 
@@ -105,9 +107,10 @@ def link_partials(events: DataFrame, known: DataFrame | None = None) -> DataFram
         metadata("model_version", F.col("p.model_version")),
         _last(F.col("occurred_at"), enriched).alias("m_last"),
     )
-    anchors = ev.filter(added_ok | published).groupBy("subject_id").agg(
+    anchors = ev.filter(added_ok | published | enriched | failed).groupBy("subject_id").agg(
         F.min(F.when(_is("link.added"), F.col("ord"))).alias("a_ord"),
         F.max(F.when(published, F.col("ord"))).alias("p_ord"),
+        F.count_if(enriched | failed).alias("n_rows"),
     )
     if known is not None:
         before = known.select("subject_id", F.col("added").alias("_known"))
@@ -135,16 +138,37 @@ def link_partials(events: DataFrame, known: DataFrame | None = None) -> DataFram
 
 
 def _counts(ev: DataFrame, anchors: DataFrame, enriched: Column, failed: Column) -> DataFrame:
-    """Fetch errors and enrichments after A, and enrichments before the last publish."""
+    """Fetch errors and enrichments after A, and enrichments before the last publish.
+
+    `anchors` has subject_id, a_ord, p_ord and n_rows, the number of rows to count.
+    The hottest subjects meet their rows through a broadcast of at most TOP_KEYS
+    anchor rows; those rows then take no part in the match on subject and are only
+    spread by a salt. Both uses of `anchors` need the same columns, so Spark computes
+    it once and reuses the exchange.
+    """
     rows = ev.filter(enriched | failed).select("subject_id", "ord", enriched.alias("is_enrich"))
+    base = anchors.filter(F.col("a_ord").isNotNull() & (F.col("n_rows") > 0))
+    hot = F.broadcast(
+        base.filter(F.col("n_rows") >= MIN_ROWS)
+        .orderBy(F.desc("n_rows"))
+        .limit(TOP_KEYS)
+        .select("subject_id", F.col("a_ord").alias("hot_a"), F.col("p_ord").alias("hot_p"))
+    )
+    is_hot = F.col("hot_a").isNotNull()
+    cold = base.select(F.col("subject_id").alias("_key"), F.lit(0).alias("_salt"), "a_ord", "p_ord")
     return (
-        skew_join(rows, anchors.filter(F.col("a_ord").isNotNull()), ["subject_id"], salt_by="ord")
-        .filter(F.col("ord") > F.col("a_ord"))
+        rows.join(hot, "subject_id", "left")
+        .withColumn("_key", F.when(~is_hot, F.col("subject_id")))
+        .withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int")).otherwise(0))
+        .join(cold, ["_key", "_salt"], "left")
+        .withColumn("_a", F.coalesce("hot_a", "a_ord"))
+        .withColumn("_p", F.when(is_hot, F.col("hot_p")).otherwise(F.col("p_ord")))
+        .filter(F.col("ord") > F.col("_a"))
         .groupBy("subject_id")
         .agg(
             F.count_if(~F.col("is_enrich")).alias("n_err"),
             F.count_if("is_enrich").alias("n_enrich"),
-            F.count_if(F.col("is_enrich") & (F.col("ord") < F.col("p_ord"))).alias("n_before_pub"),
+            F.count_if(F.col("is_enrich") & (F.col("ord") < F.col("_p"))).alias("n_before_pub"),
         )
     )
 
@@ -262,10 +286,13 @@ def links_sql(events: DataFrame) -> DataFrame:
         _last(F.when(added, F.lit("public")).otherwise(F.col("p.visibility")), added | changed).alias("vis"),
         _last(F.struct("occurred_at", F.col("p.fetch_error").alias("error")), failed).alias("err"),
     )
-    anchors = ev.filter(added).groupBy("subject_id").agg(F.max("ord").alias("a_ord")).withColumn(
-        "p_ord", F.lit(None).cast(ev.schema["ord"].dataType)
+    anchors = (
+        ev.filter(added | failed)
+        .groupBy("subject_id")
+        .agg(F.max(F.when(added, F.col("ord"))).alias("a_ord"), F.count_if(failed).alias("n_rows"))
+        .withColumn("p_ord", F.lit(None).cast(ev.schema["ord"].dataType))
     )
-    counts = _counts(ev, anchors, enriched, failed).select("subject_id", "n_err")
+    counts = _counts(ev, anchors, F.lit(False), failed).select("subject_id", "n_err")
     recent = F.col("err.ord") > F.col("added.ord")
     return (
         base.filter(F.col("added").isNotNull())
