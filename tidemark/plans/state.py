@@ -305,7 +305,7 @@ def state_voice_notes(spark, sf):
     SELECT subject_id, status, retry_count, last_error_at, last_error FROM links""",
 )
 def state_as_of(spark, sf):
-    """Replay up to a moment: the same fold over a pushed-down prefix of the ledger."""
+    """Replay up to a moment: the same fold over a prefix of the ledger."""
     events = ledger.as_of(adapters.lifecycle_events(spark, sf), F.lit("2024-01-15").cast("timestamp"))
     rows = folds.links(folds.link_partials(events))
     return flat(rows.select("subject_id", "status", "retry_count", "last_error_at", "last_error"))
