@@ -123,8 +123,8 @@ class Words:
         self.at = np.searchsorted(self.first, offsets)
 
 
-def steps(column: pa.Array, rule: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, Words]]:
-    """Runs of rows (from, to, words) of a binary column, each of about STEP_BYTES; null is empty."""
+def steps(column: pa.Array, rule: tuple[np.ndarray, np.ndarray], step: int = STEP_BYTES) -> Iterator[tuple[int, int, Words]]:
+    """Runs of rows (from, to, words) of a binary column, each of about `step` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -135,7 +135,7 @@ def steps(column: pa.Array, rule: tuple[np.ndarray, np.ndarray]) -> Iterator[tup
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     low = 0
     while low < len(column):
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + STEP_BYTES, side="right")) - 1)
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + step, side="right")) - 1)
         high = min(high, len(column))
         part = offsets[low : high + 1]
         yield low, high, Words(raw[part[0] : part[-1]], part - part[0], rule)
