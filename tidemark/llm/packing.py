@@ -33,9 +33,9 @@ from pyspark.sql.window import Window
 from tidemark.llm import common
 
 CAPACITY = 2048
-GROUPS = 256
+GROUPS = 1024
 #: Pieces up to this share of a sequence are small.
-SMALL = 1 / 8
+SMALL = 1 / 4
 END_ID = 0
 #: Distinct words whose ids a worker remembers before it starts anew.
 REMEMBERED = 400_000
