@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import common
 from tidemark.llm.common import table
+from tidemark.llm.crf_language import predict, train
 from tidemark.llm.hilbert_shards import hilbert_shards
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.packing import pack
@@ -93,3 +95,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_packing"] = op6_packing
+
+
+def remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n: the folds of the labelled tasks."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.configure(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    model = train(docs, remainder(4) != 2)
+    return predict(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+
+
+QUERIES["op4_crf_language"] = op4_crf_language
