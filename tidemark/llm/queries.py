@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import common
+from tidemark.llm import common, toxicity
 from tidemark.llm.common import table
 from tidemark.llm.crf_language import predict, train
 from tidemark.llm.hilbert_shards import hilbert_shards
@@ -111,3 +111,14 @@ def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_crf_language"] = op4_crf_language
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    scored = toxicity.score(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+QUERIES["op3_toxicity"] = op3_toxicity
