@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, toxicity
 from tidemark.llm.common import table
 from tidemark.llm.crf_language import predict, train
+from tidemark.llm.embedding_dedup import near_duplicate_vectors
 from tidemark.llm.hilbert_shards import hilbert_shards
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.phrase_index import decontamination
+from tidemark.llm.quality_bayes import quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +124,39 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_toxicity"] = op3_toxicity
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op10_embedding_dedup"] = op10_embedding_dedup
+ORACLES["op10_embedding_dedup"] = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+    WHERE list_cosine_similarity(x.v, y.v) >= 0.98
+), reach AS (
+    SELECT vec_id, vec_id AS other FROM embeddings
+    UNION
+    SELECT r.vec_id, p.b FROM reach r JOIN pairs p ON p.a = r.other
+), smallest AS (
+    SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+), counted AS (
+    SELECT a, count(*) AS n FROM pairs GROUP BY a
+)
+SELECT s.vec_id, coalesce(n, 0) AS n_links, component_id, s.vec_id = component_id AS kept FROM smallest s LEFT JOIN counted c ON c.a = s.vec_id
+"""
+
+
+def op9_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are sources and paths the languages below them; a fifth of the labels is held out."""
+    path = F.concat_ws("/", "source", "lang")
+    judged = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(5) != 0, F.col("source"), path)
+    return judged.withColumn("held_out", F.coalesce(remainder(5) == 0, F.lit(False)))
+
+
+QUERIES["op9_quality_bayes"] = op9_quality_bayes
