@@ -13,6 +13,7 @@ from tidemark.llm.common import table
 from tidemark.llm.crf_language import predict, train
 from tidemark.llm.embedding_dedup import near_duplicate_vectors
 from tidemark.llm.hilbert_shards import hilbert_shards
+from tidemark.llm.html_blocks import main_text
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.phrase_index import decontamination
@@ -160,3 +161,10 @@ def op9_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_quality_bayes"] = op9_quality_bayes
+
+
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES["op1_html_blocks"] = op1_html_blocks
