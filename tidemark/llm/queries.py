@@ -16,6 +16,7 @@ from tidemark.llm.hilbert_shards import hilbert_shards
 from tidemark.llm.html_blocks import main_text
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.packing import pack
+from tidemark.llm.passage_dedup import repeated_passages
 from tidemark.llm.phrase_index import decontamination
 from tidemark.llm.quality_bayes import quality
 
@@ -168,3 +169,10 @@ def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_html_blocks"] = op1_html_blocks
+
+
+def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op2_passage_dedup"] = op2_passage_dedup
