@@ -189,14 +189,16 @@ def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
     return Model(languages, sorted((r["lang"], r["passage"]) for r in sample.collect()))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "text", carry_text: bool = False) -> DataFrame:
     """The kept columns with lang_pred and score (mean posterior of that language over words).
 
     A null text and one without a letter are `und` with score 0. A single learned language wins
     wherever there is a letter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    frame = docs.select(*keep, F.col(text_col).alias("_text"))
+    # With carry_text the kept columns hold the text, which then travels once.
+    frame = docs.select(*keep) if carry_text else docs.select(*keep, F.col(text_col).alias("_text"))
+    source, kept = (text_col, len(keep)) if carry_text else ("_text", len(frame.columns) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -233,14 +235,14 @@ def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "
             low = 0
             for batch, ts in held:
                 high = low + len(ts)
-                columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+                columns = [batch.column(i) for i in range(kept)]
                 columns += [pa.array(names[pred[low:high]].tolist(), pa.string()), pa.array(score[low:high])]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:kept], "lang_pred", "score"])
                 low = high
 
         held, size = [], 0
         for batch in batches:
-            words = [(t or "").split() for t in batch.column("_text").to_pylist()]
+            words = [(t or "").split() for t in batch.column(source).to_pylist()]
             number(words)
             rows = []
             for t in words:
@@ -254,5 +256,5 @@ def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "
         if held:
             yield from close(held)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:kept])
     return frame.mapInArrow(run, f"{schema}, lang_pred string, score double")

@@ -188,3 +188,9 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         ((n_hit > 0) & (n_hit * 100 >= F.col("n_words") * percent)).alias("contaminated"),
     )
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The distinct ids of contaminated documents; null ids are never among them."""
+    judged = decontamination(docs, benchmark, id_col, text_col)
+    return judged.filter(F.col("contaminated") & F.col(id_col).isNotNull()).select(id_col).distinct()
