@@ -124,13 +124,19 @@ def test_article_text():
     html = "<html><head><title>T</title><style>x</style></head><body><nav>menu</nav><article><h1>A &amp; B</h1><p>one\n two<!-- no --></p><script>var t='</p>'</script></article><p>out</p></body></html>"
     assert extract.article_text(html) == "A & B\none\ntwo"
     assert extract.article_text("<p>only body</p>") == "only body"
+    # An open head, an open menu and end tags of nothing lose no text.
+    assert extract.article_text("<html><head><title>T</title><body><p>text</p>") == "text"
+    assert extract.article_text("<head><meta charset=x><p>text</p>") == "text"
+    assert extract.article_text("<body><nav><a>menu</a><article><p>text</p></article>") == "text"
+    assert extract.article_text("<article></nav></div><p>a</p><nav>x</nav>b</article>") == "a\nb"
+    assert extract.article_text("<article><p>a &lt;b&gt; &#8212; c<!-- <p>no</p> --></article>") == "a <b> — c"
     assert extract.article_text("<script>x</script>") is None and extract.article_text(None) is None
 
 
 def test_extract_article_error(spark):
-    df = spark.createDataFrame([(1, "<title>T</title><script>1</script>"), (2, "<title>U</title><article>x</article>")], "page_id int, html string")
+    df = spark.createDataFrame([(1, "<title>T &amp; U</title><script>1</script>"), (2, "<title>U</title><article>x</article>")], "page_id int, html string")
     got = {r.page_id: (r.title, r.text_content, r.error) for r in extract.extract_article(df).collect()}
-    assert got == {1: ("T", None, extract.NO_ARTICLE), 2: ("U", "x", None)}
+    assert got == {1: ("T & U", None, extract.NO_ARTICLE), 2: ("U", "x", None)}
 
 
 def test_model_failures_become_rows(spark):
@@ -189,12 +195,52 @@ def test_ledger_round_trip_and_outbox(spark, tmp_path):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_skew_join_equals_plain_join(spark, how):
-    from tidemark.operators.skew import heavy_keys, skew_join
+    from tidemark.operators.skew import hot_keys, skew_join
 
     rows = hot_rows()
     many = spark.createDataFrame([(k, i) for k, i, _, _ in rows], "k string, i long")
     one = spark.createDataFrame([("hot", 1), ("k1", 2), ("zz", 3)], "k string, v int")
-    assert [r.k for r in heavy_keys(many, ["k"], min_rows=200).collect()] == ["hot"]
-    got = skew_join(many, one, ["k"], how, salt_by="i", min_rows=200, salts=4)
+    counts = many.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert [r.k for r in hot_keys(counts, ["k"], target=200).collect()] == ["hot"]
+    # A low target salts every key, tied counts included.
+    got = skew_join(many, one, ["k"], how, salt_by="i", target=2)
+    assert hot_keys(counts, ["k"], target=2).count() > 1
     want = many.join(one, "k", how)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_anomalies_at_a_large_mean(spark):
+    """Deviations of a thousandth beside values of a billion are not cancelled."""
+    import datetime as dt
+    import statistics
+
+    base = dt.datetime(2024, 1, 1)
+    values = [1e9 + (i % 7) * 0.001 for i in range(31)]
+    rows = [("s", base + dt.timedelta(minutes=i), v) for i, v in enumerate(values)] + [("s", base + dt.timedelta(minutes=31), 1e9 + 0.5)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, v double")
+    got = windows.anomalies(df, "k", "ts", "v", "1 hour", "1 hour").collect()
+    assert [(r.v, round(r.sd, 5)) for r in got] == [(1e9 + 0.5, round(statistics.stdev(v for _, _, v in rows), 5))]
+
+
+def test_spike_after_silence_and_fall_to_zero(spark):
+    import datetime as dt
+
+    day = dt.datetime(2024, 3, 1)
+    rows = [("a", day - dt.timedelta(days=40))] + [("a", day)] * 4 + [("b", day)]
+    df = spark.createDataFrame(rows, "topic string, ts timestamp")
+    assert [(r.n, float(r.mean_before)) for r in windows.topic_spikes(df, "ts", "topic").collect()] == [(4, 0.0)]
+    got = {(r.topic, r.period.month): (r.n, r.n_before) for r in windows.period_change(df, "ts", ["topic"]).collect()}
+    assert got == {("a", 1): (1, 0), ("a", 2): (0, 1), ("a", 3): (4, 0), ("b", 3): (1, 0)}
+
+
+def test_salted_path_through_a_query(spark, monkeypatch):
+    from tidemark.operators import skew
+    from tidemark.plans import registry
+
+    registry.load_all()
+    for name in ("session_assignment", "causation_edges", "state_publish_state"):
+        want = sorted(map(str, registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+        with monkeypatch.context() as m:
+            m.setattr(skew, "TARGET_ROWS", 1)
+            m.setattr(skew, "SHARES", 1000)
+            assert sorted(map(str, registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect())) == want

@@ -116,10 +116,36 @@ def test_lifecycle_stream_matches_batch(spark, tmp_path):
     q.awaitTermination(300)
     assert q.exception() is None
     us = [F.unix_micros(f"{n}_at").alias(f"{n}_us") for n in ("added", "fetched", "enriched")]
-    want = patterns.lifecycle(e, 240 * 3600).select("run_key", *us)
+    last = e.filter("event_type <> 'publish.completed'").agg(F.max("occurred_at")).first()[0]
+    want = patterns.lifecycle(e, 240 * 3600).filter(F.col("enriched_at") <= F.lit(last) - F.expr("INTERVAL 1 HOUR")).select("run_key", *us)
     assert rows_of(spark.table("life")) == rows_of(want)
 
 
+def test_lifecycle_orders_late_events():
+    from tidemark.streaming.lifecycle import advance
+
+    # fetched arrives first; added and enriched, both earlier than the watermark's reach, later.
+    waiting, held, done = advance([(10, 2, 1)], [], 0, 300)
+    assert (held, done) == ([], [])
+    waiting, held, done = advance(waiting + [(20, 3, 2), (5, 1, 0)], held, 15, 300)
+    assert (waiting, held, done) == ([(20, 3, 2)], [(5, 10)], [])
+    waiting, held, done = advance(waiting, held, 30, 300)
+    assert (waiting, held, done) == ([], [], [(5, 10, 20)])
+    # Equal times follow the position; a match at the limit is none.
+    assert advance([(7, 2, 1), (7, 1, 0), (9, 3, 2)], [], 50, 300)[2] == [(7, 7, 9)]
+    assert advance([(0, 1, 0), (1, 2, 1), (300, 3, 2)], [], 400, 300)[2] == []
+
+
+def test_malformed_broker_rows_are_kept(spark):
+    from tidemark.sources.ledger import decode_events
+    from tidemark.streaming.sources import broker_columns
+
+    raw = spark.createDataFrame([('{"id": "a"}', "t", 0, 1), ("not json", "t", 0, 2)], "value string, topic string, partition int, offset long")
+    good, bad = decode_events(broker_columns(raw))
+    assert [(r.id, r.kafka_offset) for r in good.collect()] == [("a", 1)]
+    assert [(r.value, r.kafka_offset) for r in bad.collect()] == [("not json", 2)]
+
+
 def test_cross_stream_daily(spark, tmp_path):
     from tidemark.operators import domains
 

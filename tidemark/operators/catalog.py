@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.functions.payload import tag_prompt_list, truncate_content
+from tidemark.functions.payload import tag_prompt_list
 from tidemark.operators.skew import skew_join
 
 
@@ -46,28 +46,43 @@ def unknown_tags(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     return skew_join(tagged, catalog.select("tag"), ["tag"], "left_anti", salt_by=keys[0]).select(*keys, "tag")
 
 
-def with_prompt_tags(work: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Work rows with the catalog's prompt list. The list is one row of at most 100
-    tags, so it travels as a broadcast single-row join."""
-    known = prompt_tags(catalog).withColumn("_one", F.lit(1))
-    return (
-        work.withColumn("_one", F.lit(1))
-        .join(F.broadcast(known), "_one", "left")
-        .withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
-        .drop("_one")
-    )
+def with_prompt_tags(work: DataFrame, catalog: DataFrame, limit: int = schemas.MAX_TAGS_IN_PROMPT) -> DataFrame:
+    """Work rows with the catalog's prompt list, a scalar of at most `limit` tags, and the
+    number of known tags that the prompt leaves out."""
+    known = F.coalesce(prompt_tags(catalog, limit).scalar(), F.array().cast("array<string>"))
+    total = catalog.agg(F.count(F.lit(1))).scalar()
+    return work.withColumn("known", known).withColumn("n_left_out", total - F.size("known"))
+
 
+def enrichment_requests(
+    work: DataFrame, catalog: DataFrame, max_chars: int = schemas.MAX_CONTENT_CHARS, max_tags: int = schemas.MAX_TAGS_IN_PROMPT
+) -> DataFrame:
+    """Model input: title, the known tags as text, and the text in numbered parts.
 
-def enrichment_requests(work: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Model input per work row: title, shortened text and the known tags as text."""
+    A text longer than `max_chars` gives one request per part (`part` of `n_parts`), so
+    the model sees all of it; `merge_answers` joins the answers.
+    """
+    n_parts = F.ceil(F.length("text_content") / F.lit(max_chars)).cast("int")
     return (
-        with_prompt_tags(work.filter(F.coalesce(F.col("text_content") != "", F.lit(False))), catalog)
-        .withColumn("tag_list", tag_prompt_list("known", schemas.MAX_TAGS_IN_PROMPT))
-        .withColumn("content", truncate_content("text_content", schemas.MAX_CONTENT_CHARS))
+        with_prompt_tags(work.filter(F.coalesce(F.col("text_content") != "", F.lit(False))), catalog, max_tags)
+        .withColumn("tag_list", tag_prompt_list("known", max_tags))
+        .withColumn("n_parts", n_parts)
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+        .withColumn("content", F.substring(F.col("text_content"), F.col("part") * max_chars + 1, F.lit(max_chars)))
         .drop("known", "text_content")
     )
 
 
+def merge_answers(enriched: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per text from the answers to its parts: all tags, in order of part and place,
+    and the other fields of the first part that has them. An answer is a short list, and a
+    text has few parts, so the collected tags stay small."""
+    first = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("part"))).alias(c) for c in ("summary_short", "summary_long", "language", "model_version")]
+    ordered = F.array_sort(F.collect_list(F.struct("part", "tags")))
+    tags = F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["tags"])))
+    return enriched.groupBy(*keys).agg(tags.alias("tags"), F.count(F.lit(1)).cast("int").alias("n_answers"), *first)
+
+
 def tag_quality(rows: DataFrame) -> DataFrame:
     """Rows with their number of tags, of well-formed tags, and whether both rules hold."""
     good = F.size(F.filter("tags", lambda t: F.regexp_like(t, F.lit("^[a-z0-9]+(-[a-z0-9]+)*$"))))

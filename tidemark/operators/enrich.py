@@ -21,7 +21,7 @@ def keyword_tags(rows: DataFrame, key: str, text: str, top: int = 5, min_length:
     Words are counted per (row, word) with a partial aggregation; the ranking keeps
     only `top` words before its exchange.
     """
-    words = rows.select(key, F.explode(F.split(F.lower(text), r"[^a-z0-9]+")).alias("word")).filter(
+    words = rows.select(key, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("word")).filter(
         F.length("word") >= min_length
     )
     counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
@@ -33,13 +33,20 @@ def keyword_tags(rows: DataFrame, key: str, text: str, top: int = 5, min_length:
 
 
 def enrich_default(work: DataFrame, key: str = "subject_id") -> DataFrame:
-    """Tags, summaries and language without a model; summaries are the opening of the text."""
+    """Tags, summaries and language without a model.
+
+    The long summary is the longest line of the text and the short one its shortest line,
+    blank lines aside; of equally long lines the first in the alphabet.
+    """
+    lines = F.filter(F.transform(F.split("text_content", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    sized = F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.alias("line")))
+    longest = F.array_min(F.transform(lines, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("line"))))["line"]
     tags = keyword_tags(work, key, "text_content")
     return work.join(tags, key, "left").select(
         *[c for c in work.columns if c not in ("text_content", "title", "lang")],
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
-        F.substring("text_content", 1, 200).alias("summary_short"),
-        F.substring("text_content", 1, 600).alias("summary_long"),
+        F.array_min(sized)["line"].alias("summary_short"),
+        longest.alias("summary_long"),
         F.col("lang").alias("language"),
         F.lit("keywords").alias("model_version"),
     )

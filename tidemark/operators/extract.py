@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,39 +13,63 @@ from pyspark.sql.types import StringType
 
 NO_ARTICLE = "Readability could not parse article"
 
-_SKIPPED = {"script", "style", "nav", "noscript", "template", "head", "title", "header", "footer", "aside"}
-_BLOCKS = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article", "blockquote"}
+# Elements whose text is no reading text, and elements that begin a new line.
+_SKIPPED = frozenset({"script", "style", "nav", "noscript", "template", "title", "header", "footer", "aside"})
+_BLOCKS = frozenset(
+    {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "table", "section", "article", "main", "blockquote", "pre", "figure"}
+)
+_VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
+# Elements that only stand in the head; anything else ends an open head.
+_HEAD = frozenset({"base", "link", "meta", "noscript", "script", "style", "template", "title"})
+# An article or a main part is never inside a menu, header or footer that was left open.
+_OPENERS = frozenset({"article", "main", "body"})
 
 
 class _Text(HTMLParser):
-    """Collects readable text, apart for <article> and for the whole body."""
+    """Collects readable text, apart for <article> and for the whole body.
+
+    A stack of open tags decides what a text belongs to, so an end tag that is missing or
+    too many affects no more than its own element.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip = self.inside = 0
+        self.open: list[str] = []
         self.article: list[str] = []
         self.body: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _SKIPPED:
-            self.skip += 1
-        elif tag == "article":
-            self.inside += 1
+        if "head" in self.open and tag not in _HEAD and tag != "head":
+            self._close("head")
+        if tag in _OPENERS:
+            skipped = [i for i, t in enumerate(self.open) if t in _SKIPPED]
+            if skipped:
+                del self.open[skipped[0] :]
         if tag in _BLOCKS:
-            self.handle_data("\n")
+            self._add("\n")
+        if tag not in _VOID:
+            self.open.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _SKIPPED and self.skip:
-            self.skip -= 1
-        elif tag == "article" and self.inside:
-            self.inside -= 1
+        self._close(tag)
         if tag in _BLOCKS:
-            self.handle_data("\n")
+            self._add("\n")
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
+        if "head" in self.open and data.strip() and not any(t in _HEAD for t in self.open):
+            self._close("head")
+        self._add(data)
+
+    def _close(self, tag: str) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i] == tag:
+                del self.open[i:]
+                return
+
+    def _add(self, data: str) -> None:
+        if not any(t in _SKIPPED or t == "head" for t in self.open):
             self.body.append(data)
-            if self.inside:
+            if "article" in self.open:
                 self.article.append(data)
 
 
@@ -63,15 +88,20 @@ def article_text(html: str | None) -> str | None:
     return _tidy(parser.article) or _tidy(parser.body) or None
 
 
+@F.pandas_udf(StringType())
+def _decoded(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unescape(t))
+
+
 @F.pandas_udf(StringType())
 def _article(html: pd.Series) -> pd.Series:
     return html.map(article_text)
 
 
 def page_title(html: Column | str) -> Column:
-    """Title element, read natively."""
+    """Title element with its character references decoded, in Arrow batches."""
     h = F.col(html) if isinstance(html, str) else html
-    return F.nullif(F.trim(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    return F.nullif(F.trim(_decoded(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
 
 
 def extract_article(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -27,7 +27,7 @@ from tidemark.functions.payload import (
     valid_visibility,
 )
 from tidemark.functions.urls import normalize_url
-from tidemark.operators.skew import MIN_ROWS, SALTS, TOP_KEYS, skew_join
+from tidemark.operators.skew import hot_keys, skew_join
 from tidemark.sources.ledger import with_payload
 
 LINK_TYPES = (
@@ -141,25 +141,24 @@ def _counts(ev: DataFrame, anchors: DataFrame, enriched: Column, failed: Column)
     """Fetch errors and enrichments after A, and enrichments before the last publish.
 
     `anchors` has subject_id, a_ord, p_ord and n_rows, the number of rows to count.
-    The hottest subjects meet their rows through a broadcast of at most TOP_KEYS
-    anchor rows; those rows then take no part in the match on subject and are only
-    spread by a salt. Both uses of `anchors` need the same columns, so Spark computes
-    it once and reuses the exchange.
+    Subjects above their share of the rows (a list that hot_keys bounds) meet their rows
+    through a broadcast of their anchors; those rows then take no part in the match on
+    subject and are only spread by a salt. Both uses of `anchors` need the same columns,
+    so Spark computes it once and reuses the exchange.
     """
     rows = ev.filter(enriched | failed).select("subject_id", "ord", enriched.alias("is_enrich"))
     base = anchors.filter(F.col("a_ord").isNotNull() & (F.col("n_rows") > 0))
     hot = F.broadcast(
-        base.filter(F.col("n_rows") >= MIN_ROWS)
-        .orderBy(F.desc("n_rows"))
-        .limit(TOP_KEYS)
-        .select("subject_id", F.col("a_ord").alias("hot_a"), F.col("p_ord").alias("hot_p"))
+        hot_keys(base, ["subject_id", "a_ord", "p_ord"], "n_rows").select(
+            "subject_id", F.col("a_ord").alias("hot_a"), F.col("p_ord").alias("hot_p"), "_salts"
+        )
     )
     is_hot = F.col("hot_a").isNotNull()
     cold = base.select(F.col("subject_id").alias("_key"), F.lit(0).alias("_salt"), "a_ord", "p_ord")
     return (
         rows.join(hot, "subject_id", "left")
         .withColumn("_key", F.when(~is_hot, F.col("subject_id")))
-        .withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int")).otherwise(0))
+        .withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64("ord"), "_salts").cast("int")).otherwise(0))
         .join(cold, ["_key", "_salt"], "left")
         .withColumn("_a", F.coalesce("hot_a", "a_ord"))
         .withColumn("_p", F.when(is_hot, F.col("hot_p")).otherwise(F.col("p_ord")))

@@ -155,7 +155,7 @@ def deep_dive(
     band = int(hours * 3600 * 1e6)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"vec_id": [], "n": [], "best": [], "best_id": []}
+        found = []
         if len(left) and len(right):
             r = _unit(right["f_embedding"])
             r_us, r_id = right["f_us"].to_numpy(), right["f_id"].to_numpy()
@@ -166,20 +166,20 @@ def deep_dive(
                 gap = r_us[None, :] - part["us"].to_numpy()[:, None]
                 sim = np.where((gap > 0) & (gap < band) & (sim > threshold), sim, -np.inf)
                 n = (sim > -np.inf).sum(axis=1)
-                best = sim.argmax(axis=1)
-                for i in np.flatnonzero(n):
-                    out["vec_id"].append(part["vec_id"].iloc[i])
-                    out["n"].append(n[i])
-                    out["best"].append(sim[i, best[i]])
-                    out["best_id"].append(r_id[best[i]])
-        return pd.DataFrame(out).astype({"vec_id": "int64", "n": "int64", "best": "float64", "best_id": "int64"})
+                best = sim.max(axis=1)
+                # Of equally similar vectors the smallest id is the best.
+                first = np.where(sim == best[:, None], r_id[None, :], np.iinfo(np.int64).max).min(axis=1)
+                hit = np.flatnonzero(n)
+                found.append((part["vec_id"].to_numpy()[hit], n[hit], best[hit], first[hit]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [[]] * 4
+        return pd.DataFrame(dict(zip(("vec_id", "n", "best", "best_id"), columns))).astype({"vec_id": "int64", "n": "int64", "best": "float64", "best_id": "int64"})
 
     partial = (
         anchors.groupBy("s", "i", "j").cogroup(followers.groupBy("fs", "fi", "fj")).applyInPandas(compare, _DIVE)
     )
     return partial.groupBy("vec_id").agg(
-        F.sum("n").alias("n_related"), F.max("best").alias("best_similarity"), F.max_by("best_id", "best").alias("best_id")
-    )
+        F.sum("n").alias("n_related"), F.max(F.struct("best", (-F.col("best_id")).alias("_id"))).alias("_b")
+    ).select("vec_id", "n_related", F.col("_b.best").alias("best_similarity"), (-F.col("_b._id")).alias("best_id"))
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:

@@ -10,6 +10,7 @@ from tidemark.functions.payload import present
 from tidemark.operators.skew import skew_join
 from tidemark.sources.ledger import with_payload
 
+WORK = tuple(field.split()[0] for field in schemas.WORK_MESSAGE.split(", "))
 ROUTED_TYPES = ("link.added", "content.fetched", "enrichment.completed", "work.failed")
 
 
@@ -151,24 +152,53 @@ def _headers(values: dict[str, Column]) -> Column:
     ).alias("headers")
 
 
+def _message(rows: DataFrame) -> Column:
+    """The whole work message of a row, payload and last error included."""
+    return F.struct(*[F.col(c) for c in WORK if c in rows.columns])
+
+
+def _failure(rows: DataFrame, error: Column, agent: str) -> Column:
+    return F.to_json(F.struct(_message(rows).alias("work_message"), error.alias("error"), F.lit(agent).alias("agent")))
+
+
+def _outcome(rows: DataFrame, agent: str, event_type: Column, payload: Column) -> DataFrame:
+    return rows.select(
+        "subject_id",
+        "correlation_id",
+        F.col("triggered_by_event_id").alias("causation_id"),
+        F.lit(f"agent:{agent}").alias("source"),
+        event_type.alias("event_type"),
+        payload.alias("payload"),
+    )
+
+
 def fetch_outcome(results: DataFrame) -> DataFrame:
     """work.failed for an error without text, otherwise content.fetched.
 
     `results` has the work message columns plus final_url, title, text_content, error.
     """
     failed = present("error") & ~present("text_content")
-    message = F.struct(
-        "subject_id", "work_type", "correlation_id", "triggered_by_event_id", "attempt", "max_attempts", "created_at"
-    )
-    return results.select(
-        "subject_id",
-        "correlation_id",
-        F.lit("agent:fetcher").alias("source"),
-        F.when(failed, "work.failed").otherwise("content.fetched").alias("event_type"),
-        F.when(
-            failed,
-            F.to_json(F.struct(message.alias("work_message"), F.col("error"), F.lit("fetcher").alias("agent"))),
-        )
-        .otherwise(F.to_json(F.struct("final_url", "title", "text_content", F.col("error").alias("fetch_error"))))
-        .alias("payload"),
+    content = F.to_json(F.struct("final_url", "title", "text_content", F.col("error").alias("fetch_error")))
+    return _outcome(
+        results,
+        "fetcher",
+        F.when(failed, "work.failed").otherwise("content.fetched"),
+        F.when(failed, _failure(results, F.col("error"), "fetcher")).otherwise(content),
     )
+
+
+def enrich_outcome(enriched: DataFrame, failed: DataFrame) -> DataFrame:
+    """enrichment.completed for a model's good rows, work.failed for the others.
+
+    Both sides of `run_model`, each with the work message columns.
+    """
+    fields = [c for c in ("tags", "summary_short", "summary_long", "language", "model_version") if c in enriched.columns]
+    done = _outcome(enriched, "enricher", F.lit("enrichment.completed"), F.to_json(F.struct(*fields)))
+    return done.unionAll(_outcome(failed, "enricher", F.lit("work.failed"), _failure(failed, F.col("error"), "enricher")))
+
+
+def publish_outcome(work: DataFrame, now: Column) -> DataFrame:
+    """publish.completed for every publish work message."""
+    stamp = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    rows = work.filter(F.col("work_type") == "publish_link")
+    return _outcome(rows, "publisher", F.lit("publish.completed"), F.to_json(F.struct(stamp.alias("published_at"))))

@@ -2,8 +2,8 @@
 
 Spark's own skew handling needs an exchange directly under both sides of the join; a
 side that was just aggregated on the join key has none, so a hot key would end in one
-task. Here the hottest keys are counted, their rows are spread over salts, and the
-matching rows of the one side are copied to each salt.
+task. Here the rows of each key are counted, the rows of keys above a fair share are
+spread over salts, and the matching rows of the one side are copied to each salt.
 """
 
 from __future__ import annotations
@@ -13,23 +13,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key outside the 1000 most frequent ones holds at most a thousandth of all rows, so
-# this list is complete for its purpose and small enough to broadcast at any scale.
-TOP_KEYS = 1000
-MIN_ROWS = 1_000_000
-SALTS = 256
+# A key is hot if it holds more than this fraction of all rows. By counting, fewer than
+# SHARES keys can, whatever the data, so the hot keys may be broadcast; any other key
+# is smaller than an even share of a job of SHARES tasks.
+SHARES = 10_000
+# Rows that one task may take in any case; below this nothing needs to be spread.
+TARGET_ROWS = 100_000
 
 
-def heavy_keys(rows: DataFrame, keys: Sequence[str], min_rows: int = MIN_ROWS, top: int = TOP_KEYS) -> DataFrame:
-    """The most frequent keys with at least `min_rows` rows; never more than `top` rows."""
-    return (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= min_rows)
-        .orderBy(F.desc("_n"))
-        .limit(top)
-        .select(*keys)
-    )
+def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "n", target: int | None = None) -> DataFrame:
+    """Keys above their share with the number of salts each needs: fewer than SHARES rows.
+
+    `counts` has one row per key. Which keys are hot depends on the counts alone, so
+    every use of the result, in any task or retry, agrees.
+    """
+    share = F.greatest(counts.agg(F.sum(n) / F.lit(SHARES)).scalar(), F.lit(float(TARGET_ROWS if target is None else target)))
+    return counts.filter(F.col(n) > share).select(*keys, F.ceil(F.col(n) / share).cast("int").alias("_salts"))
 
 
 def skew_join(
@@ -39,25 +38,23 @@ def skew_join(
     how: str = "inner",
     *,
     salt_by: str | Sequence[str],
-    min_rows: int = MIN_ROWS,
-    salts: int = SALTS,
+    counts: DataFrame | None = None,
+    target: int | None = None,
 ) -> DataFrame:
     """Join rows with at most one matching row each (inner, left, left_semi, left_anti).
 
     `salt_by` names columns of the many side that differ between rows of one key, such
-    as the arrival position. The salts change where rows are processed, never which
-    rows match.
+    as the arrival position. `counts` gives rows per key (keys and `n`) where the caller
+    has them. The salts change where rows are processed, never which rows match.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not support {how!r}")
     keys = list(keys)
     digest = F.xxhash64(*([salt_by] if isinstance(salt_by, str) else salt_by))
-    hot = F.broadcast(heavy_keys(many.select(*keys), keys, min_rows).withColumn("_hot", F.lit(True)))
-    left = (
-        many.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(digest, F.lit(salts))).otherwise(F.lit(0)).cast("int"))
-        .drop("_hot")
-    )
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = one.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    if counts is None:
+        counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(hot_keys(counts, keys, target=target))
+    left = many.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(digest, "_salts"), F.lit(0)).cast("int")).drop("_salts")
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = one.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -76,9 +76,11 @@ def _slots(rows: DataFrame, keys: Sequence[str], ts: str, gap: str) -> DataFrame
 def assign_sessions(rows: DataFrame, keys: Sequence[str], ts: str, gap: str = "30 minutes") -> DataFrame:
     """Adds session_no to every row by joining rows to slots on (key, slot)."""
     width = _seconds(gap)
-    slots = _slots(rows, keys, ts, gap).select(*keys, "slot", "session_no")
+    slots = _slots(rows, keys, ts, gap)
+    counts = slots.select(*keys, "slot", "n")
+    slots = slots.select(*keys, "slot", "session_no")
     placed = rows.withColumn("slot", F.floor(F.unix_seconds(F.col(ts)) / width))
-    return skew_join(placed, slots, [*keys, "slot"], salt_by=rows.columns).drop("slot")
+    return skew_join(placed, slots, [*keys, "slot"], salt_by=rows.columns, counts=counts).drop("slot")
 
 
 def session_topics(rows: DataFrame, keys: Sequence[str], ts: str, topic: str, gap: str = "30 minutes") -> DataFrame:
@@ -98,30 +100,35 @@ def anomalies(
     holds them (sample deviation, at least two readings).
 
     Panes of one slide are combined to windows; each reading meets, through one
-    equi-join on (key, pane), the short array of its windows' statistics.
+    equi-join on (key, pane), the short array of its windows' statistics. Values are
+    centred on their pane's mean before they are squared, and windows merge the panes'
+    (count, mean, squared deviations), so a large common value cancels nothing.
     """
     step, span = _seconds(slide), _seconds(size)
     steps = span // step
     pane = F.floor(F.unix_seconds(F.col(ts)) / step)
-    panes = (
-        readings.groupBy(key, pane.alias("pane"))
-        .agg(
-            F.count(value).alias("n"),
-            F.sum(value).alias("s"),
-            F.sum(F.col(value) * F.col(value)).alias("q"),
-        )
+    panes = readings.groupBy(key, pane.alias("pane")).agg(
+        F.count(value).alias("n"),
+        F.avg(value).alias("m"),
+        F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias("dev"),
     )
+    panes = panes.filter(F.col("n") > 0)
+    spread = panes.select(key, F.explode(F.sequence(F.col("pane") - (steps - 1), F.col("pane"))).alias("start"), "n", "m", "dev")
+    # At most size/slide panes per window, so the collected array is small and fixed.
     windows = (
-        panes.select(key, F.explode(F.sequence(F.col("pane") - (steps - 1), F.col("pane"))).alias("start"), "n", "s", "q")
-        .groupBy(key, "start")
-        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+        spread.groupBy(key, "start")
+        .agg(
+            F.sum("n").alias("n"),
+            (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"),
+            F.sum("dev").alias("within"),
+            F.collect_list(F.struct("n", "m")).alias("ps"),
+        )
         .filter(F.col("n") >= 2)
-        .select(
-            key,
-            "start",
-            (F.col("s") / F.col("n")).alias("mean"),
-            F.sqrt(F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0))).alias("sd"),
+        .withColumn(
+            "dev",
+            F.col("within") + F.aggregate("ps", F.lit(0.0), lambda acc, p: acc + p["n"] * F.pow(p["m"] - F.col("mean"), 2)),
         )
+        .select(key, "start", "mean", F.sqrt(F.col("dev") / (F.col("n") - 1)).alias("sd"))
     )
     # At most size/slide windows per pane, so the collected array is small and fixed.
     per_pane = (
@@ -132,7 +139,7 @@ def anomalies(
     hit = F.filter("ws", lambda w: F.abs(F.col(value) - w["mean"]) > sigmas * w["sd"])
     placed = readings.filter(F.col(value).isNotNull()).withColumn("pane", pane)
     return (
-        skew_join(placed, per_pane, [key, "pane"], salt_by=[ts, value])
+        skew_join(placed, per_pane, [key, "pane"], salt_by=[ts, value], counts=panes.select(key, "pane", "n"))
         .select(*[c for c in readings.columns], F.explode(hit).alias("w"))
         .select(
             *readings.columns,
@@ -154,12 +161,14 @@ def weekly_digest(rows: DataFrame, ts: str, topic: str, top: int = 3) -> DataFra
 
 def topic_spikes(rows: DataFrame, ts: str, topic: str, factor: float = 2.0, floor: int = 3) -> DataFrame:
     """Days on which a topic reaches `factor` times the mean of its previous seven days
-    (days without events count as zero) and at least `floor` events."""
+    (days without events count as zero, so a topic may spike after silence) and at least
+    `floor` events."""
     daily = rows.groupBy(topic, F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(topic).orderBy(F.unix_date("day")).rangeBetween(-7, -1)
     return (
         daily.withColumn("before", F.sum("n").over(w))
-        .filter(F.col("before").isNotNull() & (F.col("n") >= floor) & (F.col("n") * 7 >= F.col("before") * factor))
+        .withColumn("before", F.coalesce("before", F.lit(0).cast("bigint")))
+        .filter((F.col("n") >= floor) & (F.col("n") * 7 >= F.col("before") * factor))
         .withColumn("mean_before", F.col("before") / 7.0)
         .drop("before")
     )
@@ -179,14 +188,20 @@ def late_events(events: DataFrame, delay: str, keys: Sequence[str] = (), positio
 
 
 def period_change(rows: DataFrame, ts: str, keys: Sequence[str], unit: str = "month") -> DataFrame:
-    """Count per period with the count of the period just before."""
+    """Count per period with the count of the period just before.
+
+    A key's first silent period after one with rows has a row of its own, so a fall to zero
+    shows. Periods after the last one in the table are not made.
+    """
     counts = rows.groupBy(*keys, F.date_trunc(unit, ts).alias("period")).agg(F.count(F.lit(1)).alias("n"))
     previous = counts.select(
         *keys, F.timestamp_add(unit.upper(), F.lit(1), "period").alias("period"), F.col("n").alias("n_before")
     )
+    last = counts.agg(F.max("period")).scalar()
+    zero = F.lit(0).cast("bigint")
     return (
-        counts.join(previous, [*keys, "period"], "left")
-        .withColumn("n_before", F.coalesce("n_before", F.lit(0).cast("bigint")))
+        counts.join(previous.filter(F.col("period") <= last), [*keys, "period"], "full_outer")
+        .withColumns({"n": F.coalesce("n", zero), "n_before": F.coalesce("n_before", zero)})
         .withColumn("change", F.col("n") - F.col("n_before"))
     )
 

@@ -87,9 +87,10 @@ def reading_stats(spark, sf):
 
 @query(
     "period_change",
-    f"""WITH {S.ACTIVITY}, c AS (SELECT topic, date_trunc('week', ts) AS period, count(*) AS n FROM activity GROUP BY ALL)
-    SELECT c.topic, CAST(c.period AS TIMESTAMP) AS period, c.n, coalesce(b.n, 0) AS n_before, c.n - coalesce(b.n, 0) AS change
-    FROM c LEFT JOIN c b ON b.topic = c.topic AND b.period = c.period - INTERVAL 7 DAY""",
+    f"""WITH {S.ACTIVITY}, c AS (SELECT topic, CAST(date_trunc('week', ts) AS TIMESTAMP) AS period, count(*) AS n FROM activity GROUP BY ALL),
+    b AS (SELECT topic, period + INTERVAL 7 DAY AS period, n FROM c WHERE period < (SELECT max(period) FROM c))
+    SELECT topic, CAST(period AS TIMESTAMP) AS period, coalesce(c.n, 0) AS n, coalesce(b.n, 0) AS n_before, coalesce(c.n, 0) - coalesce(b.n, 0) AS change
+    FROM c FULL JOIN b USING (topic, period)""",
 )
 def period_change(spark, sf):
     return flat(windows.period_change(adapters.activity(spark, sf), "ts", ["topic"], "week"))

@@ -116,19 +116,19 @@ def reading_context_by_meeting(spark, sf):
 
 @query(
     "context_join",
-    f"""WITH {S.SENSOR}, r AS (SELECT subject_id AS room, occurred_at, celsius FROM sensor WHERE celsius IS NOT NULL AND ord % 3 = 0),
-    e AS (SELECT event_id, 'sensor:room_' || (user_id % 2) AS room, ts FROM events WHERE event_type = 'click' AND event_id % 3 <> 0)
+    f"""WITH {S.SENSOR}, r AS (SELECT subject_id AS room, occurred_at, celsius FROM sensor WHERE celsius IS NOT NULL ),
+    e AS (SELECT event_id, 'sensor:room_' || (user_id % 2) AS room, ts FROM events WHERE event_type = 'click')
     SELECT event_id, e.room, r.occurred_at AS reading_at, r.celsius AS reading
     FROM e ASOF LEFT JOIN r ON e.room = r.room AND e.ts >= r.occurred_at""",
 )
 def context_join(spark, sf):
     """Clicks of a user with the latest earlier reading of that user's room."""
-    rooms = folds.temperature_readings(adapters.sensor_events(spark, sf).filter("ord % 3 = 0")).select(
+    rooms = folds.temperature_readings(adapters.sensor_events(spark, sf)).select(
         F.col("subject_id").alias("room"), F.col("occurred_at").alias("ts"), "celsius"
     )
     e = (
         adapters.table(spark, sf, "events")
-        .filter("event_type = 'click' AND event_id % 3 <> 0")
+        .filter("event_type = 'click'")
         .select("event_id", F.concat(F.lit("sensor:room_"), F.col("user_id") % 2).alias("room"), "ts")
     )
     return flat(patterns.context_join(e, rooms, ["room"], "ts", "celsius").drop("ts"))
@@ -139,7 +139,7 @@ def context_join(spark, sf):
     f"""WITH {S.LIFE},
     t AS (SELECT ord, unnest(string_split(tags, ',')) AS tag, generate_subscripts(string_split(tags, ','), 1) AS pos FROM life WHERE tags <> ''),
     f AS (SELECT tag, min(ord * 10 + pos) AS f FROM t GROUP BY tag)
-    SELECT 'doc:' || doc_id AS subject_id, (SELECT string_agg(tag, ',' ORDER BY f) FROM f) AS known FROM documents""",
+    SELECT 'doc:' || doc_id AS subject_id, (SELECT string_agg(tag, ',' ORDER BY f) FROM f) AS known, CAST(0 AS BIGINT) AS n_left_out FROM documents""",
 )
 def enrich_with_catalog(spark, sf):
     work = adapters.enrich_work(spark, sf).select("subject_id")

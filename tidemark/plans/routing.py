@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds, routing
+from tidemark import schemas
+from tidemark.operators import enrich, folds, routing
 from tidemark.plans import sqltext as S
 from tidemark.plans.ingest import NOW, now
 from tidemark.plans.registry import flat, ntz, query
@@ -122,29 +123,106 @@ def work_records(spark, sf):
     )
 
 
-@query(
-    "fetch_outcome",
-    f"""WITH {S.BASE} SELECT 'link:' || user_id AS subject_id, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 'work.failed' ELSE 'content.fetched' END AS event_type,
-      CASE WHEN k % 2 = 0 THEN 'Timeout' END AS error FROM base""",
-)
-def fetch_outcome(spark, sf):
+def _fetch_results(spark, sf):
     k = F.col("k")
-    results = adapters.base_events(spark, sf).select(
+    return adapters.base_events(spark, sf).select(
         F.concat(F.lit("link:"), "user_id").alias("subject_id"),
         F.lit("fetch_link").alias("work_type"),
         F.concat(F.lit("run-"), "event_id").alias("correlation_id"),
         F.concat(F.lit("ev-"), "event_id").alias("triggered_by_event_id"),
-        F.lit(1).alias("attempt"),
+        (F.lit(1) + k % 3).cast("int").alias("attempt"),
         F.lit(3).alias("max_attempts"),
         F.lit("2024-01-01T00:00:00Z").alias("created_at"),
+        F.lit(None).cast("string").alias("last_error"),
+        F.concat(F.lit('{"url":"https://site'), "user_id", F.lit('.example.com/"}')).alias("payload"),
         F.lit("https://final/").alias("final_url"),
         F.lit("t").alias("title"),
-        F.when(k % 3 != 0, F.lit("text")).alias("text_content"),
+        F.when(k % 5 != 0, F.lit("text")).alias("text_content"),
         F.when(k % 2 == 0, F.lit("Timeout")).alias("error"),
     )
-    out = routing.fetch_outcome(results)
-    error = F.coalesce(F.get_json_object("payload", "$.error"), F.get_json_object("payload", "$.fetch_error"))
-    return out.select("subject_id", "event_type", error.alias("error"))
+
+
+_MESSAGE = """'{"subject_id":"link:' || user_id || '","work_type":"fetch_link","correlation_id":"run-' || event_id || '","triggered_by_event_id":"ev-' || event_id
+      || '","attempt":' || (1 + k % 3) || ',"max_attempts":3,"created_at":"2024-01-01T00:00:00Z","payload":"{\\"url\\":\\"https://site' || user_id || '.example.com/\\"}"}'"""
+
+
+@query(
+    "fetch_outcome",
+    f"""WITH {S.BASE}, m AS (SELECT *, {_MESSAGE} AS message FROM base)
+    SELECT 'link:' || user_id AS subject_id, 'run-' || event_id AS correlation_id, 'ev-' || event_id AS causation_id, 'agent:fetcher' AS source,
+      CASE WHEN k % 10 = 0 THEN 'work.failed' ELSE 'content.fetched' END AS event_type,
+      CASE WHEN k % 10 = 0 THEN '{{"work_message":' || message || ',"error":"Timeout","agent":"fetcher"}}'
+        ELSE '{{"final_url":"https://final/","title":"t"' || CASE WHEN k % 5 <> 0 THEN ',"text_content":"text"' ELSE '' END
+          || CASE WHEN k % 2 = 0 THEN ',"fetch_error":"Timeout"' ELSE '' END || '}}' END AS payload
+    FROM m""",
+)
+def fetch_outcome(spark, sf):
+    """Outcome events with their whole bodies."""
+    return routing.fetch_outcome(_fetch_results(spark, sf))
+
+
+def _events(outcome):
+    return with_payload(outcome)
+
+
+@query(
+    "work_round_trip",
+    f"""WITH {S.BASE} SELECT 'run-' || event_id AS correlation_id, CASE WHEN k % 3 < 2 THEN 'retry' ELSE 'dead' END AS kind,
+      CAST(CASE WHEN k % 3 < 2 THEN 2 + k % 3 ELSE 3 END AS INTEGER) AS attempt, 'Timeout' AS error,
+      '{{"url":"https://site' || user_id || '.example.com/"}}' AS payload FROM base WHERE k % 10 = 0""",
+)
+def work_round_trip(spark, sf):
+    """Failed fetches as events and back: the retry, or the dead letter, has the first payload."""
+    failed = routing.failed_work(_events(routing.fetch_outcome(_fetch_results(spark, sf))))
+    now = F.lit("2024-02-01T00:00:00Z")
+    again = routing.retry_work(failed, now).select("correlation_id", F.lit("retry").alias("kind"), "attempt", F.col("last_error").alias("error"), "payload")
+    dead = routing.dead_letters(failed, now).select(
+        "original_work.correlation_id", F.lit("dead").alias("kind"), "original_work.attempt", F.col("final_error").alias("error"), "original_work.payload"
+    )
+    return again.unionAll(dead)
+
+
+def _whole_text_model(frame):
+    """Answers from the whole content of a request; every seventh answer is broken."""
+    import hashlib
+    import json
+
+    out = []
+    for run, content in zip(frame["correlation_id"], frame["content"]):
+        broken = int(run.split("-")[1]) % 7 == 3
+        out.append("not json" if broken else json.dumps({"tags": [hashlib.md5(content.encode()).hexdigest()]}))
+    return out
+
+
+@query(
+    "enrich_outcome",
+    """SELECT 'run-' || doc_id AS correlation_id, CASE WHEN doc_id % 7 = 3 THEN 'work.failed' ELSE 'enrichment.completed' END AS event_type,
+      'agent:enricher' AS source, CASE WHEN doc_id % 7 = 3 THEN 'Invalid response' ELSE md5(text) END AS outcome,
+      CASE WHEN doc_id % 7 = 3 THEN md5(text) END AS work_text FROM documents WHERE text <> ''""",
+)
+def enrich_outcome(spark, sf):
+    """Requests to the model and its answers to events; a failure carries the whole work payload."""
+    work = adapters.enrich_work(spark, sf).filter("text_content <> ''")
+    requests = work.select(
+        "subject_id", "work_type", "correlation_id", F.lit("ev").alias("triggered_by_event_id"), F.lit(1).alias("attempt"), F.lit(3).alias("max_attempts"),
+        F.lit("2024-01-01T00:00:00Z").alias("created_at"), F.col("text_content").alias("payload"), F.col("text_content").alias("content"),
+    )
+    events = _events(routing.enrich_outcome(*enrich.run_model(requests, _whole_text_model, "whole")))
+    message = F.from_json("p.work_message", schemas.WORK_MESSAGE)
+    return events.select(
+        "correlation_id", "event_type", "source", F.coalesce(F.col("p.tags")[0], "p.error").alias("outcome"), F.md5(message["payload"]).alias("work_text")
+    )
+
+
+@query(
+    "publish_outcome",
+    f"""WITH {S.BASE} SELECT 'link:' || user_id AS subject_id, 'run-' || event_id AS correlation_id, 'ev-' || event_id AS causation_id,
+      'agent:publisher' AS source, 'publish.completed' AS event_type, '{{"published_at":"2024-02-01T00:00:00.000Z"}}' AS payload FROM base WHERE k % 2 = 0""",
+)
+def publish_outcome(spark, sf):
+    kind = F.when(F.col("attempt") > 0, F.when(F.col("error").isNotNull(), "publish_link").otherwise("fetch_link"))
+    work = _fetch_results(spark, sf).withColumn("work_type", kind)
+    return routing.publish_outcome(work, F.lit("2024-02-01T00:00:00Z").cast("timestamp"))
 
 
 @query(

@@ -128,7 +128,7 @@ page_links AS (
   SELECT page_id, url, url_norm, html, host, 'link:' || substr(sha256(url_norm), 1, 16) AS subject_id FROM page_norm)"""
 
 POSTS = """posts AS (
-  SELECT 'doc-' || doc_id AS slug, substr(text, 1, 30) AS title, source AS series,
+  SELECT 'doc-' || doc_id AS slug, source || ' ' || doc_id AS title, source AS series,
     CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id // 2 AS INTEGER) END AS part,
     ['lang-' || lang, 'kind-' || (doc_id % 6)] AS tags,
     CASE WHEN doc_id % 3 <> 0 THEN 'published' ELSE 'draft' END AS status,

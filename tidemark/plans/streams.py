@@ -78,9 +78,11 @@ def stream_dedupe(spark, sf):
 @query(
     "stream_lifecycle",
     f"""WITH {S.LIFE}, {_PATTERN} SELECT run_key, epoch_us(added_at) AS added_us, epoch_us(fetched_at) AS fetched_us,
-      epoch_us(enriched_at) AS enriched_us FROM q WHERE enriched_at - added_at < INTERVAL 240 HOUR""",
+      epoch_us(enriched_at) AS enriched_us FROM q WHERE enriched_at - added_at < INTERVAL 240 HOUR
+      AND enriched_at <= (SELECT max(ts) FROM life WHERE kind <> 'publish.completed') - INTERVAL 1 HOUR""",
 )
 def stream_lifecycle(spark, sf):
+    """Matches whose last event the watermark has passed by the end of the source."""
     e = adapters.lifecycle_events(spark, sf, runs=True, stream=True)
     return _finish(spark, lifecycle_stream(e, 240 * 3600, "1 hour"))
 

@@ -58,20 +58,20 @@ def session_reconstruction(spark, sf):
 
 
 _ANOMALY = f"""{S.SENSOR},
-r AS (SELECT subject_id, occurred_at, celsius, epoch_us(occurred_at) // 300000000 AS pane FROM sensor WHERE celsius IS NOT NULL),
-w AS (SELECT *, pane - i AS start FROM r, range(12) t(i)),
+r AS (SELECT subject_id, occurred_at, celsius, epoch_us(occurred_at) // 3600000000 AS pane FROM sensor WHERE celsius IS NOT NULL),
+w AS (SELECT *, pane - i AS start FROM r, range(24) t(i)),
 st AS (SELECT subject_id, start, avg(celsius) AS mean, stddev_samp(celsius) AS sd FROM w GROUP BY ALL HAVING count(*) >= 2)"""
 
 
 @query(
     "anomalies",
-    f"""WITH {_ANOMALY} SELECT w.subject_id, occurred_at, celsius, make_timestamp(start * 300000000) AS window_start,
+    f"""WITH {_ANOMALY} SELECT w.subject_id, occurred_at, celsius, make_timestamp(start * 3600000000) AS window_start,
       round(mean, 6) AS mean, round(sd, 6) AS sd
     FROM w JOIN st USING (subject_id, start) WHERE abs(celsius - mean) > 2 * sd""",
 )
 def anomalies(spark, sf):
     r = folds.temperature_readings(adapters.sensor_events(spark, sf)).select("subject_id", "occurred_at", "celsius")
-    rows = windows.anomalies(r, "subject_id", "occurred_at", "celsius")
+    rows = windows.anomalies(r, "subject_id", "occurred_at", "celsius", "1 day", "1 hour")
     return flat(rows.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)}))
 
 
@@ -105,7 +105,7 @@ def weekly_digest(spark, sf):
 @query(
     "topic_spikes",
     f"""WITH {S.ACTIVITY}, c AS (SELECT fine_topic, CAST(ts AS DATE) AS day, count(*) AS n FROM activity GROUP BY ALL),
-    b AS (SELECT c.fine_topic, c.day, c.n, sum(p.n) AS before FROM c JOIN c p ON p.fine_topic = c.fine_topic
+    b AS (SELECT c.fine_topic, c.day, c.n, coalesce(sum(p.n), 0) AS before FROM c LEFT JOIN c p ON p.fine_topic = c.fine_topic
       AND p.day >= c.day - 7 AND p.day < c.day GROUP BY ALL)
     SELECT fine_topic, day, n, round(before / 7.0, 6) AS mean_before FROM b WHERE n >= 3 AND n >= 2 * before / 7.0""",
 )

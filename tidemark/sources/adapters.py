@@ -243,7 +243,7 @@ def enrich_work(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("doc:"), "doc_id").alias("subject_id"),
         F.lit("enrich_link").alias("work_type"),
         F.concat(F.lit("run-"), "doc_id").alias("correlation_id"),
-        F.substring("text", 1, 40).alias("title"),
+        F.concat_ws(" ", "source", "doc_id").alias("title"),
         F.col("text").alias("text_content"),
         F.col("lang"),
     )
@@ -292,7 +292,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.concat(F.lit("doc-"), "doc_id").alias("slug"),
-        F.substring("text", 1, 30).alias("title"),
+        F.concat_ws(" ", "source", "doc_id").alias("title"),
         F.col("source").alias("series"),
         F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") / 2).cast("int")).alias("part"),
         F.array(F.concat(F.lit("lang-"), "lang"), F.concat(F.lit("kind-"), F.col("doc_id") % 6)).alias("tags"),

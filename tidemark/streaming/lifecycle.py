@@ -1,6 +1,8 @@
 """Stateful lifecycle pattern: added, then fetched, then enriched, within a time limit.
 
-State per run is one small struct per open link.added; it expires with event time.
+Events are handled in (time, position) order, whatever order they arrive in: an event waits in
+state until the watermark has passed it. Per key and limit the state is what arrived within the
+watermark delay, plus the open links of the last `within_seconds`.
 """
 
 from __future__ import annotations
@@ -13,42 +15,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "run_key string, added_us long, fetched_us long, enriched_us long"
-STATE = "open array<struct<added: long, fetched: long>>"
+# wait: events the watermark has not passed; open: links added and not yet enriched.
+STATE = "wait array<struct<us: long, ord: long, kind: int>>, open array<struct<added: long, fetched: long>>"
+KINDS = {"link.added": 0, "content.fetched": 1, "enrichment.completed": 2}
+
+
+def advance(waiting: list[tuple[int, int, int]], held: list[tuple[int, int]], until_us: int, limit_us: int) -> tuple[list, list, list]:
+    """(still waiting, open links, matches) after all events up to `until_us`, in order."""
+    done = []
+    waiting.sort()
+    at = 0
+    for us, _, kind in waiting:
+        if us > until_us:
+            break
+        at += 1
+        held = [(a, f) for a, f in held if us - a < limit_us]
+        if kind == 0:
+            held.append((us, -1))
+        elif kind == 1:
+            held = [(a, us if f < 0 else f) for a, f in held]
+        else:
+            done += [(a, f, us) for a, f in held if f >= 0]
+            held = [(a, f) for a, f in held if f < 0]
+    return waiting[at:], held, done
 
 
 def lifecycle_stream(events: DataFrame, within_seconds: int = 300, delay: str = "5 minutes") -> DataFrame:
+    """Matches of the pattern as the watermark passes their last event.
+
+    Events later than the watermark are dropped, as everywhere in Structured Streaming.
+    """
     limit = within_seconds * 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = [(r[0], r[1]) for r in state.get[0]] if state.exists else []
-        done: list[tuple] = []
-        rows = pd.concat(list(frames)).sort_values("us")
-        for kind, us in zip(rows["event_type"], rows["us"]):
-            held = [(a, f) for a, f in held if us - a < limit]
-            if kind == "link.added":
-                held.append((int(us), -1))
-            elif kind == "content.fetched":
-                held = [(a, int(us) if f < 0 else f) for a, f in held]
-            else:
-                done += [(key[0], a, f, int(us)) for a, f in held if f >= 0]
-                held = [(a, f) for a, f in held if f < 0]
-        if held:
-            state.update(([{"added": a, "fetched": f} for a, f in held],))
-            expires = (max(a for a, _ in held) + limit) // 1000 + 1
-            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+        waiting = [tuple(r) for r in state.get[0]] if state.exists else []
+        held = [tuple(r) for r in state.get[1]] if state.exists else []
+        mark = state.getCurrentWatermarkMs() * 1000
+        # One Arrow batch after the other; each leaves only what the watermark has not passed.
+        if not state.hasTimedOut:
+            for frame in frames:
+                waiting += zip(frame["us"].tolist(), frame["ord"].tolist(), frame["kind"].tolist())
+        waiting, held, done = advance(waiting, held, mark, limit)
+        held = [(a, f) for a, f in held if mark - a < limit]
+        if waiting or held:
+            state.update((waiting, held))
+            # Due when the watermark passes the first waiting event, or the last open link expires.
+            due = waiting[0][0] if waiting else max(a for a, _ in held) + limit
+            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(done, columns=["run_key", "added_us", "fetched_us", "enriched_us"])
+        yield pd.DataFrame([(key[0], *m) for m in done], columns=["run_key", "added_us", "fetched_us", "enriched_us"])
 
+    kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     return (
-        events.filter(F.col("event_type").isin("link.added", "content.fetched", "enrichment.completed"))
+        events.filter(F.col("event_type").isin(*KINDS))
         .withWatermark("occurred_at", delay)
         .select(
-            F.coalesce("correlation_id", "id").alias("run_key"), "event_type", "occurred_at",
-            F.unix_micros("occurred_at").alias("us"),
+            F.coalesce("correlation_id", "id").alias("run_key"), "occurred_at", F.col("ord").cast("long").alias("ord"),
+            kind[F.col("event_type")].alias("kind"), F.unix_micros("occurred_at").alias("us"),
         )
         .groupBy("run_key")
         .applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

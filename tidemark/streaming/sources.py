@@ -24,23 +24,36 @@ def read_event_stream(
     """Events as an unbounded table: a broker topic, or a directory for replay and tests.
 
     `kafka` holds the connector options (servers, security, subscribe); position
-    columns come from the broker. Malformed values are dropped here; use
-    `decode_events` on the raw stream to keep them.
+    columns come from the broker. Malformed values are in `read_malformed`, so a job that
+    writes both streams loses nothing.
     """
     if kafka is not None:
-        reader = spark.readStream.format("kafka").option("subscribe", "events.raw").options(**kafka)
-        raw = reader.options(**(options or {})).load().select(
-            F.col("value").cast("string").alias("value"),
-            F.col("topic").alias("kafka_topic"),
-            F.col("partition").alias("kafka_partition"),
-            F.col("offset").alias("kafka_offset"),
-        )
-        return decode_events(raw)[0]
+        return decode_events(_broker_rows(spark, kafka, options))[0]
     if path is None:
         raise ValueError("either path or kafka is required")
     return spark.readStream.format(fmt).schema(schema).options(**(options or {})).load(path)
 
 
+def _broker_rows(spark: SparkSession, kafka: Mapping[str, str], options: Mapping[str, str] | None) -> DataFrame:
+    reader = spark.readStream.format("kafka").option("subscribe", "events.raw").options(**kafka)
+    return broker_columns(reader.options(**(options or {})).load())
+
+
+def broker_columns(raw: DataFrame) -> DataFrame:
+    """Value as text with its position, from the columns the connector gives."""
+    return raw.select(
+        F.col("value").cast("string").alias("value"),
+        F.col("topic").alias("kafka_topic"),
+        F.col("partition").alias("kafka_partition"),
+        F.col("offset").alias("kafka_offset"),
+    )
+
+
+def read_malformed(spark: SparkSession, kafka: Mapping[str, str], options: Mapping[str, str] | None = None) -> DataFrame:
+    """The unreadable values of the same topic with their positions, for a quarantine table."""
+    return decode_events(_broker_rows(spark, kafka, options))[1]
+
+
 def with_event_time(events: DataFrame, delay: str = "5 minutes") -> DataFrame:
     return events.withWatermark("occurred_at", delay)
 
