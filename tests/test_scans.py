@@ -20,12 +20,17 @@ def test_positions(spark):
 
     rows = hot_rows()
     df = spark.createDataFrame([(k, f"id{i}", t) for k, i, t, _ in rows], "k string, id string, t int")
-    got = {r.id: (r.position, r.total) for r in scans.positions(df, ["k"], "t", "id", width=2).collect()}
+    got = {r.id: (r.position, r.total) for r in scans.positions(df, ["k"], "t", "id", chunk_rows=10).collect()}
     want = {}
     for key in {r[0] for r in rows}:
         mine = sorted((t, hashlib.md5(f"id{i}".encode()).hexdigest(), f"id{i}") for k, i, t, _ in rows if k == key)
         want.update({m[2]: (p + 1, len(mine)) for p, m in enumerate(mine)})
     assert got == want
+    beside = {r.id: (r.b, r.a) for r in scans.positions(df, ["k"], "t", "id", before="b", after="a", chunk_rows=10).collect()}
+    order = sorted(want, key=lambda x: (next(k for k, i, _, _ in rows if f"id{i}" == x), want[x][0]))
+    for x, y in zip(order, order[1:]):
+        if want[y][0] == want[x][0] + 1:
+            assert (beside[x][1], beside[y][0]) == (y, x)
 
 
 @pytest.mark.parametrize("include", [False, True])

@@ -235,13 +235,11 @@ def series_navigation(posts: DataFrame) -> DataFrame:
     """Published posts of a series in part order with index, total, previous and next.
 
     Parts missing count as 0; equal parts are ordered by the digest of the slug. The
-    neighbours come from an equi-join on (series, position), so a series with a
-    third of all posts is spread like any other.
+    neighbours come from the chunk of the row or the edges of the chunks beside it, so a
+    series with a third of all posts is spread like any other.
     """
     live = posts.filter((F.col("status") == "published") & F.col("series").isNotNull()).withColumn(
         "_part", F.coalesce("part", F.lit(0))
     )
-    placed = positions(live, ["series"], "_part", "slug").select("series", "slug", "part", "position", "total")
-    nxt = placed.select("series", (F.col("position") - 1).alias("position"), F.col("slug").alias("next_slug"))
-    prv = placed.select("series", (F.col("position") + 1).alias("position"), F.col("slug").alias("prev_slug"))
-    return placed.join(nxt, ["series", "position"], "left").join(prv, ["series", "position"], "left")
+    placed = positions(live, ["series"], "_part", "slug", before="prev_slug", after="next_slug")
+    return placed.select("series", "position", "slug", "part", "total", "next_slug", "prev_slug")

@@ -68,58 +68,68 @@ def running_max(
     )
 
 
+# Ranges of the order that every key shares, and rows of one chunk of a key on average.
+RANGES = 256
+CHUNK_ROWS = 100_000
+
+
 def positions(
     rows: DataFrame,
     keys: Sequence[str],
     number: str,
     tie: str,
     *,
-    width: int = 4096,
     out: str = "position",
     total: str = "total",
+    before: str | None = None,
+    after: str | None = None,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Adds the 1-based position of a row in its key, ordered by (number, tie), and the
-    size of the key.
-
-    `number` is an integer column, `tie` a unique text, ordered by its md5 first so
-    that ties of any size split into 4096 even chunks. Counts are reduced level by
-    level, each level holding at most `width` parts of the one above: blocks of
-    width^2 numbers, blocks of width numbers, single numbers, digest chunks. Only
-    chunk-local row numbers touch single rows.
+    size of the key; on request also the `tie` of the row before and after it.
+
+    `number` is an integer column, `tie` a unique text, ordered by its md5 first. A chunk
+    is one of 2 * RANGES ranges of the numbers, cut at their quantiles, times a range of the
+    digest; there are as many digest ranges as the counted rows need, so ties of any size
+    split evenly. Rows are numbered per (key, chunk) and one summary row per chunk, of
+    which a key has 2 * RANGES times the digest ranges at most, carries counts and edge rows
+    along the key. One pass over the rows finds count and quantiles beforehand.
     """
     keys = list(keys)
-    levels = ["_b2", "_b1", "_n", "_c"]
-    d = rows.withColumns(
-        {
-            "_b2": F.floor(F.col(number) / (width * width)),
-            "_b1": F.floor(F.col(number) / width),
-            "_n": F.col(number),
-            "_h": F.md5(tie),
-            "_c": F.substring(F.md5(tie), 1, 3),
-        }
+    cuts = [i / RANGES for i in range(1, RANGES)]
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(number, cuts, 10_000).alias("q")).first()
+    # A number that fills a whole quantile is an edge; with the one below it is a range of its own.
+    edges = F.array(*[F.lit(e).cast("bigint") for e in sorted({e - d for e in seen["q"] or [0] for d in (0, 1)})])
+    digests = max(1, -(-seen["n"] // chunk_rows))
+    digest = F.md5(tie)
+    part = F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") * F.lit(digests) / F.lit(1 << 32))
+    d = rows.withColumns({"_h": digest, "_r": F.size(F.filter(edges, lambda e: e < F.col(number)))})
+    # A range of one number is ordered by digest alone; a wider one must stay whole.
+    spread = d.groupBy("_r").agg(F.min(number).alias("_lo"), F.max(number).alias("_hi")).filter("_lo = _hi").collect()
+    single = F.col("_r").isin([r["_r"] for r in spread]) if spread else F.lit(False)
+    d = d.withColumn("_c", F.when(single, part).otherwise(0).cast("bigint"))
+    order = F.struct(F.col(number), F.col("_h"), F.col(tie))
+    along = Window.partitionBy(*keys).orderBy("_r", "_c")
+    chunks = d.groupBy(*keys, "_r", "_c").agg(
+        F.count(F.lit(1)).alias("_n"), F.min_by(tie, order).alias("_first"), F.max_by(tie, order).alias("_last")
     )
-    counts = [d.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("_cnt"))]
-    for depth in (3, 2, 1):
-        counts.insert(0, counts[0].groupBy(*keys, *levels[:depth]).agg(F.sum("_cnt").alias("_cnt")))
-    offsets = counts[0].withColumn(total, F.sum("_cnt").over(Window.partitionBy(*keys)))
-    offsets = offsets.withColumn("_off", _before(keys, levels[0])).drop("_cnt")
-    for depth in (1, 2, 3):
-        parent = [*keys, *levels[:depth]]
-        offsets = (
-            counts[depth]
-            .withColumn("_in", _before(parent, levels[depth]))
-            .join(offsets, parent)
-            .select(*parent, levels[depth], total, (F.col("_off") + F.col("_in")).alias("_off"))
-        )
-    local = Window.partitionBy(*keys, *levels).orderBy("_h", tie)
-    return (
-        d.withColumn("_rn", F.row_number().over(local))
-        .join(offsets, [*keys, *levels])
-        .withColumn(out, F.col("_off") + F.col("_rn"))
-        .drop(*levels, "_h", "_off", "_rn")
+    chunks = chunks.select(
+        *keys,
+        "_r",
+        "_c",
+        F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias(total),
+        F.lag("_last").over(along).alias("_from"),
+        F.lead("_first").over(along).alias("_to"),
     )
-
-
-def _before(parent: Sequence[str], level: str) -> Column:
-    w = Window.partitionBy(*parent).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum("_cnt").over(w), F.lit(0))
+    local = Window.partitionBy(*keys, "_r", "_c").orderBy(number, "_h", tie)
+    scanned = d.withColumn("_rn", F.row_number().over(local))
+    extra = {}
+    if before is not None:
+        scanned = scanned.withColumn("_lag", F.lag(tie).over(local))
+        extra[before] = F.coalesce("_lag", "_from")
+    if after is not None:
+        scanned = scanned.withColumn("_lead", F.lead(tie).over(local))
+        extra[after] = F.coalesce("_lead", "_to")
+    placed = scanned.join(chunks, [*keys, "_r", "_c"]).withColumns({out: F.col("_off") + F.col("_rn"), **extra})
+    return placed.drop("_h", "_r", "_c", "_rn", "_off", "_from", "_to", "_lag", "_lead")
