@@ -172,7 +172,7 @@ def _counts(ev: DataFrame, anchors: DataFrame, enriched: Column, failed: Column)
     )
 
 
-def links(partials: DataFrame) -> DataFrame:
+def _link_columns() -> list[Column]:
     url = F.col("added.v.url")
     status = (
         F.when(F.col("terminal").isNotNull(), F.col("terminal.v"))
@@ -180,8 +180,7 @@ def links(partials: DataFrame) -> DataFrame:
         .when(F.col("ok_ord").isNotNull(), "fetched")
         .otherwise("new")
     )
-    return partials.select(
-        "subject_id",
+    return [
         url.alias("url"),
         F.coalesce("added.v.url_norm", normalize_url(url)).alias("url_norm"),
         F.col("added.v.created_at").alias("created_at"),
@@ -192,7 +191,33 @@ def links(partials: DataFrame) -> DataFrame:
         F.col("n_err").cast("int").alias("retry_count"),
         F.col("err.v.occurred_at").alias("last_error_at"),
         F.col("err.v.error").alias("last_error"),
-        F.col("added.ord").alias("added_ord"),
+    ]
+
+
+def links(partials: DataFrame) -> DataFrame:
+    return partials.select("subject_id", *_link_columns(), F.col("added.ord").alias("added_ord"))
+
+
+# Which subjects have a row in the other link tables.
+_HAS_CONTENT = "c_last IS NOT NULL"
+_HAS_METADATA = "m_last IS NOT NULL"
+_HAS_PUBLISH = "n_enrich > 0"
+
+
+def link_rows(partials: DataFrame) -> DataFrame:
+    """All link tables as one row per subject, straight from the fold: the columns that
+    joining links, content, metadata and publish state by subject would give, NULL where
+    the subject has no row in a table."""
+
+    def within(condition: str, columns: list[Column], names: list[str]) -> list[Column]:
+        return [F.when(F.expr(condition), c).alias(n) for c, n in zip(columns, names)]
+
+    return partials.select(
+        "subject_id",
+        *_link_columns(),
+        *within(_HAS_CONTENT, _content_columns(), CONTENT_NAMES),
+        *within(_HAS_METADATA, _metadata_columns(), METADATA_NAMES),
+        *within(_HAS_PUBLISH, _publish_columns(), PUBLISH_NAMES),
     )
 
 
@@ -207,33 +232,41 @@ def unique_url(link_rows: DataFrame) -> DataFrame:
     )
 
 
+CONTENT_NAMES = ["final_url", "title", "text_content", "html_storage_key", "fetched_at", "fetch_error"]
+METADATA_NAMES = ["tags", "summary_short", "summary_long", "language", "model_version", "updated_at"]
+PUBLISH_NAMES = ["desired_version", "published_version", "dirty", "last_published_at"]
+
+
+def _content_columns() -> list[Column]:
+    last = F.col("c_last.v")
+    return [F.col(f"c_{c}.v").alias(c) for c in CONTENT_NAMES[:4]] + [last["occurred_at"].alias("fetched_at"), last["fetch_error"].alias("fetch_error")]
+
+
 def link_content(partials: DataFrame) -> DataFrame:
-    return partials.filter(F.col("c_last").isNotNull()).select(
-        "subject_id",
-        *[F.col(f"c_{c}.v").alias(c) for c in ("final_url", "title", "text_content", "html_storage_key")],
-        F.col("c_last.v.occurred_at").alias("fetched_at"),
-        F.col("c_last.v.fetch_error").alias("fetch_error"),
-    )
+    return partials.filter(_HAS_CONTENT).select("subject_id", *_content_columns())
+
+
+def _metadata_columns() -> list[Column]:
+    tags = F.coalesce("m_tags.v", F.array().cast("array<string>")).alias("tags")
+    return [tags] + [F.col(f"m_{c}.v").alias(c) for c in METADATA_NAMES[1:5]] + [F.col("m_last.v").alias("updated_at")]
 
 
 def link_metadata(partials: DataFrame) -> DataFrame:
-    return partials.filter(F.col("m_last").isNotNull()).select(
-        "subject_id",
-        F.coalesce("m_tags.v", F.array().cast("array<string>")).alias("tags"),
-        *[F.col(f"m_{c}.v").alias(c) for c in ("summary_short", "summary_long", "language", "model_version")],
-        F.col("m_last.v").alias("updated_at"),
-    )
+    return partials.filter(_HAS_METADATA).select("subject_id", *_metadata_columns())
 
 
-def publish_state(partials: DataFrame) -> DataFrame:
+def _publish_columns() -> list[Column]:
     done = F.col("n_before_pub") > 0
-    return partials.filter(F.col("n_enrich") > 0).select(
-        "subject_id",
+    return [
         F.col("n_enrich").cast("int").alias("desired_version"),
         F.when(done, F.col("n_before_pub")).otherwise(0).cast("int").alias("published_version"),
         (~done | (F.col("enrich_ord") > F.col("pub.ord"))).alias("dirty"),
         F.when(done, F.col("pub.v")).alias("last_published_at"),
-    )
+    ]
+
+
+def publish_state(partials: DataFrame) -> DataFrame:
+    return partials.filter(_HAS_PUBLISH).select("subject_id", *_publish_columns())
 
 
 def merge_partials(

@@ -11,15 +11,18 @@ from tidemark.functions.payload import display_date, display_title
 from tidemark.operators.skew import skew_join
 
 
-def published_stream(links: DataFrame, content: DataFrame, metadata: DataFrame, publish: DataFrame) -> DataFrame:
-    """Public published links with their content, metadata and publication time."""
-    return (
-        links.filter((F.col("status") == "published") & (F.col("visibility") == "public"))
-        .select("subject_id", "url", "created_at", "source")
-        .join(content.select("subject_id", "title"), "subject_id", "left")
-        .join(metadata.select("subject_id", "tags", "summary_short"), "subject_id", "left")
-        .join(publish.select("subject_id", F.col("last_published_at").alias("published_at")), "subject_id", "left")
-        .withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+def _tags() -> Column:
+    return F.coalesce("tags", F.array().cast("array<string>")).alias("tags")
+
+
+def published_stream(rows: DataFrame) -> DataFrame:
+    """Public published links with their content, metadata and publication time.
+
+    `rows` has every column of a link: `folds.link_rows` of one fold, or `link_detail` of
+    stored tables.
+    """
+    return rows.filter((F.col("status") == "published") & (F.col("visibility") == "public")).select(
+        "subject_id", "url", "created_at", "source", "title", _tags(), "summary_short", F.col("last_published_at").alias("published_at")
     )
 
 
@@ -41,32 +44,26 @@ def stream_page(stream: DataFrame) -> DataFrame:
     )
 
 
-def recent_links(links: DataFrame, content: DataFrame, metadata: DataFrame, n: int = 10) -> DataFrame:
-    """Newest links. The top-k comes first, so the joins see n rows on one side."""
-    newest = links.orderBy(F.desc("created_at"), "subject_id").limit(n)
-    return (
-        newest.select("subject_id", "url", "status", "created_at")
-        .join(content.select("subject_id", "title"), "subject_id", "left")
-        .join(metadata.select("subject_id", "tags"), "subject_id", "left")
-    )
+def recent_links(rows: DataFrame, n: int = 10) -> DataFrame:
+    """Newest links (top-k, no full sort)."""
+    return rows.select("subject_id", "url", "status", "created_at", "title", "tags").orderBy(F.desc("created_at"), "subject_id").limit(n)
 
 
 def link_detail(links: DataFrame, content: DataFrame, metadata: DataFrame, publish: DataFrame) -> DataFrame:
-    """Everything known about each link; filter by subject_id for one."""
+    """Everything known about each link from its stored tables, as `folds.link_rows` gives
+    it from a fold; filter by subject_id for one."""
     return (
         links.join(content, "subject_id", "left").join(metadata, "subject_id", "left").join(publish, "subject_id", "left")
     )
 
 
-def stuck_links(links: DataFrame, metadata: DataFrame, events: DataFrame) -> DataFrame:
+def stuck_links(rows: DataFrame, events: DataFrame) -> DataFrame:
     """Enriched links for which no publish.completed event exists."""
     done = events.filter(F.col("event_type") == "publish.completed").select("subject_id").distinct()
     return (
-        links.filter(F.col("status") == "enriched")
-        .select("subject_id", "url", "status", "created_at")
+        rows.filter(F.col("status") == "enriched")
+        .select("subject_id", "url", "status", "created_at", _tags(), "summary_short", "summary_long", "language", "model_version")
         .join(done, "subject_id", "left_anti")
-        .join(metadata.drop("updated_at"), "subject_id", "left")
-        .withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     )
 
 

@@ -109,20 +109,58 @@ def dead_letters(failed: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def route_all(
-    events: DataFrame, content: DataFrame, metadata: DataFrame, publish_state: DataFrame, now: Column
-) -> tuple[DataFrame, DataFrame]:
-    """(work, dead letters). State is read as of the start of the batch and repeats of
-    one trigger inside the batch collapse."""
+def stages_done(rows: DataFrame) -> DataFrame:
+    """Which stages each subject has behind it, from the wide link rows."""
+    no = F.lit(False)
+    return rows.select(
+        "subject_id",
+        F.col("fetched_at").isNotNull().alias("has_content"),
+        F.coalesce(F.size("tags") > 0, no).alias("has_tags"),
+        F.coalesce((F.col("published_version") >= F.col("desired_version")) & ~F.col("dirty"), no).alias("is_published"),
+    )
+
+
+def route_all(events: DataFrame, done: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(work, dead letters). `done` is the state as of the start of the batch, one row per
+    subject (`stages_done`); repeats of one trigger inside the batch collapse.
+
+    Every event meets the state once, and its type decides what it may start.
+    """
     decoded = with_payload(events.filter(F.col("event_type").isin(*ROUTED_TYPES)))
-    failed = failed_work(decoded)
-    work = (
-        route_fetch(decoded, content, now)
-        .unionByName(route_enrich(decoded, metadata, now))
-        .unionByName(route_publish(decoded, publish_state, now))
-        .dropDuplicates(["subject_id", "work_type", "triggered_by_event_id"])
-        .unionByName(retry_work(failed, now))
+    kind = F.col("event_type")
+    starts = {
+        "fetch_link": (kind == "link.added") & present("p.url"),
+        "enrich_link": (kind == "content.fetched") & ~present("p.fetch_error") & present("p.text_content"),
+        "publish_link": kind == "enrichment.completed",
+    }
+    behind = {"fetch_link": "has_content", "enrich_link": "has_tags", "publish_link": "is_published"}
+    payloads = {"fetch_link": F.to_json(F.struct("p.url")), "enrich_link": F.to_json(F.struct("p.title", "p.text_content")), "publish_link": F.lit("{}")}
+
+    def choose(values: dict[str, Column]) -> Column:
+        first, second, third = (F.when(starts[w], values[w]) for w in starts)
+        return F.coalesce(first, second, third)
+
+    # The trigger is decided before the join, so only possible triggers are moved.
+    work_type = choose({w: F.lit(w) for w in starts})
+    triggers = decoded.select(
+        "id", "subject_id", "correlation_id", work_type.alias("work_type"), choose(payloads).alias("payload")
+    ).filter(F.col("work_type").isNotNull())
+    met = skew_join(triggers, done, ["subject_id"], "left", salt_by="id")
+    held = F.coalesce(*[F.when(F.col("work_type") == w, F.col(c)) for w, c in behind.items()], F.lit(False))
+    work = met.filter(~held).select(
+        F.concat(F.lit("work."), "work_type").alias("topic"),
+        "subject_id",
+        "work_type",
+        F.coalesce("correlation_id", "id").alias("correlation_id"),
+        F.col("id").alias("triggered_by_event_id"),
+        F.lit(1).alias("attempt"),
+        F.lit(schemas.MAX_ATTEMPTS).alias("max_attempts"),
+        now.alias("created_at"),
+        F.lit(None).cast("string").alias("last_error"),
+        "payload",
     )
+    failed = failed_work(decoded)
+    work = work.dropDuplicates(["subject_id", "work_type", "triggered_by_event_id"]).unionByName(retry_work(failed, now))
     return work, dead_letters(failed, now)
 
 

@@ -9,7 +9,7 @@ from tidemark.plans import sqltext as S
 from tidemark.plans.ingest import NOW, now
 from tidemark.plans.registry import flat, ntz, query
 from tidemark.plans.state import TODO_STATE, all_events
-from tidemark.plans.tables import link_tables, public_stream
+from tidemark.plans.tables import link_rows, link_tables, public_stream
 from tidemark.sources import adapters
 
 STREAM = f"""{S.AFTER},
@@ -23,13 +23,14 @@ stream AS (
 
 @query("published_stream", f"WITH {STREAM} SELECT * FROM stream")
 def published_stream(spark, sf):
-    t = link_tables(spark, sf)
-    return flat(reads.page_order(reads.published_stream(t.links, t.content, t.metadata, t.publish)))
+    return flat(reads.page_order(public_stream(spark, sf)))
 
 
 @query("published_stream_folded", f"WITH {STREAM} SELECT * FROM stream")
 def published_stream_folded(spark, sf):
-    return flat(public_stream(spark, sf))
+    """The same rows from the four stored tables."""
+    t = link_tables(spark, sf)
+    return flat(reads.published_stream(reads.link_detail(t.links, t.content, t.metadata, t.publish)))
 
 
 _PAGE_SQL = f"""WITH {STREAM} SELECT subject_id, url, coalesce(nullif(title, ''), url) AS display_title,
@@ -49,8 +50,7 @@ def stream_page(spark, sf):
     FROM newest n LEFT JOIN link_content USING (subject_id) LEFT JOIN link_metadata USING (subject_id)""",
 )
 def recent_links(spark, sf):
-    t = link_tables(spark, sf)
-    return flat(reads.recent_links(t.links, t.content, t.metadata))
+    return flat(reads.recent_links(link_rows(spark, sf)))
 
 
 @query(
@@ -60,8 +60,7 @@ def recent_links(spark, sf):
       LEFT JOIN publish_state p USING (subject_id)""",
 )
 def link_detail(spark, sf):
-    t = link_tables(spark, sf)
-    return flat(reads.link_detail(t.links, t.content, t.metadata, t.publish))
+    return flat(link_rows(spark, sf))
 
 
 _STUCK = f"""{S.AFTER},
@@ -74,8 +73,7 @@ stuck AS (
 
 @query("stuck_links", f"WITH {_STUCK} SELECT * FROM stuck")
 def stuck_links(spark, sf):
-    t = link_tables(spark, sf)
-    return flat(reads.stuck_links(t.links, t.metadata, t.events))
+    return flat(reads.stuck_links(link_rows(spark, sf), adapters.lifecycle_events(spark, sf)))
 
 
 @query(
@@ -84,8 +82,7 @@ def stuck_links(spark, sf):
       TIMESTAMP '{NOW}' AS occurred_at, tags, coalesce(model_version, 'recovery') AS model_version FROM stuck""",
 )
 def recovery_events(spark, sf):
-    t = link_tables(spark, sf)
-    e = admin.recovery_events(reads.stuck_links(t.links, t.metadata, t.events), now())
+    e = admin.recovery_events(reads.stuck_links(link_rows(spark, sf), adapters.lifecycle_events(spark, sf)), now())
     tags = F.array_join(F.from_json(F.get_json_object("payload", "$.tags"), "array<string>"), ",")
     return e.select(
         "subject_id", "event_type", "source", ntz("occurred_at"), tags.alias("tags"),

@@ -70,9 +70,10 @@ def route_publish(spark, sf):
 
 @query("route_all", f"WITH {_STATE} {_FETCH} UNION ALL {_ENRICH} UNION ALL {_PUBLISH}")
 def route_all(spark, sf):
-    content, metadata, publish, _ = _state_and_batch(spark, sf)
-    batch = adapters.lifecycle_events(spark, sf).filter(F.col("received_at") >= F.lit(CUT).cast("timestamp"))
-    work, _ = routing.route_all(batch, content, metadata, publish, now())
+    events = adapters.lifecycle_events(spark, sf)
+    cut = F.lit(CUT).cast("timestamp")
+    done = routing.stages_done(folds.link_rows(folds.link_partials(events.filter(F.col("received_at") < cut))))
+    work, _ = routing.route_all(events.filter(F.col("received_at") >= cut), done, now())
     return flat(work)
 
 

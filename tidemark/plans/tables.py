@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from tidemark.operators import folds
+from tidemark.operators import folds, reads
 from tidemark.sources import adapters
 
 
@@ -31,24 +31,10 @@ def link_tables(spark, sf, visibility: bool = False) -> LinkTables:
     )
 
 
+def link_rows(spark, sf) -> DataFrame:
+    """All link tables as one row per subject, from one fold and without a join."""
+    return folds.link_rows(folds.link_partials(adapters.lifecycle_events(spark, sf)))
+
+
 def public_stream(spark, sf) -> DataFrame:
-    """Published links straight from one fold: every column is already in the subject's
-    row, so no join of state tables is needed."""
-    from pyspark.sql import functions as F
-
-    p = folds.link_partials(adapters.lifecycle_events(spark, sf))
-    done = F.col("n_before_pub") > 0
-    return (
-        p.filter(F.col("terminal.v") == "published")
-        .filter(F.coalesce(F.col("vis.v"), F.lit("public")) == "public")
-        .select(
-            "subject_id",
-            F.col("added.v.url").alias("url"),
-            F.col("added.v.created_at").alias("created_at"),
-            F.col("added.v.source").alias("source"),
-            F.col("c_title.v").alias("title"),
-            F.coalesce("m_tags.v", F.array().cast("array<string>")).alias("tags"),
-            F.col("m_summary_short.v").alias("summary_short"),
-            F.when(done, F.col("pub.v")).alias("published_at"),
-        )
-    )
+    return reads.published_stream(link_rows(spark, sf))
