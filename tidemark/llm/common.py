@@ -6,6 +6,7 @@ are computed over the whole buffer at once, so no Python object is made per word
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,13 +48,15 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+@functools.lru_cache(maxsize=1)
+def _own_root() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-llm-")
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="tidemark-llm-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    """The folder that driver and executors share; one of this process only where none is
+    named, as in tests on a single machine."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_root()).rstrip("/")
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
