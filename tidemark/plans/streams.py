@@ -12,7 +12,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.plans import sqltext as S
-from tidemark.plans.registry import flat, query
+from tidemark.plans.registry import ORACLES, flat, query
+from tidemark.plans.state import all_events
 from tidemark.plans.temporal import _PATTERN
 from tidemark.session import checkpoint_root
 from tidemark.sources import adapters
@@ -87,10 +88,83 @@ def stream_lifecycle(spark, sf):
     return _finish(spark, lifecycle_stream(e, 240 * 3600, "1 hour"))
 
 
-@query("stream_publish_state", f"WITH {S.AFTER} SELECT * FROM publish_state")
-def stream_publish_state(spark, sf):
-    """State tables kept by the micro-batch materializer."""
+def _store(spark, events, table: str) -> StateStore:
+    """State tables kept by the micro-batch materializer over a stream of events."""
     folder = _folder(spark)
     store = StateStore(spark, f"{folder}/state")
-    start_materializer(adapters.lifecycle_events(spark, sf, stream=True), store, f"{folder}/checkpoint").awaitTermination()
-    return flat(store.publish_state())
+    start_materializer(events, store, f"{folder}/checkpoint", tables=(table,)).awaitTermination()
+    return store
+
+
+def _link_store(spark, sf) -> StateStore:
+    return _store(spark, adapters.lifecycle_events(spark, sf, stream=True), "links")
+
+
+@query("stream_publish_state", ORACLES["state_publish_state"])
+def stream_publish_state(spark, sf):
+    return flat(_link_store(spark, sf).publish_state())
+
+
+@query("stream_links", f"WITH {S.AFTER} SELECT * FROM links")
+def stream_links(spark, sf):
+    return flat(_link_store(spark, sf).links())
+
+
+@query("stream_link_content", ORACLES["state_link_content"])
+def stream_link_content(spark, sf):
+    return flat(_link_store(spark, sf).link_content())
+
+
+@query("stream_link_metadata", ORACLES["state_link_metadata"])
+def stream_link_metadata(spark, sf):
+    return flat(_link_store(spark, sf).link_metadata())
+
+
+def _batches(spark, events):
+    """A batch frame as a stream: written to the shared folder and read file by file."""
+    folder = f"{_folder(spark)}/in"
+    events.write.parquet(folder)
+    return spark.readStream.schema(events.schema).parquet(folder)
+
+
+@query("stream_todos", ORACLES["state_todos"])
+def stream_todos(spark, sf):
+    return flat(_store(spark, _batches(spark, adapters.todo_events(spark, sf)), "todos").todos())
+
+
+@query("stream_readings", ORACLES["state_temperature_readings"])
+def stream_readings(spark, sf):
+    e = adapters.sensor_events(spark, sf).withColumn("occurred_at", F.date_trunc("hour", "occurred_at"))
+    return flat(_store(spark, _batches(spark, e), "readings").temperature_readings())
+
+
+@query("stream_subjects", ORACLES["state_subjects"])
+def stream_subjects(spark, sf):
+    return flat(_store(spark, _batches(spark, all_events(spark, sf)), "subjects").subjects())
+
+
+@query(
+    "stream_sliding",
+    f"""WITH {S.ACTIVITY}, p AS (SELECT topic, date_trunc('hour', ts) AS h, count(*) AS n FROM activity GROUP BY ALL),
+    w AS (SELECT topic, h - i * INTERVAL 1 HOUR AS window_start, n FROM p, range(24) t(i))
+    SELECT topic, window_start, window_start + INTERVAL 24 HOUR AS window_end, CAST(sum(n) AS BIGINT) AS n FROM w GROUP BY topic, window_start
+    HAVING window_start + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 5 MINUTE FROM activity)""",
+)
+def stream_sliding(spark, sf):
+    """Windows the watermark has closed by the end of the source."""
+    e = _batches(spark, adapters.activity(spark, sf))
+    return flat(_finish(spark, windows.sliding_counts(e, ["topic"], "ts", "24 hours", "1 hour", "5 minutes")))
+
+
+@query(
+    "stream_cross_daily",
+    f"""WITH {S.ACTIVITY}, {S.CALENDAR}, l AS (SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n FROM activity GROUP BY ALL),
+    m AS (SELECT user_id, CAST(start_at AS DATE) AS d, count(*) AS n FROM calendar GROUP BY ALL),
+    top AS (SELECT greatest((SELECT max(ts) FROM activity), (SELECT max(start_at) FROM calendar)) - INTERVAL 1 HOUR AS t)
+    SELECT l.user_id, CAST(l.d AS TIMESTAMP) AS day, l.n AS n_links, m.n AS n_meetings, l.n * m.n AS n_pairs
+    FROM l JOIN m USING (user_id, d) WHERE CAST(l.d AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT t FROM top)""",
+)
+def stream_cross_daily(spark, sf):
+    """Days the watermark has closed by the end of both sources."""
+    links, meetings = adapters.activity(spark, sf), adapters.calendar(spark, sf)
+    return flat(_finish(spark, windows.cross_stream_daily(_batches(spark, links), _batches(spark, meetings), "1 hour")))
