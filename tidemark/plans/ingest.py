@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import payload
 from tidemark.plans import sqltext as S
 from tidemark.plans.registry import flat, ntz, query
+from tidemark.session import shared_folder
 from tidemark.sources import adapters, ledger
 from tidemark.sources.capture import capture_links
 
@@ -23,8 +26,10 @@ def now():
     WHERE kind = 'content.fetched' AND source = 'source-1'""",
 )
 def ledger_scan(spark, sf):
-    e = adapters.lifecycle_events(spark, sf)
-    rows = e.filter((F.col("event_type") == "content.fetched") & (F.col("source") == "source-1"))
+    """The ledger is stored by date and type and scanned for one type and source."""
+    folder = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    ledger.write_ledger(adapters.lifecycle_events(spark, sf), folder)
+    rows = ledger.read_ledger(spark, folder, event_type="content.fetched", source="source-1")
     return flat(rows.select("id", "subject_id", "event_type", "occurred_at"))
 
 
@@ -63,13 +68,23 @@ def outbox_batch(spark, sf):
 
 @query(
     "kafka_records",
-    f"""WITH {S.LIFE} SELECT subject_id AS key, 'ev-' || event_id AS body_id, 'event_type=' || kind || ';source=' || source AS headers
-    FROM life""",
+    f"""WITH {S.LIFE} SELECT subject_id AS key, 'ev-' || event_id AS body_id, kind AS body_type, source AS body_source, subject_id AS body_subject,
+      date_trunc('millisecond', ts) AS body_at, url AS body_url, title AS body_title, text_content AS body_text,
+      'event_type=' || kind || ';source=' || source AS headers FROM life""",
 )
 def kafka_records(spark, sf):
+    """Headers and the decoded body, the payload inside it included."""
     r = ledger.to_kafka_records(adapters.lifecycle_events(spark, sf))
+    back, _ = ledger.decode_events(r.select("key", "headers", "value"))
+    r = ledger.with_payload(back)
     head = F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), h["value"].cast("string"))), ";")
-    return r.select("key", F.get_json_object("value", "$.id").alias("body_id"), head.alias("headers"))
+    return flat(
+        r.select(
+            "key", F.col("id").alias("body_id"), F.col("event_type").alias("body_type"), F.col("source").alias("body_source"),
+            F.col("subject_id").alias("body_subject"), F.date_trunc("millisecond", "occurred_at").alias("body_at"),
+            F.col("p.url").alias("body_url"), F.col("p.title").alias("body_title"), F.col("p.text_content").alias("body_text"), head.alias("headers"),
+        )
+    )
 
 
 @query(

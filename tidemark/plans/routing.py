@@ -111,16 +111,22 @@ def dead_letters(spark, sf):
 @query(
     "work_records",
     f"""WITH {_FAILED} SELECT 'work.' || work_type AS topic, subject_id AS key,
-      'work_type=' || work_type || ';attempt=' || (attempt + 1) AS headers, error AS last_error FROM failed WHERE attempt < 3
-    UNION ALL SELECT 'work.dead_letter', subject_id, 'work_type=' || work_type || ';agent=fetcher', error FROM failed WHERE attempt >= 3""",
+      'work_type=' || work_type || ';attempt=' || (attempt + 1) AS headers, error AS last_error, payload, correlation_id AS run,
+      triggered_by_event_id AS cause, CAST(attempt + 1 AS INTEGER) AS attempt FROM failed WHERE attempt < 3
+    UNION ALL SELECT 'work.dead_letter', subject_id, 'work_type=' || work_type || ';agent=fetcher', error, payload, correlation_id,
+      triggered_by_event_id, CAST(attempt AS INTEGER) FROM failed WHERE attempt >= 3""",
 )
 def work_records(spark, sf):
     failed = routing.failed_work(with_payload(adapters.work_failures(spark, sf)))
     head = F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), h["value"].cast("string"))), ";").alias("headers")
     a = routing.work_records(routing.retry_work(failed, now()))
     b = routing.dead_letter_records(routing.dead_letters(failed, now()))
-    return a.select("topic", "key", head, F.get_json_object("value", "$.last_error").alias("last_error")).unionByName(
-        b.select("topic", "key", head, F.get_json_object("value", "$.final_error").alias("last_error"))
+    def body(at: str) -> list:
+        get = lambda name: F.get_json_object("value", f"$.{at}{name}")
+        return [get("payload").alias("payload"), get("correlation_id").alias("run"), get("triggered_by_event_id").alias("cause"), get("attempt").cast("int").alias("attempt")]
+
+    return a.select("topic", "key", head, F.get_json_object("value", "$.last_error").alias("last_error"), *body("")).unionByName(
+        b.select("topic", "key", head, F.get_json_object("value", "$.final_error").alias("last_error"), *body("original_work."))
     )
 
 

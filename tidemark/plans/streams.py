@@ -6,7 +6,6 @@ session; a local temporary folder is used only where none is set.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from tidemark.plans import sqltext as S
 from tidemark.plans.registry import ORACLES, flat, query
 from tidemark.plans.state import all_events
 from tidemark.plans.temporal import _PATTERN
-from tidemark.session import checkpoint_root
+from tidemark.session import shared_folder
 from tidemark.sources import adapters
 from tidemark.streaming import windows
 from tidemark.streaming.lifecycle import lifecycle_stream
@@ -24,9 +23,7 @@ from tidemark.streaming.sources import dedupe_stream
 
 
 def _folder(spark) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    root = checkpoint_root(spark, fallback=None if named else tempfile.mkdtemp(prefix="tidemark-"))
-    return f"{root}/streams-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/streams-{uuid.uuid4().hex}"
 
 
 def _finish(spark, stream):

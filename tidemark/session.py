@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -44,11 +45,7 @@ def local_session(cores: str = "*", app: str = "tidemark", memory: str = "8g") -
     return configure(spark)
 
 
-def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared checkpoint folder named by the cluster; `fallback` only when unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder of the session; a local one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set on this session")
-    return os.fspath(fallback)
+    return (named or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
