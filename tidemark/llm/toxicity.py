@@ -10,6 +10,7 @@ regression on out-of-fold margins turns margins into probabilities.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -72,18 +73,41 @@ def learn_lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int, si
 
 #: Attribute columns of a word.
 WEIGHT, STRONG, MILD, PERSON, CAPS, OBFUSCATED, STRETCHED, PUNCT, BANG, UPPER, LETTER, LENGTH, VEILED = range(13)
-
-
-def _attributes(word: str, lexicon: dict[str, float]) -> list[float]:
-    base = core(word)
-    weight = max((lexicon.get(s, 0.0) for s in stems(base)), default=0.0) if base else 0.0
-    upper = sum(map(str.isupper, word))
-    letter = sum(map(str.isalpha, word))
-    inner = word.strip(".,;:!?\"'()[]{}<>")
-    veiled = letter > 0 and not inner.isalpha() and any(not c.isalpha() and c not in "-'’." for c in inner)
-    stretched = any(word[i] == word[i + 1] == word[i + 2] for i in range(len(word) - 2)) if len(word) > 2 else False
-    plain = sum(not c.isalnum() for c in word)
-    return [weight, weight > 2.5, 0 < weight <= 2.5, base in SECOND_PERSON, letter > 1 and upper == letter, veiled, stretched, plain, word.count("!") + word.count("?"), upper, letter, len(word), veiled and weight > 0]
+_EDGES = ".,;:!?\"'()[]{}<>%&#$*-"
+_STRETCH = re.compile(r"(.)\1\1")
+
+
+class Lexicon:
+    """Stem weights with a quick answer for the many words that hold no stem."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+        self.heads = {s[:4] for s in weights if not s.endswith("$")}
+
+    def weight(self, base: str) -> float:
+        get = self.weights.get
+        top = get(base + "$", 0.0)
+        if base[:4] in self.heads:
+            top = max(top, *(get(base[:n], 0.0) for n in range(4, 10)))
+        return top
+
+
+def _attributes(word: str, lexicon: Lexicon) -> tuple:
+    n = len(word)
+    inner = word if word.isalpha() else word.strip(_EDGES)
+    if inner.isalpha():
+        # Letters, with signs at the ends only: nothing to undo.
+        base, letter, veiled, plain = inner.lower(), len(inner), False, n - len(inner)
+        upper = 0 if base == inner else sum(map(str.isupper, inner))
+    else:
+        base = core(word)
+        letter, upper = sum(map(str.isalpha, word)), sum(map(str.isupper, word))
+        plain = sum(not c.isalnum() for c in word)
+        veiled = letter > 0 and any(not c.isalpha() and c not in "-'’." for c in inner)
+    weight = lexicon.weight(base) if base else 0.0
+    bang = word.count("!") + word.count("?") if plain else 0
+    stretched = _STRETCH.search(word) is not None
+    return weight, weight > 2.5, 0 < weight <= 2.5, base in SECOND_PERSON, letter > 1 and upper == letter, veiled, stretched, plain, bang, upper, letter, n, veiled and weight > 0
 
 
 class Features:
@@ -95,19 +119,22 @@ class Features:
     ).split()
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
+        self.lexicon = Lexicon(lexicon)
         self.known: dict[str, int] = {}
-        self.table = np.zeros((0, 13), dtype=np.float32)
+        # Room for the remembered words; rows are filled as words come.
+        self.table = np.zeros((1 << 10, 13), dtype=np.float32)
 
     def _rows(self, words: list[str]) -> np.ndarray:
-        fresh = list({w for w in words if w not in self.known})
+        fresh = list(set(words).difference(self.known))
         if fresh:
             if len(self.known) + len(fresh) > REMEMBERED:
                 self.known.clear()
-                self.table = self.table[:0]
                 fresh = list(set(words))
-            self.known.update((w, len(self.table) + i) for i, w in enumerate(fresh))
-            self.table = np.concatenate([self.table, np.array([_attributes(w, self.lexicon) for w in fresh], dtype=np.float32)])
+            at = len(self.known)
+            while at + len(fresh) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[at : at + len(fresh)] = [_attributes(w, self.lexicon) for w in fresh]
+            self.known.update(zip(fresh, range(at, at + len(fresh)), strict=True))
         return self.table[np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))]
 
     def one(self, text: str | None) -> list[float]:
