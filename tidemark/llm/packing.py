@@ -20,7 +20,9 @@ a length that a third of the pieces share is numbered by many tasks.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,8 +39,66 @@ GROUPS = 1024
 #: Pieces up to this share of a sequence are small.
 SMALL = 1 / 4
 END_ID = 0
-#: Distinct words whose ids a worker remembers before it starts anew.
+#: Distinct pieces whose ids a worker remembers before it starts anew.
 REMEMBERED = 400_000
+
+# Texts of these characters only need none of the tokenizer's rarer rules: blanks, printable
+# ASCII and the Latin-1 letters, all of which Unicode normalisation leaves alone.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]*")
+# The tokenizer's own pieces, for lower-cased plain text.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level alphabet: bytes without a printable form take the code points from 256 on.
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+
+
+class Encoder:
+    """Token ids of texts as little-endian bytes.
+
+    A piece's ids depend on the piece alone, so they are kept by piece. Plain texts are cut into
+    pieces here and only new pieces reach the tokenizer's model; any other text, and any that
+    may hold the name of a special token, goes through the whole tokenizer.
+    """
+
+    def __init__(self, json: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_str(json)
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, text: str) -> bytes:
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            return self._by_blanks(text)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        pieces = _PIECES.findall(text.lower())
+        new = set(pieces).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = set(pieces)
+        tokens = self.whole.model.tokenize
+        for piece in new:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+            self.known[piece] = array("I", [t.id for t in tokens(shown)]).tobytes()
+        return b"".join(map(self.known.__getitem__, pieces))
+
+    def _by_blanks(self, text: str) -> bytes:
+        """Nothing is joined across blanks, so plain words of other texts take the short way."""
+        out, rare = [], []
+        for word in text.translate(_BLANKS).split(" "):
+            if "<|" in word or not _PLAIN.fullmatch(word):
+                rare.append(len(out))
+                out.append(word)
+            else:
+                out.append(self._plain(word) if word else b"")
+        found = self.whole.encode_batch_fast([out[i] for i in rare], add_special_tokens=False)
+        for i, e in zip(rare, found, strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return b"".join(out)
+
+
+_BLANKS = str.maketrans("\n\t\r", "   ")
 #: Pieces of the table for one chunk of a length.
 CHUNK_PIECES = 100_000
 
@@ -188,19 +248,14 @@ def places(runs: list[Run]) -> np.ndarray:
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every row's tokens and the end id.
 
-    The tokenizer never joins anything across blank space, so ids are kept by word and a text's
-    ids are those of its words in order.
+    Null texts are empty.
     """
     with open(tokenizer, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_str(shared.value)
-        known: dict[str, bytes] = {"": b""}
-        spaces = str.maketrans("\n\t\r", "   ")
+        encode = Encoder(shared.value)
         last = int(end_id).to_bytes(4, "little")
         width = 4 * capacity
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
@@ -208,15 +263,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = (text or "").translate(spaces).split(" ")
-                missing = [w for w in set(words) if w not in known]
-                if missing:
-                    if len(known) + len(missing) > REMEMBERED:
-                        known = {"": b""}
-                        missing = list(set(words) - {""})
-                    for w, e in zip(missing, model.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, dtype="<u4").tobytes()
-                blob = b"".join(map(known.__getitem__, words)) + last
+                blob = encode(text or "") + last
                 for piece, at in enumerate(range(0, len(blob), width)):
                     part = blob[at : at + width]
                     for column, value in zip(out, (key, piece, at // 4, len(part) // 4, zlib.crc32(part), part), strict=False):
