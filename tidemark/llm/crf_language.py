@@ -9,7 +9,6 @@ every text; the language with the largest summed posterior wins.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,30 +34,53 @@ REMEMBERED = 400_000
 CLIP = 30.0
 
 
+_EDGES = ".,;:!?\"'()[]{}<>%&#$*-|0123456789"
+
+
 def letters(word: str) -> str:
     """The word from its first to its last letter, in lower case; empty without a letter."""
     if word.isalpha():
         return word.lower()
-    spots = [i for i, c in enumerate(word) if c.isalpha()]
-    return word[spots[0] : spots[-1] + 1].lower() if spots else ""
+    inner = word.strip(_EDGES)
+    if inner.isalpha():
+        return inner.lower()
+    spots = [i for i, c in enumerate(inner) if c.isalpha()]
+    return inner[spots[0] : spots[-1] + 1].lower() if spots else ""
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed feature numbers; the first numbers belong to the lexicons."""
-    edged = f"^{word}$".encode()
-    names = {b"p" + edged[: n + 1] for n in (1, 2, 3)} | {b"s" + edged[-n - 1 :] for n in (1, 2, 3)}
-    names |= {edged[i : i + n] for n in (2, 3) for i in range(len(edged) - n + 1)}
-    out = [64 + zlib.crc32(x) % (WEIGHTS - 64) for x in names]
-    if word in lexicon:
-        out.append(lexicon[word] % 64)
-    return out
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed feature numbers of all words, and the word of each.
 
-
-def _emissions(words: list[str], lexicon: dict[str, int], weights: np.ndarray) -> np.ndarray:
-    lists = [features(w, lexicon) for w in words]
-    sizes = np.array([len(x) for x in lists])
-    flat = np.fromiter((i for x in lists for i in x), dtype=np.int64, count=int(sizes.sum()))
-    return np.add.reduceat(weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+    A word between edge marks has its byte bigrams and trigrams, the first four and the last
+    four bytes (longer affixes; the shorter ones are n-grams with a mark), and its lexicon.
+    """
+    marked = [b"^" + w.encode() + b"$" for w in words]
+    size = np.array([len(x) for x in marked])
+    data = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint64)
+    end = np.cumsum(size)
+    begin = end - size
+    owner = np.repeat(np.arange(len(words)), size)
+    left = end[owner] - np.arange(len(data))
+    ids, owners = [], []
+    for n in (2, 3, 4):
+        at = np.flatnonzero(left >= n)
+        if n == 4:
+            # Only at the two ends of a word.
+            at = at[(at == begin[owner[at]]) | (left[at] == 4)]
+        code = np.full(len(at), n, dtype=np.uint64)
+        for k in range(n):
+            code = code << np.uint64(8) | data[at + k]
+        ids.append(64 + (common.mix(code) % np.uint64(WEIGHTS - 64)).astype(np.int64))
+        owners.append(owner[at])
+    held = [i for i, w in enumerate(words) if w in lexicon]
+    ids.append(np.array([lexicon[words[i]] % 64 for i in held], dtype=np.int64))
+    owners.append(np.array(held, dtype=np.int64))
+    return np.concatenate(ids), np.concatenate(owners)
+
+
+def _sums(flat: np.ndarray, owner: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
+    """Sum of the weight rows of each word's features."""
+    return np.stack([np.bincount(owner, weights=weights[flat, i], minlength=n) for i in range(weights.shape[1])], axis=1)
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,10 +157,7 @@ class Model:
         k = len(self.languages)
         types = sorted({w for s, _ in sequences for w in s})
         number = {w: i for i, w in enumerate(types)}
-        lists = [features(w, self.lexicon) for w in types]
-        sizes = np.array([len(x) for x in lists])
-        flat = np.array([i for x in lists for i in x])
-        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        flat, owner = features(types, self.lexicon)
         tokens = np.array([number[w] for s, _ in sequences for w in s])
         labels = np.array([x for _, y in sequences for x in y])
         lengths = np.array([len(s) for s, _ in sequences])
@@ -153,12 +172,11 @@ class Model:
         mean = [np.zeros_like(p) for p in params]
         square = [np.zeros_like(p) for p in params]
         for step in range(1, ROUNDS + 1):
-            scores = np.add.reduceat(self.weights[flat], at, axis=0)[tokens]
+            scores = _sums(flat, owner, len(types), self.weights)[tokens]
             posterior, _, pairs = forward_backward(np.clip(scores, -CLIP, CLIP), lengths, self.transitions, self.start)
             error = gold - posterior
             by_type = np.stack([np.bincount(tokens, weights=error[:, i], minlength=len(types)) for i in range(k)], axis=1)
-            spread = np.repeat(by_type, sizes, axis=0)
-            grad = np.stack([np.bincount(flat, weights=spread[:, i], minlength=WEIGHTS) for i in range(k)], axis=1)
+            grad = np.stack([np.bincount(flat, weights=by_type[owner, i], minlength=WEIGHTS) for i in range(k)], axis=1)
             grads = [grad - 0.3 * self.weights, seen - pairs - 0.3 * self.transitions, begun - posterior[firsts].sum(axis=0) - 0.3 * self.start]
             for p, g, m, v in zip(params, grads, mean, square, strict=True):
                 m += 0.1 * (g - m)
@@ -166,7 +184,8 @@ class Model:
                 p += 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        return np.clip(_emissions(words, self.lexicon, self.weights), -CLIP, CLIP)
+        flat, owner = features(words, self.lexicon)
+        return np.clip(_sums(flat, owner, len(words), self.weights), -CLIP, CLIP)
 
 
 def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -202,23 +221,26 @@ def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        # Row of each remembered word, and of the letters that words share.
         known: dict[str, int] = {}
-        table = np.zeros((0, max(len(model.languages), 1)))
+        rows_of: dict[str, int] = {"": -1}
+        table = np.zeros((1 << 10, max(len(model.languages), 1)))
 
         def number(texts: list[list[str]]) -> None:
-            nonlocal table
-            fresh = {w for t in texts for w in t if w not in known}
+            nonlocal table, known, rows_of
+            fresh = set().union(*texts).difference(known)
             if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                table = table[:0]
-                fresh = {w for t in texts for w in t}
+                known, rows_of = {}, {"": -1}
+                fresh = set().union(*texts)
             cores = {w: letters(w) for w in fresh}
-            words = sorted({c for c in cores.values() if c})
-            at = {c: len(table) + i for i, c in enumerate(words)}
-            if words:
-                table = np.concatenate([table, model.emissions(words)]) if model.languages else np.zeros((len(table) + len(words), 1))
-            for w, c in cores.items():
-                known[w] = at[c] if c else -1
+            words = sorted(set(cores.values()).difference(rows_of))
+            at = len(rows_of) - 1
+            while at + len(words) > len(table):
+                table = np.concatenate([table, np.zeros_like(table)])
+            if words and model.languages:
+                table[at : at + len(words)] = model.emissions(words)
+            rows_of.update(zip(words, range(at, at + len(words)), strict=True))
+            known.update((w, rows_of[c]) for w, c in cores.items())
 
         def close(held: list[tuple[pa.RecordBatch, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
             texts = [t for _, ts in held for t in ts]
