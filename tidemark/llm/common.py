@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Bytes of text handled by one vectorised step; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 #: Rows of one Arrow batch: long texts must not meet in one large batch.
-BATCH_ROWS = "256"
+BATCH_ROWS = "128"
 
 _ODD = 0x9E3779B97F4A7C15
 _U = np.uint64

@@ -134,15 +134,35 @@ def _window_rows(texts: DataFrame, words: int, functions: int) -> DataFrame:
     return texts.mapInArrow(run, "v long, fp long, c int, s0 int, s1 int")
 
 
-def _covered(n: int, runs: list, need: int) -> np.ndarray:
+def _covered(n: int, s0: np.ndarray, s1: np.ndarray, need: int) -> np.ndarray:
     """Starts of a text that at least `need` functions share; runs of one function do not overlap."""
     count = np.zeros(n + 1, dtype=np.int32)
-    for run in runs:
-        count[run["s0"]] += 1
-        count[min(run["s1"], n - 1) + 1] -= 1
+    np.add.at(count, s0, 1)
+    np.add.at(count, np.minimum(s1, n - 1) + 1, -1)
     return np.cumsum(count)[:n] >= need
 
 
+def _lists(column: pa.Array, *fields: str) -> Iterator[tuple[np.ndarray, ...] | None]:
+    """The named fields of each row's list of structs as arrays, without Python objects."""
+    for row in column:
+        yield None if not row.is_valid else tuple(row.values.field(f).to_numpy(zero_copy_only=False) for f in fields)
+
+
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """(id, fp, n) with the number of blank-separated words of each row."""
+    _, is_word = common.BLANK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = []
+            for raw in batch.column("_raw"):
+                inside = is_word[np.frombuffer(raw.as_buffer(), dtype=np.uint8)] if raw.is_valid and len(raw.as_buffer()) else np.zeros(1, dtype=bool)
+                n.append(int(inside[0]) + int((inside[1:] & ~inside[:-1]).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), pa.array(n, pa.int32())], names=["id", "fp", "n"])
+
+    return texts.mapInArrow(run, "id long, fp long, n int")
+
+
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, functions: int = FUNCTIONS, enough: int = ENOUGH, percent: int = PERCENT
 ) -> DataFrame:
@@ -170,9 +190,9 @@ def repeated_passages(
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w, s, n = [], [], []
-            for raw, run in zip(batch.column("raw").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            for raw, (s0, s1) in zip(batch.column("raw").to_pylist(), _lists(batch.column("runs"), "s0", "s1"), strict=True):
                 hashes = _hashes(raw)
-                at = np.flatnonzero(_covered(max(0, len(hashes) - words + 1), run, functions))
+                at = np.flatnonzero(_covered(max(0, len(hashes) - words + 1), s0, s1, functions))
                 w.append(common.shingle_hashes(hashes, words)[at] if len(at) else np.zeros(0, np.uint64))
                 s.append(at)
                 n.append(len(at))
@@ -188,7 +208,7 @@ def repeated_passages(
     spans = common.stored(spans.select("id", "first_word", "last_word", "passage_id", "is_first", F.lit(True).alias("exact")), "spans")
 
     near = _near(texts, hits, spans, words, window, enough, percent)
-    own = rows.select("id", "fp", F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")).alias("n"))
+    own = _word_counts(common.text_bytes(rows, "id", "fp"))
     copies = own.join(reps.filter("copies > 1").withColumnRenamed("id", "passage_id").drop("copies"), "fp").filter(F.col("n") >= words)
     copies = copies.select("id", F.lit(0).alias("first_word"), (F.col("n") - 1).alias("last_word"), "passage_id", (F.col("id") == F.col("passage_id")).alias("is_first"), F.lit(True).alias("exact"))
     out = spans.unionAll(near).unionAll(copies.distinct())
@@ -203,16 +223,20 @@ def _near(texts: DataFrame, hits: DataFrame, spans: DataFrame, words: int, windo
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
         for batch in batches:
             out = []
-            for one, fp, runs, done in zip(*(batch.column(c).to_pylist() for c in ("id", "fp", "runs", "done")), strict=True):
-                n = max(r["s1"] for r in runs) + 1
-                open_ = _covered(n, runs, enough)
-                for span in done or []:
-                    open_[span["first_word"] : span["last_word"] - words + 2] = False
-                # Every open start asks through one run that covers it.
-                for r in sorted(runs, key=lambda r: (r["s0"] - r["s1"], r["v"])):
-                    if open_[r["s0"] : r["s1"] + 1].any():
-                        open_[r["s0"] : r["s1"] + 1] = False
-                        out += [(one, fp, r["v"], r["c"], r["s0"], r["s1"], other) for other in (r["lo"], r["hi"]) if other != fp]
+            lists = zip(_lists(batch.column("runs"), "v", "c", "s0", "s1", "lo", "hi"), _lists(batch.column("done"), "first_word", "last_word"), strict=True)
+            for one, fp, (runs, done) in zip(batch.column("id").to_pylist(), batch.column("fp").to_pylist(), lists, strict=True):
+                v, _, s0, s1, _, _ = runs
+                open_ = _covered(int(s1.max()) + 1, s0, s1, enough)
+                for first, last in zip(*done, strict=True) if done else ():
+                    open_[first : last - words + 2] = False
+                # Every open start asks through one run that covers it, the longest first.
+                before = np.concatenate([[0], np.cumsum(open_)])
+                hopeful = np.flatnonzero(before[s1 + 1] > before[s0])
+                for i in hopeful[np.lexsort((v[hopeful], (s0 - s1)[hopeful]))]:
+                    if open_[s0[i] : s1[i] + 1].any():
+                        open_[s0[i] : s1[i] + 1] = False
+                        value, c, a, b, low, high = (int(x[i]) for x in runs)
+                        out += [(one, fp, value, c, a, b, other) for other in (low, high) if other != fp]
             columns = zip(*out, strict=True) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -229,13 +253,11 @@ def _near(texts: DataFrame, hits: DataFrame, spans: DataFrame, words: int, windo
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for one, fp, raw, ats in zip(*(batch.column(c).to_pylist() for c in ("id", "fp", "raw", "ats")), strict=True):
                 shingles = common.shingle_hashes(_hashes(raw), SHINGLE)
-                out += [(one, fp, at, np.unique(shingles[at : at + window]).tobytes()) for at in ats]
-            columns = zip(*out, strict=True) if out else [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "fp", "at", "tokens"])
+                tokens = [np.unique(shingles[at : at + window]).tobytes() for at in ats]
+                columns = [pa.array([one] * len(ats), pa.int64()), pa.array([fp] * len(ats), pa.int64()), pa.array(ats, pa.int32()), pa.array(tokens, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "at", "tokens"])
 
     cuts = texts.select("id", "fp", "raw").join(asked_for, "fp").mapInArrow(cut, "id long, fp long, at int, tokens binary")
     cuts = common.stored(cuts, "windows")
