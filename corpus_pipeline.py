@@ -17,6 +17,7 @@ Null ids: such rows are never copies or repeats of others and stay. Empty tables
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -30,36 +31,59 @@ from tidemark.llm.packing import pack
 from tidemark.llm.passage_dedup import repeated_passages, without_repeats
 from tidemark.llm.phrase_index import contaminated_rows
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables that the last stage stored for itself.
+_stored: list[str] = []
+
+
+def stage(run_stage: Stage) -> Stage:
+    """A stage that first removes what the one before it stored for itself: a stage is only
+    called with the written result of its predecessor."""
+
+    @functools.wraps(run_stage)
+    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        done, _stored[:] = list(_stored), []
+        common.remove(spark, done)
+        with common.scope(_stored):
+            return run_stage(spark, docs, sf_dir)
+
+    return wrapped
+
+
 #: A language holds at least this share of a kept text's words.
 MAIN_LANGUAGE = 0.5
 
 
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.configure(spark)
     judged = predict(docs, train(docs, F.lit(True)), [F.col(c) for c in docs.columns], carry_text=True)
     return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_LANGUAGE)).select(*docs.columns)
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return common.without_ids(docs, common.stored(gone, "copies"), "doc_id")
 
 
+@stage
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_repeats(docs, repeated_passages(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@stage
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = contaminated_rows(docs, common.table(spark, sf_dir, "benchmark"))
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return common.without_ids(docs, common.stored(gone, "contaminated"), "doc_id")
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language", language),
     ("near_duplicates", near_copies),
     ("passages", passages),
@@ -73,6 +97,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), name)
+    for name, run_stage in STAGES:
+        docs = common.stored(run_stage(spark, docs, sf_dir), name)
     return docs

@@ -6,6 +6,7 @@ are computed over the whole buffer at once, so no Python object is made per word
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -64,9 +65,47 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+_open_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope(paths: list[str]) -> Iterator[None]:
+    """Within it, the paths of stored tables are also noted in `paths`."""
+    _open_scopes.append(paths)
+    try:
+        yield
+    finally:
+        _open_scopes.pop()
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that no frame needs any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: Ids that may be broadcast, after they have been counted: 8 MB.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(rows: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is not in `gone`, a stored one-column frame of distinct ids.
+
+    The ids are counted first. Few are broadcast, so the rows stay where they are; more are
+    joined by a shuffle of both sides.
+    """
+    few = gone.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), id_col, "left_anti").select(*rows.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
