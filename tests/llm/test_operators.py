@@ -152,6 +152,31 @@ def test_repeated_passages(spark):
     assert passage_dedup.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"chunk": 3}])
+def test_near_passages_beside_a_line_that_all_share(spark, options):
+    """Edited copies hold a line that many unrelated texts hold too; each near window is found."""
+    rng = random.Random(11)
+    line = words(rng, 20, 10_000)
+    rows = [(i, " ".join(words(rng, 20, 10_000) + line + words(rng, 30, 10_000)), "", 0) for i in range(900, 940)]
+    for group in range(12):
+        body = words(rng, 40, 10_000) + line + words(rng, 40, 10_000)
+        for copy, edits in enumerate(((), (25, 75), (30, 78))):
+            rows.append((300 * (group % 2) + 10 * group + copy, " ".join(f"x{copy}.{at}" if at in edits else w for at, w in enumerate(body)), "", 0))
+    got = {}
+    for r in passage_dedup.repeated_passages(spark.createDataFrame(rows, DOCS), **options).collect():
+        assert r.passage_id // 10 == r.doc_id // 10 and r.is_first == (r.passage_id == r.doc_id)
+        got.setdefault((r.doc_id, r.is_first), set()).update(range(r.first_word, r.last_word - 49))
+    cuts = {i: [{tuple(split(t)[s + j : s + j + 5]) for j in range(47)} for s in range(len(split(t)) - 50)] for i, t, _, _ in rows}
+    least = {}
+    for i, j in itertools.permutations(cuts, 2):
+        for s, (x, y) in enumerate(zip(cuts[i], cuts[j])):
+            if 100 * len(x & y) >= 75 * len(x | y):
+                least[i, s] = min(i, j, least.get((i, s), j))
+    found = {(i, s) for (i, is_first), starts in got.items() for s in starts if is_first == (least.get((i, s)) == i)}
+    assert len(least) > 1000 and found <= set(least) and len(found) >= 0.97 * len(least)
+    assert {i for i, _ in found} == {i for i, _, _, _ in rows if i < 900}
+
+
 def test_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(4)
     for n, t in ((200, 7), (60, 60), (5, 6)):

@@ -10,13 +10,17 @@ A token is a 5-word shingle and a passage window is a run of 51 words (47 shingl
    are swept, which gives the starts at which enough functions are shared.
 3. Starts where every function is shared are verified by the hash of all 51 words. This finds each
    passage of 51 words or more that two texts share word for word.
-4. Other starts shared by at least two functions are near candidates: their window is compared,
-   aligned at the shared minimum, with the first and the last text of that min-hash, and kept at
-   a Jaccard similarity of 0.75 of shingles. A window at just 0.75 from its partner has at least
-   two of three functions in common with probability 0.84; longer passages have more chances.
+4. Other starts shared by at least two functions are near candidates. Texts that share the
+   min-hashes of two functions at one start make a group; in it every start's window is compared,
+   aligned at either minimum, with those of all other texts until one reaches a Jaccard similarity
+   of 0.75 of shingles, the smallest id first. Windows with too many shingles that no other text
+   of the group holds have no partner and are left out. A large group is cut into chunks and each
+   pair of chunks is one task; only the smallest near id of a window leaves a task. A window at
+   just 0.75 from its partner has two of four functions in common with probability 0.95; longer
+   passages have more chances.
 
 Texts equal as a whole are one text until the end, where all copies but the first are one passage.
-A group of any size costs one row per member and function, and no pairs are formed inside it.
+An exact group of any size costs one row per member and function, and no pairs are formed inside it.
 """
 
 from __future__ import annotations
@@ -30,16 +34,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm import common
+from tidemark.operators.skew import skew_join
 
 WORDS = 51
 SHINGLE = 5
-FUNCTIONS = 3
+FUNCTIONS = 4
 ENOUGH = 2
 PERCENT = 75
 SEED = 20240611
 #: Shingles of one root of a tree, and of the trees that are built at once.
 ROOT = 1 << 15
 TOGETHER = 1 << 18
+#: Bytes of a shingle's hash that are compared.
+TOKEN = 6
+#: Rows of one chunk of a group, rows of groups that are verified at once, and windows of one step.
+CHUNK_ROWS = 1 << 10
+TASK_ROWS = 1 << 11
+WINDOWS = 1 << 12
 _POSITION = 28
 _U = np.uint64
 
@@ -164,7 +175,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
 
 
 def repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, functions: int = FUNCTIONS, enough: int = ENOUGH, percent: int = PERCENT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, functions: int = FUNCTIONS, enough: int = ENOUGH, percent: int = PERCENT, chunk: int = CHUNK_ROWS
 ) -> DataFrame:
     """(id, first_word, last_word, n_words, passage_id, is_first, exact) for every repeated passage.
 
@@ -179,11 +190,13 @@ def repeated_passages(
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col), F.octet_length(text_col)).alias("fp"), F.col(text_col).alias("text"))
     nodes = _window_rows(common.text_bytes(rows, "fp"), words, functions)
-    shared = nodes.groupBy("v").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
-    hits = common.stored(nodes.join(shared, "v").groupBy("fp", "v", "c", "s0", "s1", "lo", "hi").agg(F.count(F.lit(1)).alias("_n")).drop("_n"), "nodes")
+    shared = nodes.groupBy("v").agg(F.min("fp").alias("_lo"), F.max("fp").alias("_hi")).filter("_lo <> _hi").select("v")
+    spent: list[str] = []
+    with common.scope(spent):
+        hits = common.stored(nodes.join(shared, "v").groupBy("fp", "v", "c", "s0", "s1").agg(F.count(F.lit(1)).alias("_n")).drop("_n"), "nodes")
 
     reps = rows.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    runs = hits.groupBy("fp").agg(F.collect_list(F.struct("v", "c", "s0", "s1", "lo", "hi")).alias("runs"))
+    runs = hits.groupBy("fp").agg(F.collect_list(F.struct("v", "c", "s0", "s1")).alias("runs"))
     wanted = runs.join(reps.select("fp", "id"), "fp").hint("shuffle_hash")
     texts = common.stored(rows.join(wanted, ["fp", "id"]).select("id", "fp", F.col("text").cast("binary").alias("raw"), "runs").dropDuplicates(["id", "fp"]), "texts")
 
@@ -199,15 +212,18 @@ def repeated_passages(
             ids = np.repeat(batch.column("id").to_numpy(), n)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(w).view(np.int64)), pa.array(ids), pa.array(np.concatenate(s).astype(np.int32))], names=["w", "id", "s"])
 
-    starts = common.stored(texts.select("id", "raw", "runs").mapInArrow(exact, "w long, id long, s int"), "starts")
+    common.remove(docs.sparkSession, spent)
+    with common.scope(spent):
+        starts = common.stored(texts.select("id", "raw", "runs").mapInArrow(exact, "w long, id long, s int"), "starts")
     same = starts.groupBy("w").agg(F.min("id").alias("passage_id"), F.max("id").alias("_last")).filter("passage_id <> _last").drop("_last")
     met = starts.join(same, "w").select("id", "s", "passage_id", (F.col("id") == F.col("passage_id")).alias("is_first"))
     island = F.col("s") - F.row_number().over(Window.partitionBy("id", "is_first").orderBy("s"))
     spans = met.withColumn("_island", island).groupBy("id", "is_first", "_island")
     spans = spans.agg(F.min("s").alias("first_word"), (F.max("s") + words - 1).alias("last_word"), F.min("passage_id").alias("passage_id"))
     spans = common.stored(spans.select("id", "first_word", "last_word", "passage_id", "is_first", F.lit(True).alias("exact")), "spans")
+    common.remove(docs.sparkSession, spent)
 
-    near = _near(texts, hits, spans, words, window, enough, percent)
+    near = _near(texts, spans, words, window, enough, percent, chunk)
     own = _word_counts(common.text_bytes(rows, "id", "fp"))
     copies = own.join(reps.filter("copies > 1").withColumnRenamed("id", "passage_id").drop("copies"), "fp").filter(F.col("n") >= words)
     copies = copies.select("id", F.lit(0).alias("first_word"), (F.col("n") - 1).alias("last_word"), "passage_id", (F.col("id") == F.col("passage_id")).alias("is_first"), F.lit(True).alias("exact"))
@@ -215,68 +231,167 @@ def repeated_passages(
     return out.select(F.col("id").alias(id_col), "first_word", "last_word", (F.col("last_word") - F.col("first_word") + 1).alias("n_words"), "passage_id", "is_first", "exact")
 
 
-def _near(texts: DataFrame, hits: DataFrame, spans: DataFrame, words: int, window: int, enough: int, percent: int) -> DataFrame:
-    """Spans of verified near passages at starts that no exact passage covers."""
+def _runs(rows: pa.Table) -> np.ndarray:
+    """The number of each row's group (k, lo, hi) among sorted rows."""
+    k, lo, hi = (rows.column(c).to_numpy() for c in ("k", "lo", "hi"))
+    return np.concatenate([[0], np.cumsum((k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "fp", "v", "c", "s0", "s1", "other"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+
+def _windows_met(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of two matrices of shingles are as similar as sets; nx and ny count their distinct ones."""
+    both = nx + ny - _distinct(np.concatenate([x, y], axis=1))
+    return (100 * both >= percent * (nx + ny - both)) & (both > 0)
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    rows = np.sort(rows, axis=1)
+    return 1 + (rows[:, 1:] != rows[:, :-1]).sum(axis=1)
+
+
+def near_windows(
+    group: np.ndarray, ids: np.ndarray, c1: np.ndarray, c2: np.ndarray, s0: np.ndarray, flat: np.ndarray, lengths: np.ndarray, window: int, percent: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, start, smallest id) of each window that has a near window of another id in its group.
+
+    Rows are sorted by group and id; `flat` holds their shingles from s0 on. Two windows are
+    compared where they are aligned at either shared minimum. Every partner is tried, smallest id
+    first, until one is near; a window goes untried only if too few of its shingles occur in any
+    other text of its group for a partner to exist.
+    """
+    base = np.cumsum(lengths) - lengths
+    n = lengths - window + 1
+    member = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(len(member)) - np.repeat(np.cumsum(n) - n, n)
+    at = base[member] + inner
+    span = np.arange(window)
+    steps = range(0, len(at), WINDOWS)
+    size = np.concatenate([_distinct(flat[at[i : i + WINDOWS, None] + span]) for i in steps]) if len(at) else np.zeros(0, np.int64)
+    # Shingles that two ids of the group hold; a collision of keys only tries more.
+    owner = np.repeat(np.arange(len(n)), lengths)
+    key = common.mix(flat ^ common.mix(group[owner].astype(np.uint64) + _U(1)))
+    order = np.argsort(key)
+    begin = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
+    holders = ids[owner][order]
+    shared = np.zeros(len(key) + 1, dtype=np.int64)
+    if len(key):
+        many = np.minimum.reduceat(holders, begin) != np.maximum.reduceat(holders, begin)
+        shared[1:][order] = np.repeat(many, np.diff(np.append(begin, len(key))))
+    shared = np.cumsum(shared)
+    alive = 100 * (shared[at + window] - shared[at]) >= percent * size
+    member, inner, at, size = member[alive], inner[alive], at[alive], size[alive]
+    size_at = np.zeros(len(flat) + 1, dtype=np.int64)
+    size_at[at] = size
+    partners = np.unique(member)
+    first = np.searchsorted(group[partners], group[member], side="left")
+    end = np.searchsorted(group[partners], group[member], side="right")
+    best = np.full(len(at), -1, dtype=np.int64)
+    active = np.arange(len(at))
+    turn = 0
+    while len(active):
+        active = active[first[active] + turn < end[active]]
+        other = partners[first[active] + turn]
+        for c in (c1, c2):
+            mine, near = member[active], inner[active] - c[member[active]] + c[other]
+            can = np.flatnonzero((best[active] < 0) & (ids[mine] != ids[other]) & (near >= 0) & (near < n[other]))
+            can = can[size_at[base[other[can]] + near[can]] > 0]
+            for i in range(0, len(can), WINDOWS):
+                part = can[i : i + WINDOWS]
+                x, y = at[active[part]], base[other[part]] + near[part]
+                met = part[_windows_met(flat[x[:, None] + span], flat[y[:, None] + span], size_at[x], size_at[y], percent)]
+                best[active[met]] = np.minimum(ids[mine[met]], ids[other[met]])
+        active = active[best[active] < 0]
+        turn += 1
+    found = best >= 0
+    return ids[member[found]], s0[member[found]] + inner[found], best[found]
+
+
+def _near(texts: DataFrame, spans: DataFrame, words: int, window: int, enough: int, percent: int, chunk: int) -> DataFrame:
+    """Spans of verified near passages, at starts that are not in a later copy of an exact passage."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["k", "id", "fp", "c1", "c2", "s0", "s1"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
         for batch in batches:
-            out = []
-            lists = zip(_lists(batch.column("runs"), "v", "c", "s0", "s1", "lo", "hi"), _lists(batch.column("done"), "first_word", "last_word"), strict=True)
-            for one, fp, (runs, done) in zip(batch.column("id").to_pylist(), batch.column("fp").to_pylist(), lists, strict=True):
-                v, _, s0, s1, _, _ = runs
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
+            lists = zip(_lists(batch.column("runs"), "v", "c", "s0", "s1"), _lists(batch.column("done"), "first_word", "last_word"), strict=True)
+            for one, fp, ((v, c, s0, s1), done) in zip(batch.column("id").to_pylist(), batch.column("fp").to_pylist(), lists, strict=True):
                 open_ = _covered(int(s1.max()) + 1, s0, s1, enough)
                 for first, last in zip(*done, strict=True) if done else ():
                     open_[first : last - words + 2] = False
-                # Every open start asks through one run that covers it, the longest first.
-                before = np.concatenate([[0], np.cumsum(open_)])
-                hopeful = np.flatnonzero(before[s1 + 1] > before[s0])
-                for i in hopeful[np.lexsort((v[hopeful], (s0 - s1)[hopeful]))]:
-                    if open_[s0[i] : s1[i] + 1].any():
-                        open_[s0[i] : s1[i] + 1] = False
-                        value, c, a, b, low, high = (int(x[i]) for x in runs)
-                        out += [(one, fp, value, c, a, b, other) for other in (low, high) if other != fp]
-            columns = zip(*out, strict=True) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    done = spans.groupBy("id").agg(F.collect_list(F.struct("first_word", "last_word")).alias("done"))
-    asked = texts.select("id", "fp", "runs").join(done, "id", "left").mapInArrow(ask, "id long, fp long, v long, c int, s0 int, s1 int, other long")
-    partner = hits.groupBy("v", "fp").agg(F.min(F.struct("c", "s0", "s1")).alias("p")).withColumnRenamed("fp", "other")
-    pairs = asked.join(partner, ["v", "other"])
-    # The distance from start to minimum that both runs allow.
-    reach = F.greatest(F.least(F.col("c") - F.col("s0"), F.col("p.c") - F.col("p.s0")), F.col("c") - F.col("s1"), F.lit(0))
-    pairs = pairs.withColumn("_o", reach).select("fp", "other", (F.col("c") - F.col("_o")).alias("s"), F.greatest(F.col("p.c") - F.col("_o"), F.lit(0)).alias("t")).distinct()
-    pairs = common.stored(pairs, "pairs")
-    asked_for = pairs.select("fp", F.col("s").alias("at")).unionAll(pairs.select(F.col("other").alias("fp"), F.col("t").alias("at"))).distinct()
-    asked_for = asked_for.groupBy("fp").agg(F.collect_list("at").alias("ats"))
+                spots = np.flatnonzero(open_)
+                order = np.lexsort((v, s0))
+                v, c, s0, s1 = (x[order] for x in (v, c, s0, s1))
+                # Every two runs that overlap.
+                x = y = np.arange(len(s0))
+                if enough > 1:
+                    n = np.searchsorted(s0, s1, side="right") - x - 1
+                    x = np.repeat(x, n)
+                    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+                low = np.searchsorted(spots, s0[y])
+                high = np.searchsorted(spots, np.minimum(s1[x], s1[y]), side="right") - 1
+                some = low <= high
+                x, y, low, high = x[some], y[some], spots[low[some]], spots[high[some]]
+                swap = v[x] > v[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                k = common.mix(common.mix(v[x].astype(np.int64).view(np.uint64)) + v[y].astype(np.int64).view(np.uint64)).view(np.int64)
+                for column, values in zip(out, (k, np.full(len(k), one), np.full(len(k), fp), c[x], c[y], low, high), strict=True):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), kind) for x, kind in zip(out, kinds, strict=True)], names=names)
+
+    done = spans.filter("not is_first").groupBy("id").agg(F.collect_list(F.struct("first_word", "last_word")).alias("done"))
+    keyed = texts.select("id", "fp", "runs").join(done, "id", "left").mapInArrow(meet, "k long, id long, fp long, c1 int, c2 int, s0 int, s1 int")
+    spent: list[str] = []
+    with common.scope(spent):
+        keyed = common.stored(keyed, "keys")
+        width = keyed.groupBy("k").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.count(F.lit(1)).alias("n"))
+        width = common.stored(width.filter("_lo <> _hi").select("k", "n"), "groups")
+    groups = width.select("k", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("chunks"))
+    asked = skew_join(keyed, groups, ["k"], salt_by=["fp", "s0"], counts=width, target=chunk)
+    asked = common.stored(asked.groupBy("fp").agg(F.collect_list(F.struct("k", "chunks", "c1", "c2", "s0", "s1")).alias("asked")), "asked")
+    common.remove(texts.sparkSession, spent)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, fp, raw, ats in zip(*(batch.column(c).to_pylist() for c in ("id", "fp", "raw", "ats")), strict=True):
-                shingles = common.shingle_hashes(_hashes(raw), SHINGLE)
-                tokens = [np.unique(shingles[at : at + window]).tobytes() for at in ats]
-                columns = [pa.array([one] * len(ats), pa.int64()), pa.array([fp] * len(ats), pa.int64()), pa.array(ats, pa.int32()), pa.array(tokens, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "at", "tokens"])
-
-    cuts = texts.select("id", "fp", "raw").join(asked_for, "fp").mapInArrow(cut, "id long, fp long, at int, tokens binary")
-    cuts = common.stored(cuts, "windows")
+            fields = ("k", "chunks", "c1", "c2", "s0", "s1")
+            for one, raw, (k, chunks, c1, c2, s0, s1) in zip(batch.column("id").to_pylist(), batch.column("raw").to_pylist(), _lists(batch.column("asked"), *fields), strict=True):
+                shingles = np.ascontiguousarray(common.shingle_hashes(_hashes(raw), SHINGLE).view(np.uint8).reshape(-1, 8)[:, :TOKEN])
+                for low in range(0, len(k), 1024):
+                    part = slice(low, low + 1024)
+                    tokens = [shingles[a : b + window].tobytes() for a, b in zip(s0[part], s1[part], strict=True)]
+                    columns = [pa.array(k[part], pa.int64()), pa.array(np.full(len(tokens), one), pa.int64())]
+                    columns += [pa.array(x[part].astype(np.int32), pa.int32()) for x in (chunks, c1 - s0, c2 - s0, s0)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.binary())], names=["k", "id", "chunks", "c1", "c2", "s0", "tokens"])
+
+    cuts = texts.select("id", "fp", "raw").join(asked, "fp").mapInArrow(cut, "k long, id long, chunks int, c1 int, c2 int, s0 int, tokens binary")
+    # A large group is dealt out, and every two of its chunks meet in one task.
+    tasks = cuts.withColumn("_c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tasks = tasks.select("k", F.least("_c", "_o").alias("lo"), F.greatest("_c", "_o").alias("hi"), "id", "c1", "c2", "s0", "tokens")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(rows: pa.Table) -> pa.RecordBatch:
+            column = {c: rows.column(c).to_numpy() for c in ("id", "c1", "c2", "s0")}
+            blobs = [x.as_buffer() for x in rows.column("tokens")]
+            flat = np.zeros((sum(b.size for b in blobs) // TOKEN, 8), np.uint8)
+            flat[:, :TOKEN] = np.concatenate([np.frombuffer(b, np.uint8) for b in blobs]).reshape(-1, TOKEN)
+            one, s, least = near_windows(_runs(rows), *column.values(), flat.view(np.uint64).ravel(), np.array([b.size // TOKEN for b in blobs]), window, percent)
+            return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(s, pa.int32()), pa.array(least, pa.int64())], names=["id", "s", "passage_id"])
+
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-            yield batch.select(["a", "s", "b", "t"]).filter(pa.array(keep, pa.bool_()))
-
-    mine = cuts.select("fp", F.col("at").alias("s"), F.col("id").alias("a"), F.col("tokens").alias("x"))
-    theirs = cuts.select(F.col("fp").alias("other"), F.col("at").alias("t"), F.col("id").alias("b"), F.col("tokens").alias("y"))
-    found = pairs.join(mine, ["fp", "s"]).join(theirs, ["other", "t"]).select("a", "s", "b", "t", "x", "y")
-    found = common.stored(found.mapInArrow(verify, "a long, s int, b long, t int"), "near").withColumn("passage_id", F.least("a", "b"))
-    sides = [found.select(F.col(i).alias("id"), F.col(s).alias("first_word"), (F.col(s) + words - 1).alias("last_word"), "passage_id") for i, s in (("a", "s"), ("b", "t"))]
-    merged = sides[0].unionAll(sides[1]).withColumn("is_first", F.col("id") == F.col("passage_id"))
+            waiting.append(batch)
+            if sum(map(len, waiting)) >= TASK_ROWS:
+                rows = pa.Table.from_batches(waiting)
+                # The last group may go on in the next batch.
+                whole = int(np.searchsorted(runs := _runs(rows), runs[-1]))
+                waiting = rows.slice(whole).to_batches()
+                if whole:
+                    yield close(rows.slice(0, whole))
+        if sum(map(len, waiting)):
+            yield close(pa.Table.from_batches(waiting))
+
+    dealt = tasks.repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "id")
+    found = common.stored(dealt.mapInArrow(verify, "id long, s int, passage_id long").groupBy("id", "s").agg(F.min("passage_id").alias("passage_id")), "near")
+    merged = found.select("id", F.col("s").alias("first_word"), (F.col("s") + words - 1).alias("last_word"), "passage_id", (F.col("id") == F.col("passage_id")).alias("is_first"))
     # Windows of one text that touch make one passage.
     order = Window.partitionBy("id", "is_first").orderBy("first_word", "last_word")
     fresh = F.coalesce(F.col("first_word") > F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True)).cast("int")
