@@ -376,6 +376,19 @@ def test_blocks_survive_broken_markup():
     assert [t for _, t, _ in html_blocks.blocks("1 < 2 &lt; 3 <b")] == ["1 < 2 < 3 <b"]
 
 
+def test_unclosed_and_embedded_elements_lose_no_text():
+    article = "<article><p>first words</p><p>last words</p></article>"
+    for tag in "button object svg select canvas audio video noscript template math".split():
+        got = [t for _, t, _ in html_blocks.blocks(f"<header><{tag}>open</header>{article}")]
+        assert got == ["open", "first words", "last words"], tag
+        got = html_blocks.blocks(f"<article><p>before <{tag}>inside</{tag}> after</p></article>")
+        assert " ".join(t for _, t, _ in got) == "before inside after" and got[-1][0] == (("<article",), ("<p",)), tag
+    for tag in "script style title iframe textarea".split():
+        assert [t for _, t, _ in html_blocks.blocks(f"<p>a</p><{tag}>cut<p>b</p>")] == ["a"], tag
+    late, early = (html_blocks.Vectors().page([((("<p",),), text, 0.0)])[0, -5] for text in ("w" * 100 + "7" * 100, "7" * 100 + "w" * 100))
+    assert late == early == 0.5
+
+
 def test_gradient_of_the_network():
     net = html_blocks.BiLstm(5, hidden=3)
     rng = np.random.default_rng(0)

@@ -32,12 +32,15 @@ SEED = 5
 REMEMBERED = 200_000
 
 # Fixed element sets.
-RAW = frozenset("script style noscript template svg title iframe object select textarea button math canvas audio video".split())
+# Raw text: no element starts before the end tag; without one it is the rest of the page.
+RAW = frozenset("script style title iframe textarea".split())
+# Ordinary elements that may stand inside a paragraph; their text makes blocks of its own.
+EMBEDDED = frozenset("noscript template svg object select button canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul label option".split()
-)
-CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption body html head label option".split())
+) | EMBEDDED
+CLOSES_P = BLOCK - EMBEDDED - frozenset("td th tr tbody thead tfoot caption body html head label option".split())
 #: An open element of the first kind ends when one of the same set starts, unless a holder is between.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",), "body": ("head",)}
 HOLDERS = frozenset("ul ol dl table menu dir select article section div main body".split())
@@ -167,7 +170,7 @@ class Vectors:
             x[i, PATH_DIM : PATH_DIM + WORD_DIM] = bag / n
             leaf = path[-1][0] if path else ""
             x[i, -10:] = (
-                np.log1p(size) / 6, np.log1p(n) / 5, linked, text[-1] in ".!?…»\"", min(1.0, text.count(",") / n), sum(map(str.isdigit, text[:80])) / 80,
+                np.log1p(size) / 6, np.log1p(n) / 5, linked, text[-1] in ".!?…»\"", min(1.0, text.count(",") / n), sum(map(str.isdigit, text)) / size,
                 leaf in ("<h1", "<h2", "<h3", "<h4", "<h5", "<h6"), leaf in ("<p", "<blockquote", "<pre"), i / len(found), "©" in text,
             )
         return x
@@ -271,6 +274,7 @@ class Grammar:
 
     def __init__(self, seed: int):
         self.rng = np.random.default_rng(seed)
+        self.controls = np.random.default_rng(seed + 1)
 
     def pick(self, options: list) -> object:
         return options[int(self.rng.integers(len(options)))]
@@ -345,6 +349,11 @@ class Grammar:
                 text = self.sentence(2, 30) if kind in ("notice", "advert", "footer", "sidebar", "header") and self.chance(0.6) else self.short(kind)
                 out += [(f"<{leaf}>" if leaf else "", ""), ('<a href="/y">' if link else "", ""), ("", ("&copy; " if kind == "footer" and self.chance(0.5) else "") + text)]
                 out += [("</a>" if link else "", ""), (f"</{leaf}>" if leaf and not self.chance(0.1) else "", "")]
+        if kind in ("form", "notice", "share", "advert") and self.controls.random() < 0.5:
+            for _ in range(int(self.controls.integers(1, 4))):
+                text = CUES[kind][int(self.controls.integers(len(CUES[kind])))]
+                markup = [("<button>", "</button>"), ('<button class="btn">', "</button>"), ("<select><option>", "</option></select>"), ("<button>", "")][int(self.controls.integers(4))]
+                out += [(markup[0], ""), ("", text), (markup[1], "")]
         if not self.chance(0.06):
             out.append((f"</{tag}>", ""))
         return out
