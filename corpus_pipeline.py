@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a frame; the next stage reads
 Parquet. All but the last return the columns of documents.
 
 1. language: the word-level random field is fitted on the documents that reach it (labels of the
-   `lang` column); texts without a letter and texts in which no language holds half of the words
-   go.
+   `lang` column); only texts without a letter go. A text of several languages stays, however
+   small the share of its first language is.
 2. near_duplicates: one document of every component of near copies stays, the smallest id.
 3. passages: passages of 51 words or more that repeat across documents stay in the document of
    smallest id only; a document that is nothing but such passages goes. `n_chars` follows the text.
@@ -50,15 +50,11 @@ def stage(run_stage: Stage) -> Stage:
     return wrapped
 
 
-#: A language holds at least this share of a kept text's words.
-MAIN_LANGUAGE = 0.5
-
-
 @stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.configure(spark)
     judged = predict(docs, train(docs, F.lit(True)), [F.col(c) for c in docs.columns], carry_text=True)
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_LANGUAGE)).select(*docs.columns)
+    return judged.filter(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 @stage

@@ -80,6 +80,19 @@ def test_pipeline_stage_by_stage(spark):
     assert e.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
 
 
+def test_language_keeps_mixed_and_short_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = {r.lang: r.text.split()[:30] for r in docs.filter("length(text) > 400").orderBy(F.desc("doc_id")).collect()}
+    langs = sorted(some)
+    texts = [" ".join(w for lang in (a, b, c) for w in some[lang]) for a, b, c in zip(langs, langs[1:] + langs[:1], langs[2:] + langs[:2])]
+    texts += [" ".join(some[a] + some[b]) for a, b in zip(langs, langs[1:])] + [w for lang in langs for w in some[lang] if w.isalpha()]
+    mixed = spark.createDataFrame([(20_000 + i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(10_001, "12 !!", "en", "s", 5), (10_002, None, "en", "s", 0)], docs.schema)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["language"](spark, docs.unionAll(mixed), SF).select("doc_id").collect()}
+    assert len(langs) >= 3 and {20_000 + i for i in range(len(texts))} <= kept and not {10_001, 10_002} & kept
+    letters = {r.doc_id for r in docs.filter(F.col("text").rlike("\\p{L}")).select("doc_id").collect()}
+    assert letters <= kept
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
