@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     numbers = [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry_module.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "passages", "benchmark", "packing"]
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, toxicity
+from tidemark.llm import byte_bpe, common, token_alignment, toxicity, vector_codes
 from tidemark.llm.common import table
 from tidemark.llm.crf_language import predict, train
 from tidemark.llm.embedding_dedup import near_duplicate_vectors
@@ -176,3 +176,77 @@ def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_passage_dedup"] = op2_passage_dedup
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    both = byte_bpe.decode(ids, ranks, public_tokenizers.PATTERN)
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
+
+
+QUERIES["op11_byte_bpe"] = op11_byte_bpe
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        a_json, b_model = a.read(), b.read()
+    aligned = token_alignment.align(table(spark, sf_dir, "documents"), a_json, b_model)
+    written = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    counted = token_alignment.with_link_counts(aligned.withColumn("groups_sha256", written).drop("groups"), token_alignment.Pieces(b_model).size)
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES["op12_token_alignment"] = op12_token_alignment
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    hexes = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return coded.select("vec_id", hexes.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+QUERIES["op13_vector_codes"] = op13_vector_codes
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every part is a row; each round assigns all of them and averages the entries anew."""
+    near = """near{r} AS (
+    SELECT vec_id, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+        SELECT c.vec_id, c.p, b.e, list_sum(list_transform(list_zip(c.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM cut c JOIN book{r} b USING (p)
+    ) GROUP BY vec_id, p
+)"""
+    fold = """book{n} AS (
+    SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN (
+        SELECT p, e, list(m ORDER BY i) AS x FROM (
+            SELECT n.p, n.e, i, CAST(floor(CAST(sum(c.x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m
+            FROM near{r} n JOIN cut c USING (vec_id, p), (SELECT unnest(range(1, (SELECT max(len(x)) FROM cut) + 1)) AS i) GROUP BY n.p, n.e, i
+        ) GROUP BY p, e
+    ) m USING (p, e)
+)"""
+    steps = [near.format(r=0)]
+    for r in range(rounds):
+        steps += [fold.format(r=r, n=r + 1), near.format(r=r + 1)]
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS (
+    SELECT vec_id, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM kept, (SELECT unnest(range(0, {parts})) AS p)
+), ranked AS (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept
+), book0 AS (
+    SELECT p, e, x FROM cut JOIN ranked USING (vec_id) WHERE e < {entries}
+), {", ".join(steps)}, coded AS (
+    SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id
+), summed AS (
+    SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM kept JOIN coded USING (vec_id) GROUP BY label
+)
+SELECT vec_id, code, error, label_error,
+    (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept k JOIN coded USING (vec_id) JOIN summed s ON s.label IS NOT DISTINCT FROM k.label
+"""
+
+
+ORACLES["op13_vector_codes"] = _codes_sql()
