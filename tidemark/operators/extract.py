@@ -2,90 +2,40 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Sequence
 from html import unescape
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidemark.operators.article import scored_articles
+from tidemark.operators.markup import TextParser, tidy
+
 NO_ARTICLE = "Readability could not parse article"
 
-# Elements whose text is no reading text, and elements that begin a new line.
-_SKIPPED = frozenset({"script", "style", "nav", "noscript", "template", "title", "header", "footer", "aside"})
-_BLOCKS = frozenset(
-    {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "table", "section", "article", "main", "blockquote", "pre", "figure"}
-)
-_VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
-# Elements that only stand in the head; anything else ends an open head.
-_HEAD = frozenset({"base", "link", "meta", "noscript", "script", "style", "template", "title"})
-# An article or a main part is never inside a menu, header or footer that was left open.
-_OPENERS = frozenset({"article", "main", "body"})
-
-
-class _Text(HTMLParser):
-    """Collects readable text, apart for <article> and for the whole body.
-
-    A stack of open tags decides what a text belongs to, so an end tag that is missing or
-    too many affects no more than its own element.
-    """
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[str] = []
-        self.article: list[str] = []
-        self.body: list[str] = []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if "head" in self.open and tag not in _HEAD and tag != "head":
-            self._close("head")
-        if tag in _OPENERS:
-            skipped = [i for i, t in enumerate(self.open) if t in _SKIPPED]
-            if skipped:
-                del self.open[skipped[0] :]
-        if tag in _BLOCKS:
-            self._add("\n")
-        if tag not in _VOID:
-            self.open.append(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        self._close(tag)
-        if tag in _BLOCKS:
-            self._add("\n")
-
-    def handle_data(self, data: str) -> None:
-        if "head" in self.open and data.strip() and not any(t in _HEAD for t in self.open):
-            self._close("head")
-        self._add(data)
-
-    def _close(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i] == tag:
-                del self.open[i:]
-                return
-
-    def _add(self, data: str) -> None:
-        if not any(t in _SKIPPED or t == "head" for t in self.open):
-            self.body.append(data)
-            if "article" in self.open:
-                self.article.append(data)
-
-
-def _tidy(parts: list[str]) -> str:
-    lines = (re.sub(r"[ \t\r\f\v\xa0]+", " ", line).strip() for line in "".join(parts).split("\n"))
-    return "\n".join(line for line in lines if line)
+def article_texts(pages: Sequence[str | None]) -> list[str | None]:
+    """Text of each page's article element, else of its best scored elements, else of its body."""
+    out: list[str | None] = []
+    rest: list[int] = []
+    for html in pages:
+        parser = TextParser()
+        parser.feed(html or "")
+        parser.close()
+        article = tidy(parser.article)
+        body = tidy(parser.body)
+        if body and not article:
+            rest.append(len(out))
+        out.append(article or body or None)
+    for i, text in zip(rest, scored_articles([pages[i] for i in rest]), strict=True):
+        out[i] = text or out[i]
+    return out
 
 
 def article_text(html: str | None) -> str | None:
-    """Text of the article, or of the body when there is no article; None when empty."""
-    if not html:
-        return None
-    parser = _Text()
-    parser.feed(html)
-    parser.close()
-    return _tidy(parser.article) or _tidy(parser.body) or None
+    """The article of one page; None when it has no text."""
+    return article_texts([html])[0]
 
 
 @F.pandas_udf(StringType())
@@ -95,7 +45,7 @@ def _decoded(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def _article(html: pd.Series) -> pd.Series:
-    return html.map(article_text)
+    return pd.Series(article_texts(html.tolist()), index=html.index, dtype=object)
 
 
 def page_title(html: Column | str) -> Column:
