@@ -17,7 +17,7 @@ def sha256_short(text: Column | str) -> Column:
 
 
 def link_subject_id(url: Column | str) -> Column:
-    return F.concat(F.lit("link:"), sha256_short(normalize_url(_col(url))))
+    return F.concat(F.lit("link:"), sha256_short(normalize_url(url)))
 
 
 def sensor_subject_id(location: Column | str) -> Column:

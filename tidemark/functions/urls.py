@@ -9,16 +9,20 @@ path. Punycode hosts and number-only IPv4 hosts are left as written.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.hosts import parsed_host
+
 # scheme, authority, path, query, fragment
 _SPECIAL = r"^(?i)(https?|wss?|ftp):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(?:#.*)?$"
 _OTHER = r"^([A-Za-z][A-Za-z0-9+.\-]*):([^?#]*)(\?[^#]*)?(?:#.*)?$"
 _PORT = r":(\d*)$"
-_BAD_HOST = r"[\s<>\[\]^|%\\]"
+# Hosts that stay as they are: names whose last label begins with a letter.
+_NAME = r"^(?:[a-z0-9_\-]+\.)*[a-z][a-z0-9_\-]*\.?$"
 _ILLEGAL = r"[^\x21-\x7e]|[\"<>`{}^]"
 _DOTS = r"(?i)/(\.|%2e){1,2}(/|$)"
 
@@ -87,12 +91,12 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _split(clean: Column) -> Column:
-    """struct(scheme, userinfo, host, port, path, query) of a hierarchical web URL."""
+    """struct(scheme, userinfo, host, port, path, query) of a hierarchical web URL; host is NULL when it is none."""
     hostport = F.regexp_replace(F.regexp_extract(clean, _SPECIAL, 2), r"^.*@", "")
     return F.struct(
         F.lower(F.regexp_extract(clean, _SPECIAL, 1)).alias("scheme"),
         F.regexp_extract(F.regexp_extract(clean, _SPECIAL, 2), r"^.*@", 0).alias("userinfo"),
-        F.lower(F.regexp_replace(hostport, _PORT, "")).alias("host"),
+        _let(F.lower(F.regexp_replace(hostport, _PORT, "")), lambda h: F.when(h.rlike(_NAME), h).otherwise(parsed_host(h))).alias("host"),
         # A failing cast is expensive, so empty and over-long ports never reach it.
         _let(
             F.regexp_extract(hostport, _PORT, 1),
@@ -107,11 +111,7 @@ def _split(clean: Column) -> Column:
 
 def _accepted(p: Column) -> Column:
     """True where the split parts form a valid web URL."""
-    return (
-        (p["host"] != "")
-        & ~F.regexp_like(p["host"], F.lit(r"^(?!\[[0-9a-f:.]+\]$).*(" + _BAD_HOST + r"|:)"))
-        & (F.coalesce(p["port"], F.lit(0)) <= 65535)
-    )
+    return p["host"].isNotNull() & (F.coalesce(p["port"], F.lit(0)) <= 65535)
 
 
 def _is_other(clean: Column) -> Column:
@@ -120,10 +120,18 @@ def _is_other(clean: Column) -> Column:
 
 def is_url(url: Column | str) -> Column:
     """True where a URL parser would accept the text."""
-    url = F.col(url) if isinstance(url, str) else url
+    return _is_url_of(url) if isinstance(url, str) else _is_url(url)
+
+
+def _is_url(url: Column) -> Column:
     return F.coalesce(_let(_clean(url), lambda c: _is_other(c) | _let(_split(c), _accepted)), F.lit(False))
 
 
+@functools.cache
+def _is_url_of(name: str) -> Column:
+    return _is_url(F.col(name))
+
+
 def _web(p: Column, drop_params: Sequence[str]) -> Column:
     number = p["port"]
     default_port = (
@@ -176,11 +184,13 @@ def _opaque(clean: Column, drop_params: Sequence[str]) -> Column:
 def normalize_url(url: Column | str, drop_params: Sequence[str] = ()) -> Column:
     """Canonical form of a URL; text that is no URL comes back unchanged.
 
-    `drop_params` removes named query parameters (tracking tags); nothing is
-    removed by default.
+    `drop_params` removes named query parameters (tracking tags); nothing is removed by default.
+    The expression is long: for a column name it is built once a process.
     """
-    url = F.col(url) if isinstance(url, str) else url
+    return _normalized_of(url, tuple(drop_params)) if isinstance(url, str) else _normalized(url, drop_params)
+
 
+def _normalized(url: Column, drop_params: Sequence[str]) -> Column:
     def body(clean: Column) -> Column:
         other = F.when(_is_other(clean), _opaque(clean, drop_params)).otherwise(url)
         return _let(_split(clean), lambda p: F.when(_accepted(p), _web(p, drop_params)).otherwise(other))
@@ -188,6 +198,11 @@ def normalize_url(url: Column | str, drop_params: Sequence[str] = ()) -> Column:
     return _let(_clean(url), body)
 
 
+@functools.cache
+def _normalized_of(name: str, drop_params: tuple[str, ...]) -> Column:
+    return _normalized(F.col(name), drop_params)
+
+
 def domain(url: Column | str) -> Column:
     """Host of a URL, 'unknown' where it cannot be parsed."""
     url = F.col(url) if isinstance(url, str) else url

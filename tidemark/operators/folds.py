@@ -182,7 +182,7 @@ def _link_columns() -> list[Column]:
     )
     return [
         url.alias("url"),
-        F.coalesce("added.v.url_norm", normalize_url(url)).alias("url_norm"),
+        F.coalesce("added.v.url_norm", normalize_url("added.v.url")).alias("url_norm"),
         F.col("added.v.created_at").alias("created_at"),
         F.col("added.v.source").alias("source"),
         status.alias("status"),

@@ -28,6 +28,25 @@ def normalize_url_drop_tracking(spark, sf):
     )
 
 
+@query(
+    "host_forms",
+    """WITH r AS (SELECT event_id, (event_id * 2654435761) % 4294967296 AS n, event_id % 5 AS k FROM events),
+    d AS (SELECT *, (n >> 24) || '.' || ((n >> 16) & 255) || '.' || ((n >> 8) & 255) || '.' || (n & 255) AS dotted FROM r)
+    SELECT event_id, CASE k WHEN 3 THEN 'http://xn--bcher-kva.s' || n || '.de/' WHEN 4 THEN 'http://[2001:db8::' || CASE WHEN n >> 16 = 0 THEN '' ELSE printf('%x', n >> 16) || ':' END || printf('%x', n & 65535) || ']/'
+      ELSE 'http://' || dotted || '/' END AS url_norm FROM d""",
+)
+def host_forms(spark, sf):
+    """Addresses written as decimal, hexadecimal and octal numbers, IPv6 with zeros, and an IDN name."""
+    n = (F.col("event_id") * 2654435761) % 4294967296
+    k = F.col("event_id") % 5
+    part = lambda v: F.lpad(F.hex(v), 4, "0")
+    six = F.concat(F.lit("[2001:0DB8:0:0:0:0:"), part(F.shiftright(n, 16)), F.lit(":"), part(n % 65536), F.lit("]"))
+    host = F.when(k == 0, n.cast("string")).when(k == 1, F.concat(F.lit("0X"), F.hex(n))).when(k == 2, F.concat(F.lit("0"), F.conv(n.cast("string"), 10, 8)))
+    host = host.when(k == 3, F.concat(F.lit("BÜCHER.s"), n.cast("string"), F.lit(".de"))).otherwise(six)
+    rows = adapters.table(spark, sf, "events").select("event_id", F.concat(F.lit("http://"), host).alias("url"))
+    return rows.select("event_id", urls.normalize_url("url").alias("url_norm"))
+
+
 @query(
     "sha256_short",
     "SELECT doc_id, substr(sha256(text), 1, 16) AS digest FROM documents",

@@ -26,11 +26,11 @@ def capture_links(shares: DataFrame) -> Captured:
     links are reduced per subject with a partial aggregation.
     """
     url = F.col("url")
-    ok = F.coalesce(url != "", F.lit(False)) & is_url(url)
+    ok = F.coalesce(url != "", F.lit(False)) & is_url("url")
     valid = (
         shares.filter(ok)
         .withColumn("source", F.coalesce("source", F.lit("unknown")))
-        .withColumn("url_norm", normalize_url(url))
+        .withColumn("url_norm", normalize_url("url"))
         .withColumn("subject_id", F.concat(F.lit("link:"), sha256_short("url_norm")))
     )
     reason = F.when(F.coalesce(url == "", F.lit(True)), "Missing or invalid 'url' field").otherwise(
