@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("scalars", "ingest", "state", "joins", "aggregates", "routing", "temporal", "catalog", "reads", "streams")
+MODULES = ("scalars", "ingest", "state", "joins", "aggregates", "routing", "temporal", "catalog", "reads", "streams", "related")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # SQL settings that may be changed on a running session.
 RUNTIME_CONF = {
@@ -45,7 +46,21 @@ def local_session(cores: str = "*", app: str = "tidemark", memory: str = "8g") -
     return configure(spark)
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one only where the session names none."""
+    """The shared folder that the session names; a local one only on a single machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or _local_folder()).rstrip("/")
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends, lost executors do no harm."""
+    path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
