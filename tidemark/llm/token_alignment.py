@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
-from tidemark.llm.byte_bpe import ByteBpe, TokenBytes
+from tidemark.llm.byte_bpe import REMEMBERED, ByteBpe, TokenBytes
 
 #: Characters of texts that are aligned together, and of one chunk.
 TOGETHER = 1 << 20
@@ -73,26 +74,48 @@ class ByteLevel:
         return ByteBpe(tokens, _PATTERN, rows) if (np.diff(rows[:, 2]) > 0).all() else None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        rare = [i for i, t in enumerate(texts) if self.short is None or not _COMMON.fullmatch(t)]
-        out = self.short.encode([t for t in texts if _COMMON.fullmatch(t)]) if self.short is not None else []
+        common_ = [self.short is not None and _COMMON.fullmatch(t) is not None for t in texts]
+        rare = [i for i, plain in enumerate(common_) if not plain]
+        out = self.short.encode([t for t, plain in zip(texts, common_, strict=True) if plain]) if self.short is not None else []
         for i, e in zip(rare, self.whole.encode_batch_fast([texts[i] for i in rare], add_special_tokens=False), strict=True):
             out.insert(i, np.array(e.ids, dtype=np.int32))
         return out
 
 
 class Pieces:
-    """Ids by a sentence-piece model."""
+    """Ids by a sentence-piece model.
+
+    Where no piece goes on after a blank, nothing merges across blanks, and the words of a text
+    with single blanks are encoded one by one; a worker remembers them. Other texts go whole.
+    """
 
     def __init__(self, model: bytes):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_proto=model)
         self.size = self.model.get_piece_size()
+        pieces = [self.model.id_to_piece(i) for i in range(self.size)]
         as_bytes = lambda i, p: bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
-        self.text_of = TokenBytes({i: as_bytes(i, self.model.id_to_piece(i)) for i in range(self.size)})
+        self.text_of = TokenBytes({i: as_bytes(i, p) for i, p in enumerate(pieces)})
+        self.by_word = all("▁" not in p.lstrip("▁") for p in pieces) and self.model.encode("a", out_type=str)[0].startswith("▁")
+        self.known: dict[str, bytes] = {}
+        self.room = REMEMBERED
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, dtype=np.int32) for x in self.model.encode(texts, num_threads=1)]
+        short = [self.by_word and "  " not in t and "▁" not in t and t[:1] != " " and t[-1:] != " " for t in texts]
+        words = [t.split(" ") for t, plain in zip(texts, short, strict=True) if plain]
+        new = set().union(*words).difference(self.known)
+        self.room -= sum(map(len, new))
+        if self.room < 0:
+            self.known.clear()
+            new = set().union(*words)
+            self.room = REMEMBERED - sum(map(len, new))
+        listed = list(new)
+        for word, ids in zip(listed, self.model.encode(listed, num_threads=1), strict=True):
+            self.known[word] = array("i", ids).tobytes()
+        by_word = iter(words)
+        rare = iter(self.model.encode([t for t, plain in zip(texts, short, strict=True) if not plain], num_threads=1))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, next(by_word))), np.int32) if plain else np.array(next(rare), dtype=np.int32) for plain in short]
 
 
 def group_labels(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,8 +177,9 @@ class Aligner:
     def __init__(self, a: str, b: bytes):
         self.a, self.b = ByteLevel(a), Pieces(b)
         # What a token writes: A ids end with , or |, B ids with , or ; or nothing.
-        self.written = [b"%d%s" % (i, s) for i in range(self.a.size) for s in (b",", b"|")]
-        self.written += [b"%d%s" % (i, s) for i in range(self.b.size) for s in (b",", b";", b"")]
+        written = [b"%d%s" % (i, s) for i in range(self.a.size) for s in (b",", b"|")]
+        written += [b"%d%s" % (i, s) for i in range(self.b.size) for s in (b",", b";", b"")]
+        self.written = TokenBytes(dict(enumerate(written)))
 
     def align(self, texts: list[str | None]) -> Iterator[tuple]:
         """(n_a, n_b, n_groups, n_links, groups, keys, times) of each text."""
@@ -192,8 +216,10 @@ class Aligner:
         code = np.empty(len(a) + len(b), dtype=np.int64)
         code[np.arange(len(a)) + before_b[la]] = a * 2 + last_a
         code[np.arange(len(b)) + before_a[lb + 1]] = 2 * self.a.size + b.astype(np.int64) * 3 + last_b
+        texts = self.written.join(code).tobytes()
+        letters = np.concatenate([[0], np.cumsum(self.written.lengths[code])])[at_a + at_b].tolist()
         for i in range(len(lists_a)):
-            text = b"".join(map(self.written.__getitem__, code[at_a[i] + at_b[i] : at_a[i + 1] + at_b[i + 1]].tolist())).decode()
+            text = texts[letters[i] : letters[i + 1]].decode()
             part = slice(cut[i], cut[i + 1])
             n_links = int(links[groups[i + 1]] - links[groups[i]])
             yield len(lists_a[i]), len(lists_b[i]), int(groups[i + 1] - groups[i]), n_links, text, key[part], times[part]
