@@ -39,7 +39,7 @@ LINK_TYPES = (
 )
 
 
-def _is(kind: str) -> Column:
+def is_type(kind: str) -> Column:
     return F.col("event_type") == kind
 
 
@@ -51,11 +51,11 @@ def _first(value: Column, when: Column) -> Column:
     return F.min_by(F.struct(F.col("ord"), value.alias("v")), F.when(when, F.col("ord")))
 
 
-def _fetch_error() -> Column:
-    return _is("content.fetched") & present("p.fetch_error")
+def fetch_error() -> Column:
+    return is_type("content.fetched") & present("p.fetch_error")
 
 
-def _decoded(events: DataFrame, types: tuple[str, ...]) -> DataFrame:
+def decoded(events: DataFrame, types: tuple[str, ...]) -> DataFrame:
     # The NULL check is stated here, not left to the joins that would infer it, so that
     # two uses of one aggregate keep the same plan and share its exchange.
     wanted = events.filter(F.col("event_type").isin(*types) & F.col("subject_id").isNotNull())
@@ -71,14 +71,14 @@ def link_partials(events: DataFrame, known: DataFrame | None = None) -> DataFram
     `known` is an earlier result of this function; its subjects keep their A.
     Subjects without any usable `link.added` yield no row.
     """
-    ev = _decoded(events, LINK_TYPES)
-    added_ok = _is("link.added") & present("p.url")
+    ev = decoded(events, LINK_TYPES)
+    added_ok = is_type("link.added") & present("p.url")
     fetched, enriched, published = (
-        _is("content.fetched"),
-        _is("enrichment.completed"),
-        _is("publish.completed"),
+        is_type("content.fetched"),
+        is_type("enrichment.completed"),
+        is_type("publish.completed"),
     )
-    failed = _fetch_error()
+    failed = fetch_error()
     ok = fetched & ~present("p.fetch_error")
 
     def content(name: str) -> Column:
@@ -89,7 +89,7 @@ def link_partials(events: DataFrame, known: DataFrame | None = None) -> DataFram
 
     wide = ev.groupBy("subject_id").agg(
         _first(F.struct("p.url", "p.url_norm", F.col("occurred_at").alias("created_at"), "source"), added_ok).alias("added"),
-        _last(F.col("p.visibility"), _is("link.visibility_changed") & valid_visibility("p.visibility")).alias("vis"),
+        _last(F.col("p.visibility"), is_type("link.visibility_changed") & valid_visibility("p.visibility")).alias("vis"),
         _last(F.when(published, "published").otherwise("error"), failed | published).alias("terminal"),
         _last(F.struct("occurred_at", F.col("p.fetch_error").alias("error")), failed).alias("err"),
         F.max(F.when(ok, F.col("ord"))).alias("ok_ord"),
@@ -108,7 +108,7 @@ def link_partials(events: DataFrame, known: DataFrame | None = None) -> DataFram
         _last(F.col("occurred_at"), enriched).alias("m_last"),
     )
     anchors = ev.filter(added_ok | published | enriched | failed).groupBy("subject_id").agg(
-        F.min(F.when(_is("link.added"), F.col("ord"))).alias("a_ord"),
+        F.min(F.when(is_type("link.added"), F.col("ord"))).alias("a_ord"),
         F.max(F.when(published, F.col("ord"))).alias("p_ord"),
         F.count_if(enriched | failed).alias("n_rows"),
     )
@@ -303,11 +303,11 @@ def merge_partials(
 
 def links_sql(events: DataFrame) -> DataFrame:
     """Statement-set semantics: a repeated add resets the row, every stage sets the status."""
-    ev = _decoded(events, LINK_TYPES)
-    added, fetched, enriched, published = (_is(t) for t in LINK_TYPES[:4])
+    ev = decoded(events, LINK_TYPES)
+    added, fetched, enriched, published = (is_type(t) for t in LINK_TYPES[:4])
     added = added & F.col("p.url").isNotNull()
     failed = fetched & F.col("p.fetch_error").isNotNull()
-    changed = _is("link.visibility_changed") & valid_visibility("p.visibility")
+    changed = is_type("link.visibility_changed") & valid_visibility("p.visibility")
     stage = (
         F.when(added, "new").when(failed, "error").when(fetched, "fetched").when(enriched, "enriched").otherwise("published")
     )
@@ -347,13 +347,13 @@ def links_sql(events: DataFrame) -> DataFrame:
 
 def link_content_sql(events: DataFrame) -> DataFrame:
     """The last fetch replaces the whole row."""
-    ev = _decoded(events, ("link.added", "content.fetched"))
+    ev = decoded(events, ("link.added", "content.fetched"))
     names = ("final_url", "title", "text_content", "html_storage_key", "fetch_error")
     return (
         ev.groupBy("subject_id")
         .agg(
-            F.min(F.when(_is("link.added") & F.col("p.url").isNotNull(), F.col("ord"))).alias("a_ord"),
-            _last(F.struct(*[f"p.{c}" for c in names], "occurred_at"), _is("content.fetched")).alias("c"),
+            F.min(F.when(is_type("link.added") & F.col("p.url").isNotNull(), F.col("ord"))).alias("a_ord"),
+            _last(F.struct(*[f"p.{c}" for c in names], "occurred_at"), is_type("content.fetched")).alias("c"),
         )
         .filter(F.col("c.ord") > F.col("a_ord"))
         .select(
@@ -367,10 +367,10 @@ def link_content_sql(events: DataFrame) -> DataFrame:
 
 def link_metadata_sql(events: DataFrame) -> DataFrame:
     """Tags: '[]' keeps the old array, a missing field clears it; text fields coalesce."""
-    ev = _decoded(events, ("link.added", "enrichment.completed")).withColumn(
+    ev = decoded(events, ("link.added", "enrichment.completed")).withColumn(
         "t", json_tags(json_fragment(unwrap_payload("payload"), "$.tags"))
     )
-    enriched = _is("enrichment.completed")
+    enriched = is_type("enrichment.completed")
     fields = {
         "summary_short": F.coalesce("p.summary_short", "p.summary"),
         "summary_long": F.col("p.summary_long"),
@@ -378,7 +378,7 @@ def link_metadata_sql(events: DataFrame) -> DataFrame:
         "model_version": F.col("p.model_version"),
     }
     agg = ev.groupBy("subject_id").agg(
-        F.min(F.when(_is("link.added") & F.col("p.url").isNotNull(), F.col("ord"))).alias("a_ord"),
+        F.min(F.when(is_type("link.added") & F.col("p.url").isNotNull(), F.col("ord"))).alias("a_ord"),
         _last(F.col("occurred_at"), enriched).alias("at"),
         _last(F.col("t"), enriched & F.col("t").isNotNull()).alias("tags"),
         *[_last(v, enriched & v.isNotNull()).alias(n) for n, v in fields.items()],
@@ -396,8 +396,8 @@ def publish_state_sql(events: DataFrame) -> DataFrame:
     """Constant versions: enrichment writes 1/0/dirty, publish writes 1/clean."""
     ev = events.filter(F.col("event_type").isin("enrichment.completed", "publish.completed"))
     agg = ev.groupBy("subject_id").agg(
-        F.max(F.when(_is("enrichment.completed"), F.col("ord"))).alias("e"),
-        _last(F.col("occurred_at"), _is("publish.completed")).alias("p"),
+        F.max(F.when(is_type("enrichment.completed"), F.col("ord"))).alias("e"),
+        _last(F.col("occurred_at"), is_type("publish.completed")).alias("p"),
     )
     clean = F.col("p").isNotNull() & (F.col("e").isNull() | (F.col("p.ord") > F.col("e")))
     return agg.select(
@@ -414,28 +414,28 @@ def publish_state_sql(events: DataFrame) -> DataFrame:
 
 def subject_partials(events: DataFrame) -> DataFrame:
     """Per (subject, subject_id): the creating event and the last todo title."""
-    ev = _decoded(events, ("link.added", "temp.reading_recorded", "todo.created", "annotation.added"))
+    ev = decoded(events, ("link.added", "temp.reading_recorded", "todo.created", "annotation.added"))
     usable = (
-        (_is("link.added") & present("p.url"))
-        | (_is("temp.reading_recorded") & has_key(unwrap_payload("payload"), "celsius"))
-        | (_is("todo.created") & present("p.title"))
-        | _is("annotation.added")
+        (is_type("link.added") & present("p.url"))
+        | (is_type("temp.reading_recorded") & has_key(unwrap_payload("payload"), "celsius"))
+        | (is_type("todo.created") & present("p.title"))
+        | is_type("annotation.added")
     )
     # Subject names and metadata per event type.
     kind = (
-        F.when(_is("link.added"), "link")
-        .when(_is("temp.reading_recorded"), "sensor")
-        .when(_is("todo.created"), "todo")
+        F.when(is_type("link.added"), "link")
+        .when(is_type("temp.reading_recorded"), "sensor")
+        .when(is_type("todo.created"), "todo")
         .otherwise("annotation")
     )
     start = F.struct(
         F.col("occurred_at").alias("created_at"),
-        F.when(_is("link.added"), F.lit("public"))
-        .when(_is("annotation.added"), F.coalesce("p.visibility", F.lit("private")))
+        F.when(is_type("link.added"), F.lit("public"))
+        .when(is_type("annotation.added"), F.coalesce("p.visibility", F.lit("private")))
         .otherwise("private")
         .alias("visibility"),
-        F.when(_is("temp.reading_recorded"), F.lit('{"type":"temperature"}'))
-        .when(_is("todo.created"), meta_json("source"))
+        F.when(is_type("temp.reading_recorded"), F.lit('{"type":"temperature"}'))
+        .when(is_type("todo.created"), meta_json("source"))
         .otherwise("{}")
         .alias("meta"),
     )
@@ -445,14 +445,14 @@ def subject_partials(events: DataFrame) -> DataFrame:
         .groupBy("subject", "subject_id")
         .agg(
             _first(start, F.lit(True)).alias("s"),
-            _last(F.col("p.title"), _is("todo.created")).alias("title"),
+            _last(F.col("p.title"), is_type("todo.created")).alias("title"),
         )
     )
 
 
 def visibility_partials(events: DataFrame) -> DataFrame:
     """Per subject_id: the last valid visibility change."""
-    ev = _decoded(events, ("link.visibility_changed",)).filter(valid_visibility("p.visibility"))
+    ev = decoded(events, ("link.visibility_changed",)).filter(valid_visibility("p.visibility"))
     return ev.groupBy("subject_id").agg(_last(F.col("p.visibility"), F.lit(True)).alias("vis"))
 
 
@@ -476,7 +476,7 @@ def subjects(events: DataFrame) -> DataFrame:
 
 
 def reading_partials(events: DataFrame, dialect: str = "imperative") -> DataFrame:
-    ev = _decoded(events, ("temp.reading_recorded",)).filter(F.col("p.celsius").isNotNull())
+    ev = decoded(events, ("temp.reading_recorded",)).filter(F.col("p.celsius").isNotNull())
     value = F.struct("p.celsius", "p.humidity", "p.battery")
     pick = F.min_by if dialect == "imperative" else F.max_by
     return ev.groupBy("subject_id", "occurred_at").agg(pick(value, F.col("ord")).alias("v"))
@@ -490,7 +490,7 @@ def temperature_readings(events: DataFrame, dialect: str = "imperative") -> Data
 def temperature_latest(events: DataFrame, dialect: str = "imperative") -> DataFrame:
     """Greatest event time (ties: the earlier arrival); in the sql dialect the last arrival."""
     if dialect == "sql":
-        ev = _decoded(events, ("temp.reading_recorded",)).filter(F.col("p.celsius").isNotNull())
+        ev = decoded(events, ("temp.reading_recorded",)).filter(F.col("p.celsius").isNotNull())
         value = F.struct("occurred_at", "p.celsius", "p.humidity", "p.battery")
         return ev.groupBy("subject_id").agg(F.max_by(value, F.col("ord")).alias("v")).select("subject_id", "v.*")
     return latest_of(temperature_readings(events))
@@ -505,14 +505,14 @@ def latest_of(readings: DataFrame) -> DataFrame:
 
 
 def todo_partials(events: DataFrame) -> DataFrame:
-    ev = _decoded(events, ("todo.created", "todo.completed"))
-    created = _is("todo.created") & present("p.title")
+    ev = decoded(events, ("todo.created", "todo.completed"))
+    created = is_type("todo.created") & present("p.title")
     return ev.groupBy("subject_id").agg(
         _first(meta_json("source"), created).alias("first"),
         _last(F.struct("p.title", F.coalesce("p.labels", F.array().cast("array<string>")).alias("labels"), "occurred_at"), created).alias("last"),
         _last(F.col("p.project"), created & F.col("p.project").isNotNull()).alias("project"),
         _last(F.col("p.due_at"), created & F.col("p.due_at").isNotNull()).alias("due"),
-        _last(F.col("occurred_at"), _is("todo.completed")).alias("done"),
+        _last(F.col("occurred_at"), is_type("todo.completed")).alias("done"),
     )
 
 
@@ -536,13 +536,13 @@ def todos_from(partials: DataFrame) -> DataFrame:
 
 def link_arrivals(events: DataFrame) -> DataFrame:
     """(link_subject_id, parent_ord): when each link came to exist."""
-    ev = _decoded(events, ("link.added",)).filter(present("p.url"))
+    ev = decoded(events, ("link.added",)).filter(present("p.url"))
     return ev.groupBy(F.col("subject_id").alias("link_subject_id")).agg(F.min("ord").alias("parent_ord"))
 
 
 def annotation_partials(events: DataFrame, parents: DataFrame) -> DataFrame:
-    ev = _decoded(events, ("annotation.added",))
-    notes = ev.filter(_is("annotation.added") & F.col("p.annotation_id").isNotNull()).select(
+    ev = decoded(events, ("annotation.added",))
+    notes = ev.filter(is_type("annotation.added") & F.col("p.annotation_id").isNotNull()).select(
         "ord",
         "occurred_at",
         "subject_id",

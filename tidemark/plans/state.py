@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+from datetime import datetime
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import domains, folds, merge
+from tidemark.operators import domains, folds, history, merge
 from tidemark.plans import sqltext as S
 from tidemark.plans.registry import flat, query
+from tidemark.session import shared_folder
 from tidemark.sources import adapters, ledger
 
 _VIS = f"""{S.AFTER},
@@ -377,3 +383,37 @@ def state_partial_update(spark, sf):
         )
     )
     return flat(merge.partial_update(fresh, merge.updates_from_events(events)))
+
+
+MOMENTS = ("2024-01-02 06:00:00", "2024-01-09 12:30:00", "2024-01-15 00:00:00", "2024-01-22 23:59:59", "2024-03-01 00:00:00")
+
+
+def _links_at(moment: str) -> str:
+    return f"""(WITH {S.LIFE.replace("FROM events", f"FROM events WHERE ts <= TIMESTAMP '{moment}'")}, {S.AFTER[len(S.LIFE) + 1 :]}
+    SELECT TIMESTAMP '{moment}' AS moment, subject_id, status, visibility, retry_count, last_error_at, last_error FROM links)"""
+
+
+def _stored_history(spark, sf) -> str:
+    folder = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    history.write_history(history.link_history(adapters.lifecycle_events(spark, sf)), folder, "week")
+    return folder
+
+
+@query("link_history_as_of", " UNION ALL ".join(_links_at(m) for m in MOMENTS))
+def link_history_as_of(spark, sf):
+    """The states at five moments, each read from one part of the stored history."""
+    folder = _stored_history(spark, sf)
+    at = [history.read_as_of(spark, folder, datetime.fromisoformat(m), "week").withColumn("moment", F.lit(m).cast("timestamp")) for m in MOMENTS]
+    return flat(functools.reduce(DataFrame.unionByName, at))
+
+
+@query(
+    "link_history_changes",
+    f"""WITH x AS {_links_at(MOMENTS[1])}, y AS {_links_at(MOMENTS[3])}
+    SELECT coalesce(x.subject_id, y.subject_id) AS subject_id, x.status AS before, y.status AS after, y.retry_count - coalesce(x.retry_count, 0) AS more_errors
+    FROM x FULL JOIN y ON x.subject_id = y.subject_id WHERE x.subject_id IS NULL OR (x.status, x.retry_count, x.last_error_at, x.last_error) IS DISTINCT FROM (y.status, y.retry_count, y.last_error_at, y.last_error)""",
+)
+def link_history_changes(spark, sf):
+    changed = history.changes_between(spark, _stored_history(spark, sf), *(datetime.fromisoformat(MOMENTS[i]) for i in (1, 3)), period="week")
+    more = F.col("after.retry_count") - F.coalesce("before.retry_count", F.lit(0))
+    return changed.select("subject_id", F.col("before.status").alias("before"), F.col("after.status").alias("after"), more.alias("more_errors"))
