@@ -25,6 +25,7 @@ An exact group of any size costs one row per member and function, and no pairs a
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,7 @@ SEED = 20240611
 #: Shingles of one root of a tree, and of the trees that are built at once.
 ROOT = 1 << 15
 TOGETHER = 1 << 18
-#: Bytes of a shingle's hash that are compared.
+#: Bytes of a shingle's hash that are used, from the lowest on.
 TOKEN = 6
 #: Rows of one chunk of a group, rows of groups that are verified at once, and windows of one step.
 CHUNK_ROWS = 1 << 10
@@ -55,6 +56,10 @@ _POSITION = 28
 _U = np.uint64
 
 
+def _multipliers(functions: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 63, functions, dtype=np.uint64) * _U(2) + _U(1)
+
+
 def cartesian_windows(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nodes (l, c, r) of the Cartesian trees over the ranges [first, last], of `least` width or more.
 
@@ -128,7 +133,7 @@ def _hashes(raw: bytes | None) -> np.ndarray:
 def _window_rows(texts: DataFrame, words: int, functions: int) -> DataFrame:
     """(v, fp, c, s0, s1) of every distinct node."""
     window = words - SHINGLE + 1
-    multipliers = np.random.default_rng(SEED).integers(0, 1 << 63, functions, dtype=np.uint64) * _U(2) + _U(1)
+    multipliers = _multipliers(functions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["v", "fp", "c", "s0", "s1"]
@@ -138,6 +143,7 @@ def _window_rows(texts: DataFrame, words: int, functions: int) -> DataFrame:
                 lists = [common.shingle_hashes(found.hashes[found.at[i] : found.at[i + 1]], SHINGLE) for i in range(high - low)]
                 lengths = np.array([len(x) if n >= SHINGLE else 0 for x, n in zip(lists, np.diff(found.at), strict=True)])
                 flat = np.concatenate([x[:n] for x, n in zip(lists, lengths, strict=True)]) if lists else np.zeros(0, np.uint64)
+                flat &= _U((1 << 8 * TOKEN) - 1)
                 for owner, v, c, s0, s1 in start_runs(flat, lengths, window, multipliers):
                     columns = [pa.array(v.view(np.int64)), pa.array(fp[low + owner])] + [pa.array(x.astype(np.int32)) for x in (c, s0, s1)]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -190,7 +196,9 @@ def repeated_passages(
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col), F.octet_length(text_col)).alias("fp"), F.col(text_col).alias("text"))
     nodes = _window_rows(common.text_bytes(rows, "fp"), words, functions)
-    shared = nodes.groupBy("v").agg(F.min("fp").alias("_lo"), F.max("fp").alias("_hi")).filter("_lo <> _hi").select("v")
+    # Half of a text's fingerprint tells texts apart here; it halves what is shuffled.
+    half = F.col("fp").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    shared = nodes.groupBy("v").agg(F.min(half).alias("_lo"), F.max(half).alias("_hi")).filter("_lo <> _hi").select("v")
     spent: list[str] = []
     with common.scope(spent):
         hits = common.stored(nodes.join(shared, "v").groupBy("fp", "v", "c", "s0", "s1").agg(F.count(F.lit(1)).alias("_n")).drop("_n"), "nodes")
@@ -223,7 +231,7 @@ def repeated_passages(
     spans = common.stored(spans.select("id", "first_word", "last_word", "passage_id", "is_first", F.lit(True).alias("exact")), "spans")
     common.remove(docs.sparkSession, spent)
 
-    near = _near(texts, spans, words, window, enough, percent, chunk)
+    near = _near(texts, spans, words, window, functions, enough, percent, chunk)
     own = _word_counts(common.text_bytes(rows, "id", "fp"))
     copies = own.join(reps.filter("copies > 1").withColumnRenamed("id", "passage_id").drop("copies"), "fp").filter(F.col("n") >= words)
     copies = copies.select("id", F.lit(0).alias("first_word"), (F.col("n") - 1).alias("last_word"), "passage_id", (F.col("id") == F.col("passage_id")).alias("is_first"), F.lit(True).alias("exact"))
@@ -248,15 +256,68 @@ def _distinct(rows: np.ndarray) -> np.ndarray:
     return 1 + (rows[:, 1:] != rows[:, :-1]).sum(axis=1)
 
 
+class Minima:
+    """The min-hashes of every window of some shingles, and where their tokens are."""
+
+    _PLACE = (1 << 24) - 1
+
+    def __init__(self, flat: np.ndarray, window: int, multipliers: np.ndarray):
+        place = np.arange(len(flat), dtype=np.uint64)
+        mask = _U(self._PLACE)
+        self.values, self.first, self.once = [], [], []
+        for f, multiplier in enumerate(multipliers):
+            hashed = common.mix(flat * multiplier)
+            low = self._slid((hashed & ~mask) | place, window)
+            high = self._slid((hashed & ~mask) | (mask - place), window)
+            at = (low & mask).astype(np.int64)
+            self.values.append(common.mix(hashed[at] + _U(f)).view(np.int64))
+            self.first.append(at - np.arange(len(at)))
+            self.once.append(at == self._PLACE - (high & mask).astype(np.int64))
+
+    @staticmethod
+    def _slid(key: np.ndarray, window: int) -> np.ndarray:
+        width = 1
+        while 2 * width <= window:
+            key = np.minimum(key[:-width], key[width:])
+            width *= 2
+        rest = window - width
+        return np.minimum(key[: len(key) - rest], key[rest:])
+
+    def elsewhere(self, x: np.ndarray, y: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Which pairs of windows are aligned in the group of two other shared min-hashes as well.
+
+        A pair belongs to the group of the first two functions that it shares at one place in both
+        windows; a pair whose tokens repeat inside a window belongs to every group it meets in.
+        """
+        agree, placed = [], []
+        for value, first, once in zip(self.values, self.first, self.once, strict=True):
+            agree.append(value[x] == value[y])
+            placed.append(agree[-1] & once[x] & once[y] & (first[x] == first[y]))
+        home = key.copy()
+        free = np.ones(len(x), dtype=bool)
+        for p, q in itertools.combinations(range(len(agree)), 2):
+            at = np.flatnonzero(free & agree[p] & agree[q] & (placed[p] | placed[q]))
+            a, b = self.values[p][x[at]], self.values[q][x[at]]
+            home[at] = _pair_key(np.minimum(a, b), np.maximum(a, b))
+            free[at] = False
+        return home != key
+
+
+def _pair_key(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return common.mix(common.mix(low.view(np.uint64)) + high.view(np.uint64)).view(np.int64)
+
+
 def near_windows(
-    group: np.ndarray, ids: np.ndarray, c1: np.ndarray, c2: np.ndarray, s0: np.ndarray, flat: np.ndarray, lengths: np.ndarray, window: int, percent: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, start, smallest id) of each window that has a near window of another id in its group.
-
-    Rows are sorted by group and id; `flat` holds their shingles from s0 on. Two windows are
-    compared where they are aligned at either shared minimum. Every partner is tried, smallest id
-    first, until one is near; a window goes untried only if too few of its shingles occur in any
-    other text of its group for a partner to exist.
+    group: np.ndarray, key: np.ndarray, ids: np.ndarray, c1: np.ndarray, c2: np.ndarray, s0: np.ndarray, flat: np.ndarray, lengths: np.ndarray, window: int, percent: int, multipliers: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, first start, last start, smallest id) of the windows that have a near window of another
+    id in their group, as runs of neighbouring starts.
+
+    Rows are sorted by group and id; `flat` holds their shingles from s0 on and `key` is made of the
+    two min-hashes of the group. Two windows are compared where they are aligned at either of them,
+    and only in one of the groups that align them. Every partner is tried, smallest id first, until
+    one is near; a window goes untried only if too few of its shingles occur in any other text of
+    its group for a partner to exist.
     """
     base = np.cumsum(lengths) - lengths
     n = lengths - window + 1
@@ -266,16 +327,16 @@ def near_windows(
     span = np.arange(window)
     steps = range(0, len(at), WINDOWS)
     size = np.concatenate([_distinct(flat[at[i : i + WINDOWS, None] + span]) for i in steps]) if len(at) else np.zeros(0, np.int64)
-    # Shingles that two ids of the group hold; a collision of keys only tries more.
+    # Shingles that two ids of the group hold; a collision of tokens only tries more.
     owner = np.repeat(np.arange(len(n)), lengths)
-    key = common.mix(flat ^ common.mix(group[owner].astype(np.uint64) + _U(1)))
-    order = np.argsort(key)
-    begin = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
+    token = common.mix(flat ^ common.mix(group[owner].astype(np.uint64) + _U(1)))
+    order = np.argsort(token)
+    begin = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]])) if len(token) else np.zeros(0, np.int64)
     holders = ids[owner][order]
-    shared = np.zeros(len(key) + 1, dtype=np.int64)
-    if len(key):
+    shared = np.zeros(len(token) + 1, dtype=np.int64)
+    if len(token):
         many = np.minimum.reduceat(holders, begin) != np.maximum.reduceat(holders, begin)
-        shared[1:][order] = np.repeat(many, np.diff(np.append(begin, len(key))))
+        shared[1:][order] = np.repeat(many, np.diff(np.append(begin, len(token))))
     shared = np.cumsum(shared)
     alive = 100 * (shared[at + window] - shared[at]) >= percent * size
     member, inner, at, size = member[alive], inner[alive], at[alive], size[alive]
@@ -285,6 +346,7 @@ def near_windows(
     first = np.searchsorted(group[partners], group[member], side="left")
     end = np.searchsorted(group[partners], group[member], side="right")
     best = np.full(len(at), -1, dtype=np.int64)
+    minima = Minima(flat, window, multipliers) if len(at) else None
     active = np.arange(len(at))
     turn = 0
     while len(active):
@@ -294,6 +356,7 @@ def near_windows(
             mine, near = member[active], inner[active] - c[member[active]] + c[other]
             can = np.flatnonzero((best[active] < 0) & (ids[mine] != ids[other]) & (near >= 0) & (near < n[other]))
             can = can[size_at[base[other[can]] + near[can]] > 0]
+            can = can[~minima.elsewhere(at[active[can]], base[other[can]] + near[can], key[mine[can]])]
             for i in range(0, len(can), WINDOWS):
                 part = can[i : i + WINDOWS]
                 x, y = at[active[part]], base[other[part]] + near[part]
@@ -301,12 +364,17 @@ def near_windows(
                 best[active[met]] = np.minimum(ids[mine[met]], ids[other[met]])
         active = active[best[active] < 0]
         turn += 1
-    found = best >= 0
-    return ids[member[found]], s0[member[found]] + inner[found], best[found]
+    found = np.flatnonzero(best >= 0)
+    member, inner, best = member[found], inner[found], best[found]
+    go_on = (member[1:] == member[:-1]) & (inner[1:] == inner[:-1] + 1) & (best[1:] == best[:-1])
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(found)), dtype=bool), ~go_on]))
+    last = np.append(first[1:], len(found))[: len(first)] - 1
+    return ids[member[first]], s0[member[first]] + inner[first], s0[member[first]] + inner[last], best[first]
 
 
-def _near(texts: DataFrame, spans: DataFrame, words: int, window: int, enough: int, percent: int, chunk: int) -> DataFrame:
+def _near(texts: DataFrame, spans: DataFrame, words: int, window: int, functions: int, enough: int, percent: int, chunk: int) -> DataFrame:
     """Spans of verified near passages, at starts that are not in a later copy of an exact passage."""
+    multipliers = _multipliers(functions)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["k", "id", "fp", "c1", "c2", "s0", "s1"]
@@ -333,7 +401,7 @@ def _near(texts: DataFrame, spans: DataFrame, words: int, window: int, enough: i
                 x, y, low, high = x[some], y[some], spots[low[some]], spots[high[some]]
                 swap = v[x] > v[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
-                k = common.mix(common.mix(v[x].astype(np.int64).view(np.uint64)) + v[y].astype(np.int64).view(np.uint64)).view(np.int64)
+                k = _pair_key(np.ascontiguousarray(v[x], np.int64), np.ascontiguousarray(v[y], np.int64))
                 for column, values in zip(out, (k, np.full(len(k), one), np.full(len(k), fp), c[x], c[y], low, high), strict=True):
                     column.append(values)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), kind) for x, kind in zip(out, kinds, strict=True)], names=names)
@@ -373,8 +441,10 @@ def _near(texts: DataFrame, spans: DataFrame, words: int, window: int, enough: i
             blobs = [x.as_buffer() for x in rows.column("tokens")]
             flat = np.zeros((sum(b.size for b in blobs) // TOKEN, 8), np.uint8)
             flat[:, :TOKEN] = np.concatenate([np.frombuffer(b, np.uint8) for b in blobs]).reshape(-1, TOKEN)
-            one, s, least = near_windows(_runs(rows), *column.values(), flat.view(np.uint64).ravel(), np.array([b.size // TOKEN for b in blobs]), window, percent)
-            return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(s, pa.int32()), pa.array(least, pa.int64())], names=["id", "s", "passage_id"])
+            sizes = np.array([b.size // TOKEN for b in blobs])
+            one, low, high, least = near_windows(_runs(rows), rows.column("k").to_numpy(), *column.values(), flat.view(np.uint64).ravel(), sizes, window, percent, multipliers)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((one, low, high, least), kinds, strict=True)], names=["id", "s0", "s1", "passage_id"])
 
         waiting: list[pa.RecordBatch] = []
         for batch in batches:
@@ -390,7 +460,10 @@ def _near(texts: DataFrame, spans: DataFrame, words: int, window: int, enough: i
             yield close(pa.Table.from_batches(waiting))
 
     dealt = tasks.repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "id")
-    found = common.stored(dealt.mapInArrow(verify, "id long, s int, passage_id long").groupBy("id", "s").agg(F.min("passage_id").alias("passage_id")), "near")
+    found = dealt.mapInArrow(verify, "id long, s0 int, s1 int, passage_id long").groupBy("id", "s0", "s1").agg(F.min("passage_id").alias("passage_id"))
+    # A text's runs meet before they are starts again.
+    found = common.stored(found, "near").repartition("id").select("id", F.explode(F.sequence("s0", "s1")).alias("s"), "passage_id")
+    found = found.groupBy("id", "s").agg(F.min("passage_id").alias("passage_id"))
     merged = found.select("id", F.col("s").alias("first_word"), (F.col("s") + words - 1).alias("last_word"), "passage_id", (F.col("id") == F.col("passage_id")).alias("is_first"))
     # Windows of one text that touch make one passage.
     order = Window.partitionBy("id", "is_first").orderBy("first_word", "last_word")
