@@ -10,11 +10,11 @@ import contextlib
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled by one vectorised step; a longer text is a step of its own.
@@ -57,6 +57,8 @@ def _own_root() -> str:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of this process only where none is
     named, as in tests on a single machine."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (spark.conf.get("spark.checkpoint.dir", None) or _own_root()).rstrip("/")
 
 
@@ -106,6 +108,22 @@ def without_ids(rows: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     return rows.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), id_col, "left_anti").select(*rows.columns)
 
 
+def drawn(digest: Column, wanted: int, rows: int) -> Column:
+    """True for about `wanted` of `rows` rows, chosen by a 64-bit digest: no number of rows is too
+    large for it, and a row is chosen alike in every run."""
+    if wanted >= rows:
+        return F.lit(True)
+    return digest.bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(-(-(wanted << 63) // rows))
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """A column name that no taken one equals, whatever their case."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

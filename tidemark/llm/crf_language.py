@@ -199,12 +199,12 @@ def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
     languages = sorted(counts)
     if not languages:
         return Model([], [])
-    digest = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000))
-    share = F.lit(0)
+    digest = F.xxhash64(F.col(id_col), F.col(text_col))
+    chosen = F.lit(False)
     for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, int(min(1.0, sample_docs / n) * 1_000_000)).otherwise(share)
+        chosen = F.when(F.col(lang_col) == lang, common.drawn(digest, sample_docs, n)).otherwise(chosen)
     begin = F.pmod(F.xxhash64(F.col(text_col), F.lit(1)), F.greatest(F.length(text_col) - PASSAGE_CHARS, F.lit(1))).cast("int") + 1
-    sample = rows.filter(digest < share).select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), begin, F.lit(PASSAGE_CHARS)).alias("passage"))
+    sample = rows.filter(chosen).select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), begin, F.lit(PASSAGE_CHARS)).alias("passage"))
     return Model(languages, sorted((r["lang"], r["passage"]) for r in sample.collect()))
 
 
@@ -212,12 +212,18 @@ def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "
     """The kept columns with lang_pred and score (mean posterior of that language over words).
 
     A null text and one without a letter are `und` with score 0. A single learned language wins
-    wherever there is a letter.
+    wherever there is a letter; of languages with equal posteriors the first by name does. Columns
+    that are not kept are not read. Where a kept column has one of the two names, the new column
+    takes the name that common.free_name gives.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     # With carry_text the kept columns hold the text, which then travels once.
-    frame = docs.select(*keep) if carry_text else docs.select(*keep, F.col(text_col).alias("_text"))
-    source, kept = (text_col, len(keep)) if carry_text else ("_text", len(frame.columns) - 1)
+    frame = docs.select(*keep)
+    kept, taken = len(frame.columns), frame.columns
+    source = taken.index(text_col) if carry_text else kept
+    if not carry_text:
+        frame = docs.select(*keep, F.col(text_col).alias(common.free_name("_text", taken)))
+    added = [common.free_name(n, taken) for n in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -259,7 +265,7 @@ def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "
                 high = low + len(ts)
                 columns = [batch.column(i) for i in range(kept)]
                 columns += [pa.array(names[pred[low:high]].tolist(), pa.string()), pa.array(score[low:high])]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:kept], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:kept], *added])
                 low = high
 
         held, size = [], 0
@@ -279,4 +285,4 @@ def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "
             yield from close(held)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:kept])
-    return frame.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return frame.mapInArrow(run, f"{schema}, {added[0]} string, {added[1]} double")

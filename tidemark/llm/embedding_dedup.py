@@ -102,8 +102,7 @@ def near_duplicate_vectors(
     sizes = {r["part"]: r["n"] for r in reps.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows).orderBy(F.desc("n"), "part").limit(SAMPLE_PARTS).collect()}
     centers: dict[str, np.ndarray] = {}
     if sizes:
-        share = min(1.0, SAMPLE_ROWS / sum(sizes.values()))
-        sample = reps.filter(F.col("part").isin(list(sizes)) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+        sample = reps.filter(F.col("part").isin(list(sizes)) & common.drawn(F.xxhash64("id"), SAMPLE_ROWS, sum(sizes.values())))
         by_part: dict[str, list] = {}
         for r in sorted(sample.select("part", "id", "v").collect(), key=lambda r: (r["part"], r["id"])):
             by_part.setdefault(r["part"], []).append(r["v"])

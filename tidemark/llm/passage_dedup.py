@@ -477,16 +477,18 @@ def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
     """The rows with every passage cut out that is not the first of its kind; blank rests go.
 
     `passages` is what repeated_passages gives for these rows. Texts that hold no later copy of a
-    passage are left as they are, byte for byte, null texts and rows without id included.
+    passage are left as they are, byte for byte, null texts and rows without id included. Other
+    columns stay, whatever their names.
     """
-    later = passages.filter(~F.col("is_first")).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.collect_list(F.struct("first_word", "last_word")).alias("_cut"))
-    joined = docs.join(later, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
     names = docs.columns
+    key, cut = common.free_name("_id", names), common.free_name("_cut", names)
+    later = passages.filter(~F.col("is_first")).groupBy(F.col(id_col).cast("long").alias(key)).agg(F.collect_list(F.struct("first_word", "last_word")).alias(cut))
+    joined = docs.join(later, F.col(id_col).cast("long") == F.col(key), "left").drop(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
-            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column("_cut").to_pylist(), strict=True):
+            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column(cut).to_pylist(), strict=True):
                 if spans and text is not None:
                     raw = text.encode()
                     for _, _, found in common.steps(pa.array([raw], pa.binary()), common.BLANK):
@@ -503,4 +505,4 @@ def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
             columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select(*names, "_cut").mapInArrow(run, docs.schema)
+    return joined.select(*names, cut).mapInArrow(run, docs.schema)

@@ -91,11 +91,11 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     """Fit on the features of about `sample_rows` rows of each class among the admitted labels."""
     known = _known(labels, use, id_col, label_col)
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0)
+    drawn = F.lit(False)
     for y, n in totals.items():
-        share = F.when(F.col("y") == y, int(min(1.0, sample_rows / n) * 1_000_000)).otherwise(share)
+        drawn = F.when(F.col("y") == y, common.drawn(F.xxhash64("id"), sample_rows, n)).otherwise(drawn)
     # The sample's ids are bounded by its documented size.
-    chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)
+    chosen = known.filter(drawn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -267,11 +267,10 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     common.configure(docs.sparkSession)
     known = labels.filter(use & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y")).distinct()
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    digest = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
-    share = F.lit(0)
+    chosen = F.lit(False)
     for y, n in totals.items():
-        share = F.when(F.col("y") == y, int(min(1.0, sample_rows / n) * 1_000_000)).otherwise(share)
-    chosen = known.filter(digest < share).withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int"))
+        chosen = F.when(F.col("y") == y, common.drawn(F.xxhash64("id"), sample_rows, n)).otherwise(chosen)
+    chosen = known.filter(chosen).withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int"))
     # The sample's ids are bounded by its documented size.
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     sample = common.stored(sample, "labelled").repartition(16, "id")
@@ -314,17 +313,23 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """The kept columns with score (0 to 1); null, empty and blank texts score as texts without words."""
+    """The kept columns with score (0 to 1); null, empty and blank texts score as texts without words.
+
+    Columns that are not kept are not read. Where a kept column is named score, the new one takes
+    the name that common.free_name gives.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    frame = docs.select(*keep, F.col(text_col).alias("_text"))
+    taken = docs.select(*keep).columns
+    frame = docs.select(*keep, F.col(text_col).alias(common.free_name("_text", taken)))
+    added = common.free_name("score", taken)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         measured = Features(model.lexicon)
         for batch in batches:
-            x = np.array([measured.one(t) for t in batch.column("_text").to_pylist()]).reshape(-1, len(Features.names))
+            x = np.array([measured.one(t) for t in batch.column(batch.num_columns - 1).to_pylist()]).reshape(-1, len(Features.names))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(model.score(x))], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(model.score(x))], names=[*batch.schema.names[:-1], added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
-    return frame.mapInArrow(run, f"{schema}, score double")
+    return frame.mapInArrow(run, f"{schema}, {added} double")
