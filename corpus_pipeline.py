@@ -54,7 +54,7 @@ def stage(run_stage: Stage) -> Stage:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.configure(spark)
     judged = predict(docs, train(docs, F.lit(True)), [F.col(c) for c in docs.columns], carry_text=True)
-    return judged.filter(F.col("lang_pred") != "und").select(*docs.columns)
+    return judged.filter(F.col(common.free_name("lang_pred", docs.columns)) != "und").select(*docs.columns)
 
 
 @stage
