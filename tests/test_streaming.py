@@ -7,7 +7,7 @@ from tidemark.plans.state import all_events
 from tidemark.sources import adapters
 from tidemark.streaming import windows as stream_windows
 from tidemark.streaming.lifecycle import lifecycle_stream
-from tidemark.streaming.materialize import StateStore, start_materializer
+from tidemark.streaming.materialize import StateTables, start_materializer
 from tidemark.streaming.sources import dedupe_stream, read_event_stream, write_records
 
 SF = "/root/testdata/sf0.001"
@@ -32,7 +32,7 @@ def test_materializer_equals_batch(spark, tmp_path):
     split_files(events, tmp_path / "in", "ord", 4)
     schema = events.schema.simpleString()[len("struct<"):-1].replace(":", " ")
     stream = read_event_stream(spark, str(tmp_path / "in"), schema=schema, options={"maxFilesPerTrigger": "1"})
-    store = StateStore(spark, str(tmp_path / "state"), compact_every=2)
+    store = StateTables(spark, str(tmp_path / "state"), buckets=8)
     query = start_materializer(stream, store, str(tmp_path / "cp"))
     query.awaitTermination(600)
     assert query.exception() is None
@@ -53,7 +53,7 @@ def test_repeated_batch_is_harmless(spark, tmp_path):
     from tidemark.streaming.materialize import fold_batch
 
     events = frame(spark, random_rows(9, subjects=40))
-    store = StateStore(spark, str(tmp_path))
+    store = StateTables(spark, str(tmp_path), buckets=8)
     fold_batch(store, events.filter("ord <= 80"), 0)
     fold_batch(store, events.filter("ord > 80"), 1)
     before = rows_of(store.publish_state())
@@ -61,6 +61,30 @@ def test_repeated_batch_is_harmless(spark, tmp_path):
     assert rows_of(store.publish_state()) == before == rows_of(folds.publish_state(folds.link_partials(events)))
 
 
+def test_upsert_is_idempotent_and_rewrites_touched_buckets_only(spark, tmp_path):
+    from tidemark.streaming.upsert import read_upserted, upsert_changes
+
+    path, rules = str(tmp_path / "t"), {"n": "add", "v": "coalesce"}
+    change = lambda rows: spark.createDataFrame(rows, "k long, n long, v string")
+    files = lambda: {r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect()}
+    upsert_changes(spark, path, change([(i, 1, None) for i in range(100)]), ["k"], rules, 0, 8)
+    before = files()
+    for _ in range(2):
+        upsert_changes(spark, path, change([(3, 5, "x"), (500, 2, "y")]), ["k"], rules, 1, 8)
+        got = {r.k: (r.n, r.v) for r in read_upserted(spark, path).collect()}
+        assert got == {i: (1, None) for i in range(100)} | {3: (6, "x"), 500: (2, "y")}
+    assert len(before) == 8 and len(before & files()) >= 6
+    # A try that ended half way: only the bucket that lacks the batch takes it.
+    upsert_changes(spark, path, change([(3, 1, None)]), ["k"], rules, 2, 8)
+    upsert_changes(spark, path, change([(3, 1, None), (500, 1, None)]), ["k"], rules, 2, 8)
+    bucket = {r.k: r["_bucket"] for r in spark.read.parquet(path).select("k", "_bucket").collect()}
+    got = {r.k: r.n for r in read_upserted(spark, path).collect()}
+    assert got[3] == 7 and got[500] == (2 if bucket[3] == bucket[500] else 3)
+    assert read_upserted(spark, str(tmp_path / "none")) is None
+    upsert_changes(spark, path, change([]), ["k"], rules, 3, 8)
+    assert read_upserted(spark, path).count() == 101
+
+
 def activity_stream(spark, tmp_path, parts=3):
     batch = adapters.activity(spark, SF)
     split_files(batch, tmp_path / "in", "event_id", parts)

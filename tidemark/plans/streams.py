@@ -18,8 +18,9 @@ from tidemark.session import shared_folder
 from tidemark.sources import adapters
 from tidemark.streaming import windows
 from tidemark.streaming.lifecycle import lifecycle_stream
-from tidemark.streaming.materialize import StateStore, start_materializer
+from tidemark.streaming.materialize import StateTables, start_materializer
 from tidemark.streaming.sources import dedupe_stream
+from tidemark.streaming.upsert import read_upserted, upsert_sink
 
 
 def _folder(spark) -> str:
@@ -85,15 +86,15 @@ def stream_lifecycle(spark, sf):
     return _finish(spark, lifecycle_stream(e, 240 * 3600, "1 hour"))
 
 
-def _store(spark, events, table: str) -> StateStore:
+def _store(spark, events, table: str) -> StateTables:
     """State tables kept by the micro-batch materializer over a stream of events."""
     folder = _folder(spark)
-    store = StateStore(spark, f"{folder}/state")
+    store = StateTables(spark, f"{folder}/state")
     start_materializer(events, store, f"{folder}/checkpoint", tables=(table,)).awaitTermination()
     return store
 
 
-def _link_store(spark, sf) -> StateStore:
+def _link_store(spark, sf) -> StateTables:
     return _store(spark, adapters.lifecycle_events(spark, sf, stream=True), "links")
 
 
@@ -140,6 +141,26 @@ def stream_subjects(spark, sf):
     return flat(_store(spark, _batches(spark, all_events(spark, sf)), "subjects").subjects())
 
 
+@query(
+    "stream_upsert",
+    f"""WITH {S.ACTIVITY} SELECT user_id, count(*) AS n, max_by(topic, event_id) AS last_topic, min_by(topic, event_id) AS first_topic, max(ts) AS last_at FROM activity GROUP BY user_id""",
+)
+def stream_upsert(spark, sf):
+    """A row per user kept by micro-batches: a sum, a last, a first and a latest value."""
+    rows = adapters.activity(spark, sf)
+    source, folder = f"{_folder(spark)}/in", _folder(spark)
+    rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def reduced(batch):
+        last, first = (f("topic", "event_id") for f in (F.max_by, F.min_by))
+        return batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), last.alias("last_topic"), first.alias("first_topic"), F.max("ts").alias("last_at"))
+
+    rules = {"n": "add", "last_topic": "overwrite", "first_topic": "keep", "last_at": "overwrite"}
+    upsert_sink(stream, f"{folder}/table", f"{folder}/checkpoint", ["user_id"], rules, reduced, buckets=8).awaitTermination()
+    return flat(read_upserted(spark, f"{folder}/table"))
+
+
 @query(
     "stream_sliding",
     f"""WITH {S.ACTIVITY}, p AS (SELECT topic, date_trunc('hour', ts) AS h, count(*) AS n FROM activity GROUP BY ALL),

@@ -1,12 +1,8 @@
-"""Incremental state: micro-batches folded into mergeable partials.
-
-Every table is a set of partial rows in Parquet, one folder per micro-batch holding
-only the keys that batch touched, partitioned by a hash bucket of the key; the newest
-row of a key is its state. Batch N reads the touched buckets of the folders before N
-and overwrites its own folder, so a repeated batch gives the same result. Each batch
-also rewrites one of `compact_every` groups of buckets as a base, so no batch rewrites
-the whole state and all folders older than a full round can go. The folders live on
-the shared path the caller names.
+"""Incremental state: micro-batches folded into mergeable partials, upserted by key.
+
+Every table is a set of partial rows in plain Parquet, one row per key, kept by the keyed upsert
+of `tidemark.streaming.upsert`: a batch is folded on top of the rows of its keys, and the hash
+buckets it touches are rewritten.
 """
 
 from __future__ import annotations
@@ -14,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from tidemark.operators import folds
 from tidemark.sources.ledger import with_payload
+from tidemark.streaming.upsert import read_upserted, upsert
 
 
 @dataclass(frozen=True)
@@ -39,92 +36,28 @@ ANNOTATIONS = Table("annotations", ("annotation_id",), ("first",))
 TABLES = ("links", "todos", "readings", "subjects", "annotations")
 
 
-class StateStore:
-    """Changelog folders of the partial tables under one root.
-
-    `buckets` is fixed for the life of a root; a batch that touches few keys reads the
-    files of few buckets.
-    """
+class StateTables:
+    """The partial tables under one root on a shared path; `buckets` is fixed for its life."""
 
-    def __init__(self, spark: SparkSession, root: str, compact_every: int = 16, buckets: int = 64) -> None:
-        self.spark, self.root, self.compact_every, self.buckets = spark, root.rstrip("/"), compact_every, buckets
-        # Folders of a table without rows hold no file that would tell the columns.
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        # A table without rows has no file that would tell its columns.
         self._schemas: dict[str, StructType] = {}
 
-    def _bucket(self, table: Table) -> Column:
-        return F.pmod(F.xxhash64(*table.keys), F.lit(self.buckets)).cast("int")
-
-    def _batches(self, table: Table, kind: str) -> list[int]:
-        """Finished folders of a table, listed by name only."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table.name}/kind={kind}")
-        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath() for s in fs.listStatus(path)]
-        done = [p for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName().split("=")[1]) for p in done)
-
-    def _folder(self, table: Table, kind: str, batch: int) -> str:
-        return f"{self.root}/{table.name}/kind={kind}/batch={batch}"
-
-    def read(self, table: Table, before: int | None = None, keys: DataFrame | None = None) -> DataFrame | None:
-        """State from the batches before `before`; only the rows of `keys` when given."""
-
-        bases, start = self._bases(table, before)
-        # A base covers its own batch; change rows it already holds are older than its own.
-        folders = [self._folder(table, "base", b) for b in bases]
-        folders += [self._folder(table, "change", b) for b in self._batches(table, "change") if b > start and (before is None or b < before)]
-        if not folders:
-            return None
-        reader = self.spark.read.option("basePath", f"{self.root}/{table.name}")
-        if table.name in self._schemas:
-            reader = reader.schema(self._schemas[table.name])
-        rows = reader.parquet(*folders).drop("kind", "batch")
-        if keys is not None:
-            # At most `buckets` numbers; the filter prunes the folders of all other buckets.
-            touched = [r[0] for r in keys.select(self._bucket(table)).distinct().collect()]
-            rows = rows.filter(F.col("_bucket").isin(touched)).join(keys, list(table.keys), "left_semi")
-        values = [c for c in rows.columns if c not in (*table.keys, "_batch", "_bucket")]
-        latest = rows.groupBy(*table.keys).agg(F.max_by(F.struct(*values), "_batch").alias("_s"))
-        return latest.select(*table.keys, *[F.col(f"_s.{c}").alias(c) for c in values])
-
-    def apply(self, table: Table, batch: int, fold: Callable[[DataFrame | None], DataFrame], touched: DataFrame | None) -> None:
+    def read(self, table: Table) -> DataFrame:
+        rows = read_upserted(self.spark, f"{self.root}/{table.name}")
+        return self.spark.createDataFrame([], self._schemas[table.name]) if rows is None else rows
+
+    def apply(self, table: Table, batch: int, fold: Callable[[DataFrame | None], DataFrame], touched: DataFrame) -> None:
         """Fold a batch on top of the state of its touched keys and store the changed rows."""
-        old = self.read(table, batch, touched)
-        new = fold(old)
-        merged = new if old is None else folds.merge_partials(old, new, table.keys, table.first)
-        self._write(merged, table, "change", batch)
-        group = batch % self.compact_every
-        part = self.read(table, batch + 1).withColumn("_bucket", self._bucket(table))
-        self._write(part.filter(F.col("_bucket") % self.compact_every == group), table, "base", batch)
-        self._expire(table, batch)
-
-    def _bases(self, table: Table, before: int | None = None) -> tuple[list[int], int]:
-        """Newest base of every group of buckets, and the batch up to which they cover all."""
-        newest: dict[int, int] = {}
-        for b in self._batches(table, "base"):
-            if before is None or b < before:
-                newest[b % self.compact_every] = b
-        bases = sorted(newest.values())
-        return bases, bases[0] if len(bases) == self.compact_every else -1
-
-    def _expire(self, table: Table, batch: int) -> None:
-        """Drop folders that neither the next batch nor a repeat of this one reads."""
-        bases, start = self._bases(table, batch)
-        jvm = self.spark._jvm
-        for kind in ("change", "base"):
-            for b in self._batches(table, kind):
-                if b <= start and b not in bases:
-                    path = jvm.org.apache.hadoop.fs.Path(self._folder(table, kind, b))
-                    path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-    def _write(self, rows: DataFrame, table: Table, kind: str, batch: int) -> None:
-        rows = rows.withColumn("_batch", F.lit(batch).cast("bigint")).withColumn("_bucket", self._bucket(table))
-        self._schemas[table.name] = StructType(rows.schema.fields + [StructField("kind", StringType()), StructField("batch", LongType())])
-        rows.write.mode("overwrite").partitionBy("_bucket").parquet(self._folder(table, kind, batch))
-
-    # Finished tables -------------------------------------------------
+
+        def merged(old: DataFrame | None) -> DataFrame:
+            new = fold(old)
+            rows = new if old is None else folds.merge_partials(old, new, table.keys, table.first)
+            self._schemas[table.name] = rows.schema
+            return rows
+
+        upsert(self.spark, f"{self.root}/{table.name}", table.keys, touched, merged, batch, self.buckets)
 
     def links(self) -> DataFrame:
         return folds.links(self.read(LINKS)).drop("added_ord")
@@ -154,7 +87,7 @@ class StateStore:
         return folds.annotations_from(self.read(ANNOTATIONS))
 
 
-def fold_batch(store: StateStore, batch: DataFrame, batch_id: int, tables: Sequence[str] = TABLES) -> None:
+def fold_batch(store: StateTables, batch: DataFrame, batch_id: int, tables: Sequence[str] = TABLES) -> None:
     """One micro-batch into the named tables. The batch is read once and kept while it is
     used. Annotations need the links table beside them."""
     rows = batch.persist()
@@ -177,7 +110,7 @@ def fold_batch(store: StateStore, batch: DataFrame, batch_id: int, tables: Seque
             # this batch's notes are read.
             named = with_payload(rows.filter(F.col("event_type") == "annotation.added"))
             named = named.select(F.col("p.link_subject_id").alias("subject_id")).filter("subject_id IS NOT NULL").distinct()
-            linked = store.read(LINKS, batch_id + 1, named).select(
+            linked = store.read(LINKS).join(named, "subject_id", "left_semi").select(
                 F.col("subject_id").alias("link_subject_id"), F.col("added.ord").alias("parent_ord")
             )
             notes = folds.annotation_partials(rows, linked)
@@ -187,7 +120,7 @@ def fold_batch(store: StateStore, batch: DataFrame, batch_id: int, tables: Seque
 
 
 def start_materializer(
-    events: DataFrame, store: StateStore, checkpoint: str, once: bool = True, interval: str = "30 seconds", tables: Sequence[str] = TABLES
+    events: DataFrame, store: StateTables, checkpoint: str, once: bool = True, interval: str = "30 seconds", tables: Sequence[str] = TABLES
 ) -> StreamingQuery:
     """Run the folds over a stream; `events` needs the envelope columns and `ord`."""
     writer = events.writeStream.foreachBatch(lambda batch, batch_id: fold_batch(store, batch, batch_id, tables)).option(
