@@ -145,6 +145,24 @@ def test_lifecycle_stream_matches_batch(spark, tmp_path):
     assert rows_of(spark.table("life")) == rows_of(want)
 
 
+def test_anomaly_stream_matches_batch_out_of_order(spark, tmp_path):
+    import random
+
+    from tidemark.streaming.processors import anomaly_stream
+
+    rng = random.Random(1)
+    rows = [(f"s{i % 3}", 1_700_000_000 + i * 97 + rng.randrange(-200, 200), i, 20 + rng.gauss(0, 1) + (30 if rng.random() < 0.02 else 0)) for i in range(400)]
+    df = spark.createDataFrame([*rows, ("s0", 1_700_000_000, 1, None)], "k string, s long, i long, v double").withColumn("ts", F.timestamp_seconds("s"))
+    split_files(df.select("i", "k", "ts", "v"), tmp_path / "in", "i", 3)
+    stream = spark.readStream.schema("i long, k string, ts timestamp, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run(anomaly_stream(stream, "k", "ts", "v", delay="10 minutes"), "flagged")
+    last = df.agg(F.max("ts")).first()[0]
+    want = windows.anomalies(df.select("k", "ts", "v"), "k", "ts", "v")
+    want = want.filter(F.col("window_start") + F.expr("INTERVAL 1 HOUR") <= F.lit(last) - F.expr("INTERVAL 10 MINUTES"))
+    rounded = lambda d: rows_of(d.withColumns({c: F.round(c, 9) for c in ("mean", "sd")}))
+    assert rounded(spark.table("flagged")) == rounded(want) and want.count() > 20
+
+
 def test_lifecycle_orders_late_events():
     from tidemark.streaming.lifecycle import advance
 

@@ -10,15 +10,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import folds
 from tidemark.plans import sqltext as S
 from tidemark.plans.registry import ORACLES, flat, query
 from tidemark.plans.state import all_events
-from tidemark.plans.temporal import _PATTERN
+from tidemark.plans.temporal import _ANOMALY, _PATTERN
 from tidemark.session import shared_folder
 from tidemark.sources import adapters
 from tidemark.streaming import windows
 from tidemark.streaming.lifecycle import lifecycle_stream
 from tidemark.streaming.materialize import StateTables, start_materializer
+from tidemark.streaming.processors import anomaly_stream
 from tidemark.streaming.sources import dedupe_stream
 from tidemark.streaming.upsert import read_upserted, upsert_sink
 
@@ -86,6 +88,19 @@ def stream_lifecycle(spark, sf):
     return _finish(spark, lifecycle_stream(e, 240 * 3600, "1 hour"))
 
 
+@query(
+    "stream_anomalies",
+    f"""WITH {_ANOMALY} SELECT w.subject_id, occurred_at, celsius, make_timestamp(start * 3600000000) AS window_start, round(mean, 10) AS mean, round(sd, 10) AS sd
+    FROM w JOIN st USING (subject_id, start) WHERE abs(celsius - mean) > 2 * sd
+      AND make_timestamp((start + 24) * 3600000000) <= (SELECT max(occurred_at) FROM r) - INTERVAL 1 HOUR""",
+)
+def stream_anomalies(spark, sf):
+    """Windows that the watermark has closed by the end of the source."""
+    r = folds.temperature_readings(adapters.sensor_events(spark, sf)).select("subject_id", "occurred_at", "celsius")
+    rows = _finish(spark, anomaly_stream(_batches(spark, r), "subject_id", "occurred_at", "celsius", 86_400, 3_600, delay="1 hour"))
+    return flat(rows.withColumns({"mean": F.round("mean", 10), "sd": F.round("sd", 10)}))
+
+
 def _store(spark, events, table: str) -> StateTables:
     """State tables kept by the micro-batch materializer over a stream of events."""
     folder = _folder(spark)

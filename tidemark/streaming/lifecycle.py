@@ -12,11 +12,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tidemark.streaming.processors import frames, use_rocksdb
 
 OUTPUT = "run_key string, added_us long, fetched_us long, enriched_us long"
-# wait: events the watermark has not passed; open: links added and not yet enriched.
-STATE = "wait array<struct<us: long, ord: long, kind: int>>, open array<struct<added: long, fetched: long>>"
 KINDS = {"link.added": 0, "content.fetched": 1, "enrichment.completed": 2}
 
 
@@ -40,32 +40,62 @@ def advance(waiting: list[tuple[int, int, int]], held: list[tuple[int, int]], un
     return waiting[at:], held, done
 
 
+class Lifecycle(StatefulProcessor):
+    """List state: events the watermark has not passed, and links added but not yet enriched.
+    Value state: the one timer of a key, due when the first of them is."""
+
+    def __init__(self, limit_us: int) -> None:
+        self.limit = limit_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, ord long, kind int")
+        self.open = handle.getListState("open", "added long, fetched long")
+        self.due = handle.getValueState("due", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            self.waiting.appendList(list(zip(frame["us"].tolist(), frame["ord"].tolist(), frame["kind"].tolist(), strict=True)))
+            least = int(frame["us"].min())
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self._set(first // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting, held, done = advance([tuple(r) for r in self.waiting.get()], [tuple(r) for r in self.open.get()], mark, self.limit)
+        held = [(a, f) for a, f in held if mark - a < self.limit]
+        for state, rows in ((self.waiting, waiting), (self.open, held)):
+            if rows:
+                state.put(rows)
+            else:
+                state.clear()
+        self.due.clear()
+        if waiting or held:
+            due = waiting[0][0] if waiting else max(a for a, _ in held) + self.limit
+            self._set(max(due // 1000, mark // 1000 + 1))
+        return frames([(key[0], *m) for m in done], ["run_key", "added_us", "fetched_us", "enriched_us"])
+
+    def _set(self, ms: int) -> None:
+        old = self.due.get() if self.due.exists() else None
+        if old is None or ms < old[0]:
+            if old is not None:
+                self.handle.deleteTimer(old[0])
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
+
+    def close(self) -> None:
+        pass
+
+
 def lifecycle_stream(events: DataFrame, within_seconds: int = 300, delay: str = "5 minutes") -> DataFrame:
     """Matches of the pattern as the watermark passes their last event.
 
     Events later than the watermark are dropped, as everywhere in Structured Streaming.
     """
-    limit = within_seconds * 1_000_000
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = [tuple(r) for r in state.get[0]] if state.exists else []
-        held = [tuple(r) for r in state.get[1]] if state.exists else []
-        mark = state.getCurrentWatermarkMs() * 1000
-        # One Arrow batch after the other; each leaves only what the watermark has not passed.
-        if not state.hasTimedOut:
-            for frame in frames:
-                waiting += zip(frame["us"].tolist(), frame["ord"].tolist(), frame["kind"].tolist())
-        waiting, held, done = advance(waiting, held, mark, limit)
-        held = [(a, f) for a, f in held if mark - a < limit]
-        if waiting or held:
-            state.update((waiting, held))
-            # Due when the watermark passes the first waiting event, or the last open link expires.
-            due = waiting[0][0] if waiting else max(a for a, _ in held) + limit
-            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame([(key[0], *m) for m in done], columns=["run_key", "added_us", "fetched_us", "enriched_us"])
-
+    use_rocksdb(events.sparkSession)
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     return (
         events.filter(F.col("event_type").isin(*KINDS))
@@ -75,5 +105,5 @@ def lifecycle_stream(events: DataFrame, within_seconds: int = 300, delay: str =
             kind[F.col("event_type")].alias("kind"), F.unix_micros("occurred_at").alias("us"),
         )
         .groupBy("run_key")
-        .applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(statefulProcessor=Lifecycle(within_seconds * 1_000_000), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime")
     )
