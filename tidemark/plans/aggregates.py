@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds, reads, windows
+from tidemark.operators import folds, reads, rollups, windows
 from tidemark.plans import sqltext as S
 from tidemark.plans.registry import flat, ntz, query
 from tidemark.sources import adapters
@@ -127,3 +127,16 @@ def attendee_patterns(spark, sf):
 def hourly_rollup(spark, sf):
     r = folds.temperature_readings(adapters.sensor_events(spark, sf))
     return flat(windows.hourly_rollup(r, "subject_id", "occurred_at", "celsius").withColumn("mean", F.round("mean", 6)))
+
+
+@query(
+    "daily_from_hourly",
+    f"""WITH {S.SENSOR} SELECT subject_id, CAST(date_trunc('day', occurred_at) AS TIMESTAMP) AS period, count(celsius) AS n, round(avg(celsius), 9) AS mean, round(stddev_samp(celsius), 9) AS stddev,
+      min(celsius) AS min, max(celsius) AS max, quantile_disc(celsius, 0.5) AS p50, quantile_disc(celsius, 0.95) AS p95 FROM sensor WHERE celsius IS NOT NULL GROUP BY ALL""",
+)
+def daily_from_hourly(spark, sf):
+    """Days merged from hours; a sketch is exact up to its size, which no day of a sensor here exceeds."""
+    r = folds.temperature_readings(adapters.sensor_events(spark, sf))
+    days = rollups.merge_rollups(rollups.rollup(r, "subject_id", "occurred_at", "celsius", k=32_768), "subject_id", "day")
+    stats = rollups.rollup_stats(days, "subject_id").drop("n_distinct")
+    return flat(stats.withColumns({c: F.round(c, 9) for c in ("mean", "stddev")}))
