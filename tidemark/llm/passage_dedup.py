@@ -25,7 +25,6 @@ An exact group of any size costs one row per member and function, and no pairs a
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,20 +45,18 @@ SEED = 20240611
 #: Shingles of one root of a tree, and of the trees that are built at once.
 ROOT = 1 << 15
 TOGETHER = 1 << 18
-#: Bytes of a shingle's hash that are used, from the lowest on.
-TOKEN = 6
+#: Bytes of a shingle's hash by which windows of one group are compared.
+TOKEN = 4
 #: Rows of one chunk of a group, rows of groups that are verified at once, and windows of one step.
 CHUNK_ROWS = 1 << 10
 TASK_ROWS = 1 << 11
 WINDOWS = 1 << 12
+#: Rows of one exact window that one task takes.
+WINDOW_ROWS = 20_000
 _POSITION = 28
 _U = np.uint64
 
 
-def _multipliers(functions: int) -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 1 << 63, functions, dtype=np.uint64) * _U(2) + _U(1)
-
-
 def cartesian_windows(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nodes (l, c, r) of the Cartesian trees over the ranges [first, last], of `least` width or more.
 
@@ -133,7 +130,7 @@ def _hashes(raw: bytes | None) -> np.ndarray:
 def _window_rows(texts: DataFrame, words: int, functions: int) -> DataFrame:
     """(v, fp, c, s0, s1) of every distinct node."""
     window = words - SHINGLE + 1
-    multipliers = _multipliers(functions)
+    multipliers = np.random.default_rng(SEED).integers(0, 1 << 63, functions, dtype=np.uint64) * _U(2) + _U(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["v", "fp", "c", "s0", "s1"]
@@ -143,7 +140,6 @@ def _window_rows(texts: DataFrame, words: int, functions: int) -> DataFrame:
                 lists = [common.shingle_hashes(found.hashes[found.at[i] : found.at[i + 1]], SHINGLE) for i in range(high - low)]
                 lengths = np.array([len(x) if n >= SHINGLE else 0 for x, n in zip(lists, np.diff(found.at), strict=True)])
                 flat = np.concatenate([x[:n] for x, n in zip(lists, lengths, strict=True)]) if lists else np.zeros(0, np.uint64)
-                flat &= _U((1 << 8 * TOKEN) - 1)
                 for owner, v, c, s0, s1 in start_runs(flat, lengths, window, multipliers):
                     columns = [pa.array(v.view(np.int64)), pa.array(fp[low + owner])] + [pa.array(x.astype(np.int32)) for x in (c, s0, s1)]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -223,15 +219,18 @@ def repeated_passages(
     common.remove(docs.sparkSession, spent)
     with common.scope(spent):
         starts = common.stored(texts.select("id", "raw", "runs").mapInArrow(exact, "w long, id long, s int"), "starts")
-    same = starts.groupBy("w").agg(F.min("id").alias("passage_id"), F.max("id").alias("_last")).filter("passage_id <> _last").drop("_last")
-    met = starts.join(same, "w").select("id", "s", "passage_id", (F.col("id") == F.col("passage_id")).alias("is_first"))
+    same = starts.groupBy("w").agg(F.min("id").alias("passage_id"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("n")).filter("passage_id <> _last").drop("_last")
+    with common.scope(spent):
+        same = common.stored(same, "same")
+    # A window that very many texts hold is met by several tasks.
+    met = skew_join(starts, same.drop("n"), ["w"], salt_by=["id", "s"], counts=same.select("w", "n"), target=WINDOW_ROWS).select("id", "s", "passage_id", (F.col("id") == F.col("passage_id")).alias("is_first"))
     island = F.col("s") - F.row_number().over(Window.partitionBy("id", "is_first").orderBy("s"))
     spans = met.withColumn("_island", island).groupBy("id", "is_first", "_island")
     spans = spans.agg(F.min("s").alias("first_word"), (F.max("s") + words - 1).alias("last_word"), F.min("passage_id").alias("passage_id"))
     spans = common.stored(spans.select("id", "first_word", "last_word", "passage_id", "is_first", F.lit(True).alias("exact")), "spans")
     common.remove(docs.sparkSession, spent)
 
-    near = _near(texts, spans, words, window, functions, enough, percent, chunk)
+    near = _near(texts, spans, words, window, enough, percent, chunk)
     own = _word_counts(common.text_bytes(rows, "id", "fp"))
     copies = own.join(reps.filter("copies > 1").withColumnRenamed("id", "passage_id").drop("copies"), "fp").filter(F.col("n") >= words)
     copies = copies.select("id", F.lit(0).alias("first_word"), (F.col("n") - 1).alias("last_word"), "passage_id", (F.col("id") == F.col("passage_id")).alias("is_first"), F.lit(True).alias("exact"))
@@ -256,51 +255,33 @@ def _distinct(rows: np.ndarray) -> np.ndarray:
     return 1 + (rows[:, 1:] != rows[:, :-1]).sum(axis=1)
 
 
-class Minima:
-    """The min-hashes of every window of some shingles, and where their tokens are."""
+class Bits:
+    """Every window's shingles as a set of 256 bits: a shingle that another window lacks leaves a
+    bit that it lacks, or hides behind an equal one, so missing bits never exceed missing shingles."""
 
-    _PLACE = (1 << 24) - 1
-
-    def __init__(self, flat: np.ndarray, window: int, multipliers: np.ndarray):
-        place = np.arange(len(flat), dtype=np.uint64)
-        mask = _U(self._PLACE)
-        self.values, self.first, self.once = [], [], []
-        for f, multiplier in enumerate(multipliers):
-            hashed = common.mix(flat * multiplier)
-            low = self._slid((hashed & ~mask) | place, window)
-            high = self._slid((hashed & ~mask) | (mask - place), window)
-            at = (low & mask).astype(np.int64)
-            self.values.append(common.mix(hashed[at] + _U(f)).view(np.int64))
-            self.first.append(at - np.arange(len(at)))
-            self.once.append(at == self._PLACE - (high & mask).astype(np.int64))
+    def __init__(self, flat: np.ndarray, window: int):
+        bit = common.mix(flat)
+        one = _U(1) << (bit & _U(63))
+        self.words = [self._slid(np.where((bit >> _U(6)) & _U(3) == w, one, _U(0)), window) for w in range(4)]
 
     @staticmethod
-    def _slid(key: np.ndarray, window: int) -> np.ndarray:
+    def _slid(one: np.ndarray, window: int) -> np.ndarray:
         width = 1
         while 2 * width <= window:
-            key = np.minimum(key[:-width], key[width:])
+            one = one[:-width] | one[width:]
             width *= 2
         rest = window - width
-        return np.minimum(key[: len(key) - rest], key[rest:])
-
-    def elsewhere(self, x: np.ndarray, y: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Which pairs of windows are aligned in the group of two other shared min-hashes as well.
-
-        A pair belongs to the group of the first two functions that it shares at one place in both
-        windows; a pair whose tokens repeat inside a window belongs to every group it meets in.
-        """
-        agree, placed = [], []
-        for value, first, once in zip(self.values, self.first, self.once, strict=True):
-            agree.append(value[x] == value[y])
-            placed.append(agree[-1] & once[x] & once[y] & (first[x] == first[y]))
-        home = key.copy()
-        free = np.ones(len(x), dtype=bool)
-        for p, q in itertools.combinations(range(len(agree)), 2):
-            at = np.flatnonzero(free & agree[p] & agree[q] & (placed[p] | placed[q]))
-            a, b = self.values[p][x[at]], self.values[q][x[at]]
-            home[at] = _pair_key(np.minimum(a, b), np.maximum(a, b))
-            free[at] = False
-        return home != key
+        return one[: len(one) - rest] | one[rest:]
+
+    def may_meet(self, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+        """False for pairs of windows that lack too many of each other's shingles to be as similar."""
+        only_x, only_y = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
+        for word in self.words:
+            a, b = word[x], word[y]
+            only_x += np.bitwise_count(a & ~b)
+            only_y += np.bitwise_count(b & ~a)
+        need = percent * (nx + ny)
+        return ((100 + percent) * (nx - only_x) >= need) & ((100 + percent) * (ny - only_y) >= need)
 
 
 def _pair_key(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -308,16 +289,15 @@ def _pair_key(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def near_windows(
-    group: np.ndarray, key: np.ndarray, ids: np.ndarray, c1: np.ndarray, c2: np.ndarray, s0: np.ndarray, flat: np.ndarray, lengths: np.ndarray, window: int, percent: int, multipliers: np.ndarray
+    group: np.ndarray, ids: np.ndarray, c1: np.ndarray, c2: np.ndarray, s0: np.ndarray, flat: np.ndarray, lengths: np.ndarray, window: int, percent: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(id, first start, last start, smallest id) of the windows that have a near window of another
     id in their group, as runs of neighbouring starts.
 
-    Rows are sorted by group and id; `flat` holds their shingles from s0 on and `key` is made of the
-    two min-hashes of the group. Two windows are compared where they are aligned at either of them,
-    and only in one of the groups that align them. Every partner is tried, smallest id first, until
-    one is near; a window goes untried only if too few of its shingles occur in any other text of
-    its group for a partner to exist.
+    Rows are sorted by group and id; `flat` holds their shingles from s0 on. Two windows are
+    compared where they are aligned at either shared minimum. Every partner is tried, smallest id
+    first, until one is near; a window goes untried only if too few of its shingles occur in any
+    other text of its group for a partner to exist. Bits tell most pairs that are not near.
     """
     base = np.cumsum(lengths) - lengths
     n = lengths - window + 1
@@ -346,7 +326,7 @@ def near_windows(
     first = np.searchsorted(group[partners], group[member], side="left")
     end = np.searchsorted(group[partners], group[member], side="right")
     best = np.full(len(at), -1, dtype=np.int64)
-    minima = Minima(flat, window, multipliers) if len(at) else None
+    bits = Bits(flat, window) if len(at) else None
     active = np.arange(len(at))
     turn = 0
     while len(active):
@@ -355,8 +335,8 @@ def near_windows(
         for c in (c1, c2):
             mine, near = member[active], inner[active] - c[member[active]] + c[other]
             can = np.flatnonzero((best[active] < 0) & (ids[mine] != ids[other]) & (near >= 0) & (near < n[other]))
-            can = can[size_at[base[other[can]] + near[can]] > 0]
-            can = can[~minima.elsewhere(at[active[can]], base[other[can]] + near[can], key[mine[can]])]
+            x, y = at[active[can]], base[other[can]] + near[can]
+            can = can[(size_at[y] > 0) & bits.may_meet(x, y, size_at[x], size_at[y], percent)]
             for i in range(0, len(can), WINDOWS):
                 part = can[i : i + WINDOWS]
                 x, y = at[active[part]], base[other[part]] + near[part]
@@ -372,9 +352,8 @@ def near_windows(
     return ids[member[first]], s0[member[first]] + inner[first], s0[member[first]] + inner[last], best[first]
 
 
-def _near(texts: DataFrame, spans: DataFrame, words: int, window: int, functions: int, enough: int, percent: int, chunk: int) -> DataFrame:
+def _near(texts: DataFrame, spans: DataFrame, words: int, window: int, enough: int, percent: int, chunk: int) -> DataFrame:
     """Spans of verified near passages, at starts that are not in a later copy of an exact passage."""
-    multipliers = _multipliers(functions)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["k", "id", "fp", "c1", "c2", "s0", "s1"]
@@ -442,7 +421,7 @@ def _near(texts: DataFrame, spans: DataFrame, words: int, window: int, functions
             flat = np.zeros((sum(b.size for b in blobs) // TOKEN, 8), np.uint8)
             flat[:, :TOKEN] = np.concatenate([np.frombuffer(b, np.uint8) for b in blobs]).reshape(-1, TOKEN)
             sizes = np.array([b.size // TOKEN for b in blobs])
-            one, low, high, least = near_windows(_runs(rows), rows.column("k").to_numpy(), *column.values(), flat.view(np.uint64).ravel(), sizes, window, percent, multipliers)
+            one, low, high, least = near_windows(_runs(rows), *column.values(), flat.view(np.uint64).ravel(), sizes, window, percent)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((one, low, high, least), kinds, strict=True)], names=["id", "s0", "s1", "passage_id"])
 
