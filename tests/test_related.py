@@ -1,5 +1,6 @@
 """Related items, causation graphs and clusters against brute force, with hot keys."""
 
+import itertools
 import math
 import random
 from collections import Counter
@@ -7,7 +8,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tidemark.operators import causation, clusters, similar
+from tidemark.operators import causation, clusters, groups, similar
 
 
 @pytest.mark.parametrize("percent, k, block", [(50, 3, 2_000), (30, 5, 4), (100, 2, 2), (1, 4, 7)])
@@ -123,3 +124,30 @@ def test_weekly_clusters(spark):
     per_week = Counter(w for _, w, _ in items)
     assert all(sum(r.n_items for r in got if r.week == w) == n for w, n in per_week.items()) and 1 < len({r.cluster for r in got}) < 19
     assert math.isfinite(len(got)) and clusters.weekly_clusters(df.limit(0), "id", "ts", "tags").count() == 0
+
+
+def test_recurring_groups(spark):
+    rng = random.Random(3)
+    start = datetime(2024, 1, 1, 9)
+    team, pair = ["ann", "bob", "cat", "dan"], ["ann", "zoe"]
+    rows = [(i, start + timedelta(days=7 * i), team + rng.sample(["eve", "fay"], rng.randrange(3))) for i in range(12)]
+    rows += [(100 + i, start + timedelta(days=i), pair + ([None, "zoe"] if i % 3 else [])) for i in range(30)]
+    rows += [(200 + i, start + timedelta(hours=rng.randrange(900)), rng.sample([*team, *pair, "eve", "fay"], rng.randrange(0, 5))) for i in range(40)]
+    rows += [(300, None, ["ann", "bob"]), (301, start, None), (302, start, [])]
+    sets, times = {}, {}
+    for i, at, who in rows:
+        for k in range(1, 7):
+            for g in itertools.combinations(sorted(set(who or ()) - {None}), k):
+                sets[g] = sets.get(g, 0) + 1
+                times.setdefault(g, []).append((at, i)) if at else None
+    want = {}
+    for g, n in sets.items():
+        if 2 <= len(g) <= 5 and n >= 3 and not any(m == n and len(h) == len(g) + 1 and set(g) < set(h) for h, m in sets.items()):
+            order = sorted(times[g])
+            gaps = Counter((b[0] - a[0]).days for a, b in itertools.pairwise(order))
+            best = min(gaps, key=lambda d: (-gaps[d], d))
+            want[g] = (n, best, gaps[best] / sum(gaps.values()))
+    df = spark.createDataFrame(rows, "id long, start timestamp, who array<string>")
+    got = {tuple(r.attendees): (r.n, r.period_days, r.regularity) for r in groups.recurring_groups(df, "id", "who", "start").collect()}
+    assert got == want and want[tuple(team)][1] == 7 and len({len(g) for g in want}) == 4
+    assert groups.recurring_groups(df.limit(0), "id", "who", "start").count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import causation, clusters, enrich, similar
+from tidemark.operators import causation, clusters, enrich, groups, similar
 from tidemark.plans import sqltext as S
 from tidemark.plans.catalog import _KEYWORDS
 from tidemark.plans.registry import flat, query
@@ -76,3 +76,25 @@ def weekly_clusters(spark, sf):
     tags = F.when(k % 9 != 0, F.array(tag(u % 23), tag(u % 7), tag(k % 5 + 30 * (u % 3))))
     rows = adapters.base_events(spark, sf).withColumn("tags", tags)
     return flat(clusters.weekly_clusters(rows, "event_id", "ts", "tags"))
+
+
+@query(
+    "recurring_groups",
+    """WITH e AS (SELECT o_orderkey AS id, TIMESTAMP '2024-01-01 09:00:00' + (o_orderkey % 30) * INTERVAL 1 DAY AS start_at,
+        list_sort(list_distinct(['a' || (o_custkey % 3), 'b' || (o_custkey % 6), 'c' || (o_orderkey % 5), 'd' || (o_orderkey % 40)])) AS who FROM orders),
+    s AS (SELECT id, start_at, list_filter(list_transform(range(4), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN who[i + 1] END), lambda w: w IS NOT NULL) AS g FROM e, (SELECT unnest(range(1, 16)) AS m)),
+    c AS (SELECT g, count(*) AS n FROM s GROUP BY g HAVING count(*) >= 20),
+    closed AS (SELECT g, n FROM c x WHERE len(g) >= 2 AND NOT EXISTS (SELECT 1 FROM c y WHERE y.n = x.n AND len(y.g) = len(x.g) + 1 AND list_has_all(y.g, x.g))),
+    gap AS (SELECT g, date_diff('day', lag(start_at) OVER (PARTITION BY g ORDER BY start_at, id), start_at) AS d FROM s WHERE g IN (SELECT g FROM closed)),
+    k AS (SELECT g, d, count(*) AS m FROM gap WHERE d IS NOT NULL GROUP BY g, d),
+    b AS (SELECT g, arg_min(d, (-m, d)) AS d, max(m) / sum(m) AS r FROM k GROUP BY g)
+    SELECT array_to_string(closed.g, ',') AS attendees, n, d AS period_days, round(r, 9) AS regularity FROM closed JOIN b ON b.g = closed.g""",
+)
+def recurring_groups(spark, sf):
+    """Four attendees an order by remainders of its keys: some always meet together."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    name = lambda letter, v: F.concat(F.lit(letter), v.cast("string"))
+    who = F.array(name("a", c % 3), name("b", c % 6), name("c", o % 5), name("d", o % 40))
+    made = adapters.table(spark, sf, "orders").select("o_orderkey", who.alias("who"))
+    rows = adapters.calendar(spark, sf).join(made, F.col("event_id") == F.col("o_orderkey")).select("event_id", "start_at", "who")
+    return flat(groups.recurring_groups(rows, "event_id", "who", "start_at", least=20, largest=4).withColumn("regularity", F.round("regularity", 9)))
