@@ -33,6 +33,18 @@ def ledger_scan(spark, sf):
     return flat(rows.select("id", "subject_id", "event_type", "occurred_at"))
 
 
+@query(
+    "ledger_trace",
+    f"""WITH {S.LIFE} SELECT id, subject_id, kind AS event_type, ts AS occurred_at FROM life WHERE subject_id = 'link:11'""",
+)
+def ledger_trace(spark, sf):
+    """All events of one run, looked up by its id in the stored ledger."""
+    folder = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    ledger.write_ledger(adapters.lifecycle_events(spark, sf, runs=True), folder)
+    rows = ledger.read_ledger(spark, folder, correlation_id="link:11")
+    return flat(rows.select("id", "subject_id", "event_type", "occurred_at"))
+
+
 def _raw(spark, sf):
     """Broker values: every thirteenth row is cut off in the middle."""
     e = adapters.lifecycle_events(spark, sf)

@@ -16,12 +16,16 @@ def read_ledger(
     subject_id: str | None = None,
     event_type: str | None = None,
     source: str | None = None,
+    id: str | None = None,
+    correlation_id: str | None = None,
     fmt: str = "parquet",
 ) -> DataFrame:
-    """Scan a ledger directory. The three access paths become pushed-down filters;
-    a ledger written by `write_ledger` is also pruned by date and type folder."""
+    """Scan a ledger directory. The access paths become pushed-down filters; a ledger written by
+    `write_ledger` is also pruned by date and type folder, by the subject range of each row group,
+    and by Bloom filters on id, subject and run."""
     events = spark.read.format(fmt).schema(schemas.LEDGER).load(path)
-    for name, wanted in (("subject_id", subject_id), ("event_type", event_type), ("source", source)):
+    wanted_values = {"subject_id": subject_id, "event_type": event_type, "source": source, "id": id, "correlation_id": correlation_id}
+    for name, wanted in wanted_values.items():
         if wanted is not None:
             events = events.filter(F.col(name) == wanted)
     return events
@@ -43,17 +47,27 @@ def read_ledger_jdbc(spark: SparkSession, url: str, table: str, partitions: int,
     )
 
 
-def write_ledger(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Store by arrival date and type, clustered by subject for min/max skipping.
+#: Columns that single events, subjects and runs are looked up by.
+LOOKUPS = ("id", "subject_id", "correlation_id")
+#: Bytes of a row group, the unit that a lookup reads or skips, and distinct values of its filters.
+ROW_GROUP = 16 << 20
+GROUP_VALUES = 200_000
 
-    The range exchange includes the arrival time, so neither one date nor one
-    subject can end up in a single task.
+
+def write_ledger(events: DataFrame, path: str, mode: str = "append", *, row_group: int = ROW_GROUP, group_values: int = GROUP_VALUES) -> None:
+    """Store by arrival date and type, sorted by subject, in small row groups with Bloom filters.
+
+    A subject's events lie in few row groups of a folder, so its range tells most of them apart;
+    ids and runs are spread over all subjects, and their Bloom filters do. The range exchange
+    includes the arrival time, so neither one date nor one subject can end up in a single task.
     """
+    filters = {f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKUPS} | {f"parquet.bloom.filter.expected.ndv#{c}": str(group_values) for c in LOOKUPS}
     (
         events.withColumn("event_date", F.to_date("received_at"))
         .repartitionByRange("event_date", "event_type", "subject_id", "received_at")
         .sortWithinPartitions("event_date", "event_type", "subject_id", "received_at")
         .write.mode(mode)
+        .options(**filters, **{"parquet.block.size": str(row_group)})
         .partitionBy("event_date", "event_type")
         .parquet(path)
     )
