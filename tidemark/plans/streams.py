@@ -158,20 +158,21 @@ def stream_subjects(spark, sf):
 
 @query(
     "stream_upsert",
-    f"""WITH {S.ACTIVITY} SELECT user_id, count(*) AS n, max_by(topic, event_id) AS last_topic, min_by(topic, event_id) AS first_topic, max(ts) AS last_at FROM activity GROUP BY user_id""",
+    f"""WITH {S.ACTIVITY} SELECT user_id, count(*) AS n, count(*) FILTER (WHERE hour(ts) < 12) AS n_morning, count(*) FILTER (WHERE topic IS NOT NULL) AS n_topics,
+      'team-' || (user_id % 3) AS team FROM activity GROUP BY user_id""",
 )
 def stream_upsert(spark, sf):
-    """A row per user kept by micro-batches: a sum, a last, a first and a latest value."""
+    """A row per user kept by micro-batches, whatever the order of the source's files."""
     rows = adapters.activity(spark, sf)
     source, folder = f"{_folder(spark)}/in", _folder(spark)
-    rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(source)
+    rows.repartitionByRange(4, "event_id").write.parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
 
     def reduced(batch):
-        last, first = (f("topic", "event_id") for f in (F.max_by, F.min_by))
-        return batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), last.alias("last_topic"), first.alias("first_topic"), F.max("ts").alias("last_at"))
+        sums = batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.hour("ts") < 12).alias("n_morning"), F.count("topic").alias("n_topics"))
+        return sums.withColumn("team", F.concat(F.lit("team-"), (F.col("user_id") % 3).cast("string")))
 
-    rules = {"n": "add", "last_topic": "overwrite", "first_topic": "keep", "last_at": "overwrite"}
+    rules = {"n": "add", "n_morning": "add", "n_topics": "add", "team": "keep"}
     upsert_sink(stream, f"{folder}/table", f"{folder}/checkpoint", ["user_id"], rules, reduced, buckets=8).awaitTermination()
     return flat(read_upserted(spark, f"{folder}/table"))
 
