@@ -200,10 +200,3 @@ def vector_codes(
 def digest(books: list[np.ndarray]) -> str:
     """SHA-256 of all entries' components by part, entry and position, joined by commas."""
     return hashlib.sha256(",".join(str(x) for b in books for x in b.ravel().tolist()).encode()).hexdigest()
-
-
-def nearest_by_scan(entries: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same answer from all distances, for tests."""
-    gap = x[:, None, :].astype(np.int64) - entries[None, :, :].astype(np.int64)
-    all_ = (gap * gap).sum(axis=2)
-    return all_.argmin(axis=1), all_.min(axis=1)
