@@ -13,6 +13,7 @@ third of all rows is numbered by many tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -56,9 +57,28 @@ def hilbert_index(levels: Sequence[int], bits: int) -> int:
     return out
 
 
-def _text_code(column: str) -> Column:
-    """The first six bytes as a number: quantiles of names follow their sort order."""
-    return F.conv(F.hex(F.rpad(F.substring(F.col(column).cast("binary"), 1, 6), 6, F.lit(b"\x00"))), 16, 10).cast("long")
+def name_edges(names: DataFrame, cuts: Sequence[float], chunk_rows: int = CHUNK_ROWS) -> list[str]:
+    """The names of a one-column frame at the given shares of its rows, in sort order.
+
+    Whole names are counted, dealt into ranges of about `chunk_rows` names and summed range by
+    range; one total per range and one name per cut reach the driver. Nulls sort first and are
+    never an edge.
+    """
+    counts = common.stored(names.toDF("name").groupBy("name").agg(F.count(F.lit(1)).alias("n")), "names")
+    ranges = max(1, -(-counts.count() // chunk_rows))
+    dealt = counts.repartitionByRange(ranges, "name").withColumn("part", F.spark_partition_id())
+    dealt = common.stored(dealt, "ranges")
+    at, starts = 0, []
+    for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        starts.append((r["part"], at))
+        at += r["n"]
+    up_to = F.sum("n").over(Window.partitionBy("part").orderBy("name"))
+    # One row per range of names is broadcast.
+    starts = F.broadcast(names.sparkSession.createDataFrame(starts, "part int, _start long"))
+    placed = dealt.join(starts, "part").withColumn("_to", F.col("_start") + up_to)
+    marks = F.array(*[F.lit(max(1, math.ceil(c * at))).cast("long") for c in cuts])
+    edges = placed.filter(F.exists(marks, lambda m: (m > F.col("_to") - F.col("n")) & (m <= F.col("_to"))) & F.col("name").isNotNull())
+    return sorted(r["name"] for r in edges.select("name").collect())
 
 
 def hilbert_shards(
@@ -75,25 +95,27 @@ def hilbert_shards(
     """(id, size, text_crc32, cell, shard, slot) for every row; shard sizes differ by one row at most.
 
     Size is the UTF-8 length plus 8. A null text has size 8 and checksum 0, as an empty one. A
-    null in a dimension is its lowest level. Ties follow chunk, id, size and checksum; rows equal
+    null in a dimension is its lowest level; names are told apart by all their characters. Ties follow chunk, id, size and checksum; rows equal
     in all of them are interchangeable. An empty table gives no rows. Other columns are not read.
     """
     common.configure(docs.sparkSession)
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    dims = [(F.octet_length(raw) + 8).cast("long"), *(F.col(c).cast("double") for c in number_cols), *(_text_code(c) for c in name_cols), F.col(id_col).cast("long")]
+    dims = [(F.octet_length(raw) + 8).cast("long"), *(F.col(c).cast("double") for c in number_cols), *(F.col(c).cast("string") for c in name_cols), F.col(id_col).cast("long")]
     names = [f"_d{i}" for i in range(len(dims))]
     rows = docs.select(F.col(id_col).alias("id"), F.crc32(raw).alias("text_crc32"), *(d.alias(n) for d, n in zip(dims, names, strict=True)))
     rows = common.stored(rows.withColumn("size", F.col("_d0")), "sizes")
 
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(n, cuts, 1000).alias(n) for n in names)).first()
+    texts = names[1 + len(number_cols) : -1]
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(n, cuts, 1000).alias(n) for n in names if n not in texts)).first()
     total = stats["n"]
+    edges = {n: name_edges(rows.select(n), cuts, chunk_rows) if n in texts else sorted(set(stats[n] or [])) for n in names}
     chunks = max(8, -(-total // chunk_rows))
     code = F.lit(0)
     for n in names:
         level = F.lit(0)
-        for edge in sorted(set(stats[n] or [])):
+        for edge in edges[n]:
             level = level + F.when(F.col(n) > F.lit(edge), 1).otherwise(0)
         code = code * (1 << bits) + level
     placed = rows.select("id", "size", "text_crc32", code.cast("int").alias("code"), F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"))
