@@ -326,6 +326,20 @@ def test_shards(spark):
     assert len(few) == 3 and {r.slot for r in few} == {0}
 
 
+def test_names_are_told_apart_whole(spark):
+    names = [f"https://site-{i % 16:02d}.example" if i % 3 else None for i in range(480)]
+    df = spark.createDataFrame([(n,) for n in names], "source string")
+    cuts = [i / 8 for i in range(1, 8)]
+    ordered = sorted(names, key=lambda n: (n is not None, n))
+    want = sorted({ordered[-(-len(names) * i // 8) - 1] for i in range(1, 8)} - {None})
+    for chunk_rows in (2, 1000):
+        assert hilbert_shards.name_edges(df, cuts, chunk_rows) == want
+    assert hilbert_shards.name_edges(df.limit(0), cuts) == []
+    rows = spark.createDataFrame([(i, "same", n) for i, n in enumerate(names)], "doc_id long, text string, source string")
+    placed = hilbert_shards.hilbert_shards(rows, name_cols=["source"]).join(rows, "doc_id")
+    assert placed.filter("source is not null").agg(F.countDistinct("cell")).first()[0] > 8 * 4
+
+
 @pytest.mark.parametrize(("cell_rows", "block_rows"), [(512, 1024), (12, 5)])
 def test_vectors(spark, cell_rows, block_rows):
     rng = np.random.default_rng(10)
@@ -346,6 +360,32 @@ def test_vectors(spark, cell_rows, block_rows):
     assert got == want and len(links) > 100
 
 
+def test_cells_follow_the_size_of_a_label(spark, monkeypatch):
+    """Cells are split again while they are large, over small samples and several tasks a cell."""
+    for name, value in {"FAN_OUT": 4, "SAMPLE_ROWS": 200, "SALT_ROWS": 70}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(4)
+    heads = rng.normal(size=(60, 6))
+    x = [heads[i % 60] + rng.normal(size=6) * 0.08 for i in range(900)]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = np.stack(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    comp = groups(range(900), list(zip(*np.nonzero(near))))
+    got = {(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicate_vectors(df, cell_rows=20, block_rows=16).collect()}
+    assert got == {(i, int(near[i].sum()), comp[i]) for i in range(900)}
+    units = spark.createDataFrame([("6:0", "", i, 1, v.tobytes()) for i, v in enumerate(u)], "part string, path string, id long, w long, x binary")
+    cells = embedding_dedup._cells(units, 0.1, 20).groupBy("path").agg(F.count("id").alias("n")).collect()
+    assert max(r.path.count(".") for r in cells) >= 2 and len(cells) > 16
+
+
+def test_vectors_that_no_split_can_part(spark):
+    x = np.ones(8) + np.random.default_rng(5).normal(size=(300, 8)) * 1e-3
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_duplicate_vectors(df, cell_rows=20, block_rows=64).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(299, 0)}
+
+
 PAGES = {
     "semantic": ('<html><head><title>T</title><body><nav><a href=/>Home</a></nav><main><article><h1>Great title</h1><p>First para text here, with some words.'
                  "<p>Second &amp; last<br>paragraph &#8212; goes on for a while here.</article><section id=comments><div class=comment><p>I liked this article a lot, thanks.</p></div></section></main>"

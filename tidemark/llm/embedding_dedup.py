@@ -1,12 +1,15 @@
 """Near-duplicate vectors by spherical k-means cells and blocked cosine products.
 
 Vectors are compared inside a part only (one label and one dimension). Equal vectors collapse
-first. Spherical k-means on a bounded sample gives each large part cells, one home cell per
-vector. A pair at cosine c or more is at most a chord of sqrt(2 - 2c) apart, so if a boundary
-between two cells separates it, one of the two is within half that chord of the boundary; such
-vectors visit the cell beyond. Every link is therefore met in some cell and counted in exactly
-one. A cell is cut into blocks and every two of its blocks are one task: a matrix product, of
-which only link counts and a spanning forest of the links leave the task.
+first. Spherical k-means splits each large part into cells, one home cell per vector, and each
+cell that is still large once more, until cells are small or a split would not save work; so
+cells follow the counted size of a part. Every split is fitted in a task of its own on a bounded
+sample of its cell, and its centres are rows of a table. A pair at cosine c or more is at most a
+chord of sqrt(2 - 2c) apart, so if a boundary between two cells separates it, one of the two is
+within half that chord of the boundary; such vectors visit the cell beyond. Every link is
+therefore met in some cell at each level and counted in the first of the cells both lie in. A
+cell is cut into blocks and every two of its blocks are one task: a matrix product, of which only
+link counts and a spanning forest of the links leave the task.
 """
 
 from __future__ import annotations
@@ -20,13 +23,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 from tidemark.llm.components import components
+from tidemark.operators.skew import skew_join
 
 COSINE = 0.98
-#: Vectors of a part for one of its cells, vectors that k-means reads in all, parts it serves.
+#: Vectors of a cell, cells that one split makes, vectors that k-means reads for one split.
 CELL_ROWS = 512
-SAMPLE_ROWS = 20_000
-SAMPLE_PARTS = 500
-MAX_CELLS = 128
+FAN_OUT = 64
+SAMPLE_ROWS = 2048
+#: Vectors of a large cell that one task assigns at a time.
+SALT_ROWS = 20_000
 BLOCK_ROWS = 1024
 SEED = 11
 _ROUNDING = 1e-9
@@ -71,6 +76,93 @@ def _forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, rows[root] if len(rows) else rows
 
 
+def _visits(x: np.ndarray, centers: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of every cell that a row lies in: its home and those within the margin."""
+    home = (x @ centers.T).argmax(axis=1)
+    rows, cells = [np.arange(len(x))], [home]
+    for cell in range(len(centers)):
+        near = np.flatnonzero((home != cell) & (_beyond(x, home, np.full(len(x), cell), centers) <= margin))
+        rows.append(near)
+        cells.append(np.full(len(near), cell))
+    return np.concatenate(rows), np.concatenate(cells)
+
+
+def fit_split(x: np.ndarray, k: int, margin: float) -> np.ndarray | None:
+    """Centres of a split of a cell with the sample x; None where no split into k cells or fewer
+    halves the pairs to compare without doubling the vectors."""
+    while k >= 2:
+        centers = spherical_kmeans(x, k)
+        _, cells = _visits(x, centers, margin)
+        held = np.bincount(cells, minlength=len(centers)).astype(float)
+        if (held**2).sum() * 2 <= len(x) ** 2 and held.sum() <= 2 * len(x):
+            return centers
+        k //= 4
+    return None
+
+
+def _table(columns: list, schema: str) -> pa.Table:
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+_SPLIT = "part string, path string, n long, centers binary"
+_PLACED = "part string, path string, id long, w long, x binary"
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    return np.stack([np.frombuffer(b, dtype=np.float64) for b in column.to_pylist()])
+
+
+def _cells(reps: DataFrame, margin: float, cell_rows: int) -> DataFrame:
+    """(part, path, id, w, x): every unit vector in every cell it lies in, a path of splits."""
+
+    def fit(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        n = rows.column("n")[0].as_py()
+        centers = fit_split(_vectors(rows.column("x")), min(FAN_OUT, -(-n // cell_rows), len(rows) // 8), margin)
+        found = [] if centers is None else [(key[0].as_py(), key[1].as_py(), n, centers.tobytes())]
+        return _table(list(zip(*found, strict=True)) or [[]] * 4, _SPLIT)
+
+    def assign(key: tuple, rows: pa.Table, split: pa.Table) -> pa.Table:
+        open_, path = len(split) > 0, key[1].as_py()
+        if not len(rows):
+            return _table([[]] * 6, _PLACED + ", open boolean")
+        at, paths = np.arange(len(rows)), [path] * len(rows)
+        if open_:
+            x = _vectors(rows.column("x"))
+            centers = np.frombuffer(split.column("centers")[0].as_py(), np.float64).reshape(-1, x.shape[1])
+            at, cells = _visits(x, centers, margin)
+            paths = [f"{path}.{c}" for c in cells.tolist()]
+        took = rows.take(pa.array(at))
+        return _table([[key[0].as_py()] * len(at), paths, took.column("id").to_pylist(), took.column("w").to_pylist(), took.column("x").to_pylist(), [open_] * len(at)], _PLACED + ", open boolean")
+
+    names = ["part", "path"]
+    at, done = reps, []
+    while True:
+        sizes = common.stored(at.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "sizes")
+        if sizes.filter(F.col("n") > cell_rows).isEmpty():
+            done.append(at)
+            break
+        at = common.stored(skew_join(at, sizes, names, salt_by="id", counts=sizes), "sized")
+        wide = at.filter(F.col("n") > cell_rows)
+        done.append(at.filter(F.col("n") <= cell_rows).drop("n"))
+        share = F.xxhash64("id", F.lit("split")).bitwiseAND(F.lit((1 << 63) - 1)) / F.lit(float(1 << 63))
+        sample = wide.filter(share <= F.lit(float(SAMPLE_ROWS)) / F.col("n"))
+        splits = common.stored(sample.groupBy(*names).applyInArrow(fit, _SPLIT), "splits")
+        salts = F.ceil(F.col("n") / SALT_ROWS)
+        dealt = wide.withColumn("salt", F.pmod(F.xxhash64("id"), salts))
+        copies = splits.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+        placed = dealt.groupBy(*names, "salt").cogroup(copies.groupBy(*names, "salt")).applyInArrow(assign, _PLACED + ", open boolean")
+        placed = common.stored(placed, "cells")
+        done.append(placed.filter(~F.col("open")).drop("open"))
+        at = placed.filter("open").drop("open")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def near_duplicate_vectors(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -95,65 +187,47 @@ def near_duplicate_vectors(
     valid &= F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.filter(valid).select("id", F.concat_ws(":", F.size("v"), "label").alias("part"), "v").distinct()
-    copies = rows.groupBy("part", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"))
-    members = common.stored(rows.join(copies, ["part", "v"]).select("id", "rep", "part", "w", F.when(F.col("id") == F.col("rep"), F.col("v")).alias("v")), "vectors")
+    copies = common.stored(rows.groupBy("part", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")), "copies")
+    met = skew_join(rows, copies, ["part", "v"], salt_by="id", counts=copies.withColumnRenamed("w", "n"))
+    members = common.stored(met.select("id", "rep", "part", "w", F.when(F.col("id") == F.col("rep"), F.col("v")).alias("v")), "vectors")
     reps = members.filter("id = rep").select("id", "part", "w", "v")
 
-    sizes = {r["part"]: r["n"] for r in reps.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows).orderBy(F.desc("n"), "part").limit(SAMPLE_PARTS).collect()}
-    centers: dict[str, np.ndarray] = {}
-    if sizes:
-        sample = reps.filter(F.col("part").isin(list(sizes)) & common.drawn(F.xxhash64("id"), SAMPLE_ROWS, sum(sizes.values())))
-        by_part: dict[str, list] = {}
-        for r in sorted(sample.select("part", "id", "v").collect(), key=lambda r: (r["part"], r["id"])):
-            by_part.setdefault(r["part"], []).append(r["v"])
-        centers = {p: spherical_kmeans(_unit(x), min(MAX_CELLS, -(-sizes[p] // cell_rows), max(1, len(x) // 8))) for p, x in by_part.items()}
-    shared = spark.sparkContext.broadcast(centers)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers = shared.value
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, parts, w = batch.column("id").to_numpy(), np.array(batch.column("part").to_pylist(), dtype=object), batch.column("w").to_numpy()
+            blobs: list = [None] * len(batch)
             vs = batch.column("v").to_pylist()
-            out: list[tuple] = []
-            for part in sorted(set(parts)):
-                at = np.flatnonzero(parts == part)
-                x = _unit([vs[i] for i in at])
-                c = centers.get(part)
-                home = (x @ c.T).argmax(axis=1) if c is not None else np.zeros(len(at), dtype=np.int64)
-                blobs = [row.tobytes() for row in x]
-                out += [(part, int(h), int(ids[i]), int(w[i]), int(h), b) for i, h, b in zip(at, home, blobs, strict=True)]
-                for cell in range(len(c) if c is not None else 0):
-                    near = np.flatnonzero((home != cell) & (_beyond(x, home, np.full(len(x), cell), c) <= margin))
-                    out += [(part, cell, int(ids[at[i]]), int(w[at[i]]), int(home[i]), blobs[i]) for i in near]
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            columns = zip(*out, strict=True) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["part", "cell", "id", "w", "home", "x"])
-
-    placed = common.stored(reps.mapInArrow(assign, "part string, cell int, id long, w long, home int, x binary"), "cells")
-    width = placed.groupBy("part", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_blocks"))
-    tasks = placed.join(width, ["part", "cell"]).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+            for size in sorted({len(v) for v in vs}):
+                at = [i for i, v in enumerate(vs) if len(v) == size]
+                for i, row in zip(at, _unit([vs[i] for i in at]), strict=True):
+                    blobs[i] = row.tobytes()
+            yield _table([batch.column("part"), [""] * len(batch), batch.column("id"), batch.column("w"), blobs], _PLACED).combine_chunks().to_batches()[0]
+
+    cells = _cells(common.stored(reps.select("part", "id", "w", "v").mapInArrow(unit, _PLACED), "units"), margin, cell_rows)
+    # The cells of one vector are collected, its home and those whose boundary is near.
+    cells = cells.groupBy("part", "id", "w", "x").agg(F.collect_list("path").alias("paths"))
+    placed = common.stored(cells.withColumn("path", F.explode("paths")), "placed")
+    width = common.stored(placed.groupBy("part", "path").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_blocks")), "widths")
+    tasks = skew_join(placed, width.drop("n"), ["part", "path"], salt_by="id", counts=width).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     tasks = tasks.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    tasks = tasks.select("part", "cell", F.least("_b", "_o").alias("lo"), F.greatest("_b", "_o").alias("hi"), F.col("_b").alias("b"), "id", "w", "home", "x")
+    tasks = tasks.select("part", "path", F.least("_b", "_o").alias("lo"), F.greatest("_b", "_o").alias("hi"), F.col("_b").alias("b"), "id", "w", "paths", "x")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers = shared.value
-
         def close(key: tuple, group: list) -> pa.RecordBatch:
-            part, cell, lo, hi = key
-            b, ids, w, home = (np.array([g[i] for g in group]) for i in range(4))
+            _, path, lo, hi = key
+            b, ids, w = (np.array([g[i] for g in group]) for i in range(3))
             x = np.stack([np.frombuffer(g[4], dtype=np.float64) for g in group])
             links = x @ x.T >= cosine
             links &= ids[:, None] != ids[None, :]
-            links &= (home[:, None] == cell) | (home[None, :] == cell)
             if lo != hi:
                 links &= b[:, None] != b[None, :]
-            c = centers.get(part)
-            if c is not None:
-                # A visitor's link is counted in the lower of two cells if both show it.
-                i, j = np.nonzero(links & (home[:, None] == cell) & (home[None, :] < cell))
-                twice = _beyond(x[i], home[i], home[j], c) <= margin
-                links[i[twice], j[twice]] = False
-                links[j[twice], i[twice]] = False
+            # A link is counted in the first of the cells that both vectors lie in.
+            earlier = [[p for p in g[3] if p < path] for g in group]
+            number = {p: i for i, p in enumerate(sorted({p for ps in earlier for p in ps}))}
+            if number:
+                lies = np.zeros((len(group), len(number)), dtype=np.float32)
+                for row, ps in enumerate(earlier):
+                    lies[row, [number[p] for p in ps]] = 1
+                links &= lies @ lies.T == 0
             n = links @ w
             rows, root = _forest(links)
             a = np.concatenate([ids[rows], ids[rows]])
@@ -172,7 +246,7 @@ def near_duplicate_vectors(
         if len(group) > 1:
             yield close(at, group)
 
-    names = ["part", "cell", "lo", "hi"]
+    names = ["part", "path", "lo", "hi"]
     dealt = tasks.repartition(*names).sortWithinPartitions(*names, "id")
     found = common.stored(dealt.mapInArrow(compare, "a long, b long, n long"), "links")
     groups = components(found.filter("n = 0"), "a", "b").withColumnRenamed("node", "rep")
