@@ -249,3 +249,17 @@ def test_salted_path_through_a_query(spark, monkeypatch):
             m.setattr(skew, "TARGET_ROWS", 1)
             m.setattr(skew, "SHARES", 1000)
             assert sorted(map(str, registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect())) == want
+
+
+def test_one_failing_row_does_not_fail_its_batch(spark):
+    from tidemark.operators.enrich import constant_model, run_model
+
+    def picky(frame):
+        if (frame["subject_id"] == "s3").any():
+            raise ValueError("no answer for s3")
+        return constant_model(["x"])(frame)
+
+    df = spark.createDataFrame([(f"s{i}", "text") for i in range(8)], "subject_id string, content string").coalesce(1)
+    good, bad = run_model(df, picky, "v1")
+    assert {r.subject_id for r in good.collect()} == {f"s{i}" for i in range(8)} - {"s3"}
+    assert [(r.subject_id, r.error) for r in bad.collect()] == [("s3", "no answer for s3")]

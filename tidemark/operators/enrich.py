@@ -55,18 +55,26 @@ def enrich_default(work: DataFrame, key: str = "subject_id") -> DataFrame:
 def run_model(requests: DataFrame, model: Model, version: str) -> tuple[DataFrame, DataFrame]:
     """(enriched, failed) rows of a model applied batch by batch.
 
-    A response that is no valid JSON object, or an error the model raises for a
-    batch, turns into a failed row with its reason.
+    A response that is no valid JSON object, or an error the model raises for a row,
+    turns into a failed row with its reason. After an error in a batch its rows are asked
+    one by one, so which rows fail does not depend on the size of a batch.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             try:
-                answers, error = model(frame), None
-            except Exception as exc:  # one bad batch must not end the job
-                answers, error = [None] * len(frame), str(exc) or type(exc).__name__
-            yield frame.assign(_response=answers, _error=error)
+                answers, errors = model(frame), [None] * len(frame)
+            except Exception:  # the rows are asked one by one, so only those at fault fail
+                answers, errors = [], []
+                for i in range(len(frame)):
+                    try:
+                        answer, error = model(frame.iloc[i : i + 1])[0], None
+                    except Exception as exc:
+                        answer, error = None, str(exc) or type(exc).__name__
+                    answers.append(answer)
+                    errors.append(error)
+            yield frame.assign(_response=answers, _error=errors)
 
     answered = requests.mapInPandas(apply, schema + ", _response string, _error string")
     parsed = answered.withColumn("r", F.from_json("_response", schemas.ENRICHMENT_RESPONSE)).withColumn(
