@@ -31,6 +31,25 @@ def test_similar_items(spark, percent, k, block):
     assert similar.similar_items(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small, block", [(0, 3), (3, 3), (4, 2_000), (9, 2)])
+def test_similar_items_of_small_and_large_sets(spark, small, block):
+    rng = random.Random(small)
+    rows = [(i, rng.sample([f"t{j}" for j in range(11)], rng.randrange(1, 8))) for i in range(90)]
+    df = spark.createDataFrame(rows, "subject_id long, tags array<string>")
+    got = {(r.subject_id, r.rank): (r.partner, r.overlap) for r in similar.similar_items(df, percent=40, k=3, block=block, small=small).collect()}
+    want = {}
+    for i, t in rows:
+        near = [(-len(s & u) / len(s | u), j, len(s & u)) for j, x in rows if j != i and (s := set(t)) and (u := set(x)) and 100 * len(s & u) >= 40 * len(s | u)]
+        want |= {(i, r + 1): (j, o) for r, (_, j, o) in enumerate(sorted(near)[:3])}
+    assert got == want and len(want) > 100
+
+
+def test_small_sets_form_no_pairs(spark):
+    sets = spark.createDataFrame([(["hot", f"a{i}", f"b{i % 7}"],) for i in range(60)], "set array<string>")
+    assert similar._similar_sets(sets, 10, 2_000, 3).count() == 0
+    assert similar._similar_sets(sets, 10, 2_000, 2).count() == 60 * 59 // 2
+
+
 def plain_forest(cause):
     kids, out = {}, {}
     for i, c in cause.items():
