@@ -170,3 +170,14 @@ def test_recurring_groups(spark):
     got = {tuple(r.attendees): (r.n, r.period_days, r.regularity) for r in groups.recurring_groups(df, "id", "who", "start").collect()}
     assert got == want and want[tuple(team)][1] == 7 and len({len(g) for g in want}) == 4
     assert groups.recurring_groups(df.limit(0), "id", "who", "start").count() == 0
+
+
+def test_equal_lists_and_moments_are_one_row(spark):
+    start = datetime(2024, 1, 1, 9)
+    rows = [(i, start + timedelta(days=i % 20 // 10), [["ann", "bob"], ["bob", "ann", None], ["ann", "zoe", f"once{i}"]][i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows + [(999, start, None)], "id long, start timestamp, who array<string>")
+    often, lists, moments = groups._lists(df, "id", "who", "start", 50)
+    assert sorted((r["name"], r.n) for r in often.collect()) == [("ann", 300), ("bob", 200), ("zoe", 100)]
+    assert sorted(r.n for r in lists.collect()) == [100, 200] and moments.count() == 4
+    got = {tuple(r.attendees): (r.n, r.period_days, r.regularity) for r in groups.recurring_groups(df, "id", "who", "start", least=50).collect()}
+    assert got == {("ann", "bob"): (200, 0, 198 / 199), ("ann", "zoe"): (100, 0, 98 / 99)}

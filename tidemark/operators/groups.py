@@ -1,9 +1,12 @@
 """Recurring groups of attendees: frequent closed sets and the period at which they meet.
 
-Sets grow level by level in vertical form, as rows (set, event): a set of k attendees is extended
-by the frequent attendees of its events that come after its last one, so every set is made once,
-from its prefix. Sets with too few events go before the next level. A set is closed when no set
-of one attendee more has as many events. Each level is stored.
+Events with the same frequent attendees are one list with a count. Frequent attendees and frequent
+sets are numbered. Sets grow level by level in vertical form, as rows (list, set, attendee): a set
+of a list is extended by the attendees of the list that come after its last one, so every set is
+made once, from its prefix. Sets with too few events go before the next level. A set is closed when
+no set of one attendee more has as many events. A level is stored once, as candidates; what goes on
+is found by their counts, which are broadcast while they are few. A closed set's meetings are
+counted by moment before they are ordered.
 """
 
 from __future__ import annotations
@@ -17,39 +20,72 @@ from tidemark.session import stored
 
 #: Seconds of one chunk of a set's meetings.
 CHUNK_SECONDS = 7 * 86_400
+#: Counted rows of a table of sets up to which it is broadcast.
+FEW = 200_000
 
 
-def frequent_sets(events: DataFrame, key: str, attendees: str, least: int, largest: int) -> tuple[DataFrame, DataFrame]:
-    """(set, n) of the closed sets of up to `largest` attendees with at least `least` events, and
-    their (set, key) rows."""
-    listed = events.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.array_compact(attendees))).alias("who"))
-    often = listed.groupBy("who").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    # Attendees of an event that are frequent, in order.
-    lists = skew_join(listed, stored(often, "often"), ["who"], salt_by="key").groupBy("key").agg(F.array_sort(F.collect_list("who")).alias("all"))
-    lists = stored(lists, "lists")
-    level = stored(lists.select("key", F.explode("all").alias("_who")).select(F.array("_who").alias("set"), "key"), "level")
-    counts = [stored(level.groupBy("set").agg(F.count(F.lit(1)).alias("n")), "counts")]
-    kept = [level]
+def _by_set(rows: DataFrame, sets: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """Candidates joined with the one row of their set: broadcast after counting, else salted."""
+    if sets.count() <= FEW:
+        return rows.join(F.broadcast(sets), keys)
+    return skew_join(rows, sets, keys, salt_by="list", counts=counts)
+
+
+def _lists(events: DataFrame, key: str, attendees: str, start: str, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(who, name, n) of frequent attendees, (list, all, n) of the distinct lists of them with their
+    events, and (list, start, n) of the moments at which a list meets."""
+    listed = events.select(F.col(key).alias("key"), F.col(start).alias("start"), F.explode(F.array_distinct(F.array_compact(attendees))).alias("name"))
+    often = listed.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    often = stored(often.select(F.monotonically_increasing_id().alias("who"), "name", "n"), "often")
+    numbered = skew_join(listed, often.select("name", "who"), ["name"], salt_by="key")
+    lists = numbered.groupBy("key", "start").agg(F.array_sort(F.collect_list("who")).alias("all"))
+    moments = stored(lists.groupBy("all", "start").agg(F.count(F.lit(1)).alias("n")), "moments")
+    lists = moments.groupBy("all").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("_moments"))
+    lists = stored(lists.select(F.monotonically_increasing_id().alias("list"), "all", "n", "_moments"), "lists")
+    counts = lists.select("all", F.col("_moments").alias("n"))
+    met = skew_join(moments, lists.select("all", "list"), ["all"], salt_by="start", counts=counts).select("list", "start", "n")
+    return often, lists.select("list", "all", "n"), met
+
+
+def frequent_sets(often: DataFrame, lists: DataFrame, least: int, largest: int) -> tuple[DataFrame, DataFrame]:
+    """(id, set, n) of the closed sets of two to `largest` attendees with at least `least` events,
+    and their (list, id) rows."""
+    # A set is named by its level and a number; its prefix is a set of the level below.
+    counts = [often.select(F.col("who").alias("id"), F.array("who").alias("set"), "n")]
+    level = lists.select("list", F.explode("all").alias("id")).withColumn("last", F.col("id"))
+    candidates: list[DataFrame | None] = [None]
     # One level beyond the largest tells which of the largest are closed.
     for _ in range(largest):
-        later = F.filter("all", lambda w: w > F.element_at("set", -1))
-        longer = level.join(lists, "key").select(F.explode(later).alias("_who"), "set", "key").select(F.concat("set", F.array("_who")).alias("set"), "key")
-        count = stored(longer.groupBy("set").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least), "counts")
-        level = stored(skew_join(longer, count.select("set"), ["set"], "left_semi", salt_by="key"), "level")
-        counts.append(count)
-        kept.append(level)
+        later = F.filter("all", lambda w: w > F.col("last"))
+        made = level.join(lists, "list").select("list", F.col("id").alias("prefix"), F.explode(later).alias("last"), "n")
+        made = stored(made, "candidates")
+        count = made.groupBy("prefix", "last").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).filter(F.col("n") >= least)
+        count = count.join(counts[-1].select(F.col("id").alias("prefix"), "set"), "prefix")
+        count = count.select(F.monotonically_increasing_id().alias("id"), "prefix", "last", F.concat("set", F.array("last")).alias("set"), "n", "rows")
+        count = stored(count, "counts")
         if count.isEmpty():
             break
+        counts.append(count)
+        candidates.append(made)
+        level = _by_set(made.select("list", "prefix", "last"), count.select("prefix", "last", "id"), ["prefix", "last"], count.select("prefix", "last", F.col("rows").alias("n"))).select("list", "id", "last")
     closed, rows = None, None
-    for k, (count, level) in enumerate(zip(counts, kept, strict=True)):
-        if k == largest:
-            break
+    for k in range(1, min(largest, len(counts))):
+        count = counts[k]
         if k + 1 < len(counts):
             inside = F.explode(F.transform("set", lambda w: F.array_remove("set", w)))
             above = counts[k + 1].select(inside.alias("set"), "n").distinct()
             count = count.join(above, ["set", "n"], "left_anti")
+        # A number of its own over all levels.
+        number = (F.col("id") * F.lit(largest) + F.lit(k)).alias("id")
+        count = stored(count.select("prefix", "last", number, "set", "n", "rows"), "closed")
+        sizes = count.select("prefix", "last", F.col("rows").alias("n"))
+        found = _by_set(candidates[k].select("list", "prefix", "last"), count.select("prefix", "last", "id"), ["prefix", "last"], sizes).select("list", "id")
+        count = count.select("id", "set", "n")
         closed = count if closed is None else closed.unionAll(count)
-        rows = level if rows is None else rows.unionAll(level)
+        rows = found if rows is None else rows.unionAll(found)
+    if closed is None:
+        closed = counts[0].filter(F.lit(False))
+        rows = lists.select("list", F.col("list").alias("id")).filter(F.lit(False))
     return closed, rows
 
 
@@ -61,13 +97,19 @@ def recurring_groups(events: DataFrame, key: str, attendees: str, start: str, *,
     its share of all gaps. Events are one row each; null and repeated attendees do not count, and
     events without a start count for `n` only.
     """
-    base = stored(events.select(F.col(key).alias("key"), F.col(attendees).alias("who"), F.col(start).alias("start")), "events")
-    closed, rows = frequent_sets(base, "key", "who", least, largest)
-    closed = stored(closed.filter(F.size("set") >= 2), "closed")
-    met = skew_join(rows.filter(F.size("set") >= 2), closed.select("set"), ["set"], "left_semi", salt_by="key")
-    met = met.join(base.select("key", "start"), "key").filter(F.col("start").isNotNull())
-    gaps = carried_last(met, ["set"], time_chunk("start", CHUNK_SECONDS), ["start", "key"], F.col("start"), "before").filter(F.col("before").isNotNull())
-    gaps = gaps.groupBy("set", F.floor((F.unix_micros("start") - F.unix_micros("before")) / 86_400_000_000).alias("days")).agg(F.count(F.lit(1)).alias("m"))
-    best = gaps.groupBy("set").agg(F.min(F.struct((-F.col("m")).alias("m"), "days")).alias("b"), F.sum("m").alias("all"))
-    out = closed.join(best, "set", "left")
-    return out.select(F.col("set").alias("attendees"), "n", F.col("b.days").alias("period_days"), (-F.col("b.m") / F.col("all")).alias("regularity"))
+    often, lists, moments = _lists(events, key, attendees, start, least)
+    closed, rows = frequent_sets(often, lists, least, largest)
+    # One row a set and moment: events at one moment are zero days apart.
+    met = rows.join(moments.filter(F.col("start").isNotNull()), "list")
+    met = stored(met.groupBy("id", "start").agg(F.sum("n").alias("n")), "meetings")
+    gaps = carried_last(met, ["id"], time_chunk("start", CHUNK_SECONDS), ["start"], F.col("start"), "before")
+    days = F.floor((F.unix_micros("start") - F.unix_micros("before")) / 86_400_000_000)
+    same = F.struct(F.lit(0).cast("bigint").alias("days"), (F.col("n") - 1).alias("m"))
+    step = F.struct(days.alias("days"), F.when(F.col("before").isNotNull(), F.lit(1)).otherwise(0).cast("bigint").alias("m"))
+    gaps = gaps.select("id", F.explode(F.array(same, step)).alias("g")).filter("g.m > 0")
+    gaps = gaps.groupBy("id", "g.days").agg(F.sum("g.m").alias("m"))
+    best = gaps.groupBy("id").agg(F.min(F.struct((-F.col("m")).alias("m"), "days")).alias("b"), F.sum("m").alias("all"))
+    out = closed.join(best, "id", "left")
+    names = closed.select("id", F.explode("set").alias("who"))
+    names = skew_join(names, often.select("who", "name"), ["who"], salt_by="id").groupBy("id").agg(F.array_sort(F.collect_list("name")).alias("attendees"))
+    return out.join(names, "id").select("attendees", "n", F.col("b.days").alias("period_days"), (-F.col("b.m") / F.col("all")).alias("regularity"))

@@ -92,9 +92,8 @@ def weekly_clusters(spark, sf):
 )
 def recurring_groups(spark, sf):
     """Four attendees an order by remainders of its keys: some always meet together."""
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    o, c = F.col("event_id"), F.col("user_id")
     name = lambda letter, v: F.concat(F.lit(letter), v.cast("string"))
     who = F.array(name("a", c % 3), name("b", c % 6), name("c", o % 5), name("d", o % 40))
-    made = adapters.table(spark, sf, "orders").select("o_orderkey", who.alias("who"))
-    rows = adapters.calendar(spark, sf).join(made, F.col("event_id") == F.col("o_orderkey")).select("event_id", "start_at", "who")
+    rows = adapters.calendar(spark, sf).select("event_id", "start_at", who.alias("who"))
     return flat(groups.recurring_groups(rows, "event_id", "who", "start_at", least=20, largest=4).withColumn("regularity", F.round("regularity", 9)))
