@@ -221,3 +221,60 @@ def test_records_to_topic_folders(spark, tmp_path):
 def test_kafka_needs_a_source(spark):
     with pytest.raises(ValueError):
         read_event_stream(spark)
+
+
+def test_lifecycle_calls_the_state_little():
+    from types import SimpleNamespace
+
+    from tidemark.streaming.lifecycle import Lifecycle
+
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.rows = name, []
+
+        def exists(self):
+            calls.append((self.name, "exists"))
+            return bool(self.rows)
+
+        def get(self):
+            calls.append((self.name, "get"))
+            return (self.rows[0] if self.rows else None) if self.name == "due" else iter(self.rows)
+
+        def appendList(self, rows):
+            calls.append((self.name, "append"))
+            self.rows = self.rows + rows
+
+        def put(self, rows):
+            calls.append((self.name, "put"))
+            self.rows = list(rows)
+
+        def update(self, row):
+            calls.append((self.name, "update"))
+            self.rows = [row]
+
+        def clear(self):
+            calls.append((self.name, "clear"))
+            self.rows = []
+
+    timers = set()
+    state = lambda name, schema: State(name)
+    handle = SimpleNamespace(getListState=state, getValueState=state, registerTimer=timers.add, deleteTimer=timers.discard)
+    run = Lifecycle(300_000)
+    run.init(handle)
+    mark = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    assert not list(run.handleInputRows(("r",), iter([(2_000, 2, 1), (1_000, 1, 0), (90_000, 3, 2)]), mark(0))) and timers == {1}
+    assert len(calls) == 3
+    calls.clear()
+    assert not list(run.handleExpiredTimer(("r",), mark(50), None)) and timers == {1, 90}
+    assert run.waiting.rows == [(90_000, 3, 2)] and run.open.rows == [(1_000, 2_000)]
+    calls.clear()
+    assert [tuple(r) for r in run.handleExpiredTimer(("r",), mark(95), None)] == [("r", 1_000, 2_000, 90_000)]
+    assert sorted(calls) == [("due", "clear"), ("open", "clear"), ("open", "get"), ("waiting", "clear"), ("waiting", "get")]
+    # Nothing changes: nothing is written.
+    run.handleInputRows(("r",), iter([(96_000, 4, 0)]), mark(95))
+    run.handleExpiredTimer(("r",), mark(97), None)
+    calls.clear()
+    run.handleExpiredTimer(("r",), mark(98), None)
+    assert sorted(calls) == [("due", "update"), ("open", "get"), ("waiting", "get")]

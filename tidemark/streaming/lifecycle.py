@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.streaming.processors import frames, use_rocksdb
+from tidemark.streaming.processors import use_rocksdb
 
 OUTPUT = "run_key string, added_us long, fetched_us long, enriched_us long"
 KINDS = {"link.added": 0, "content.fetched": 1, "enrichment.completed": 2}
@@ -53,33 +52,32 @@ class Lifecycle(StatefulProcessor):
         self.open = handle.getListState("open", "added long, fetched long")
         self.due = handle.getValueState("due", "ms long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for frame in rows:
-            self.waiting.appendList(list(zip(frame["us"].tolist(), frame["ord"].tolist(), frame["kind"].tolist(), strict=True)))
-            least = int(frame["us"].min())
-            first = least if first is None else min(first, least)
-        if first is not None:
-            self._set(first // 1000)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fresh = [(r[0], r[1], r[2]) for r in rows]
+        if fresh:
+            self.waiting.appendList(fresh)
+            self._set(min(fresh)[0] // 1000, self.due.get())
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting, held, done = advance([tuple(r) for r in self.waiting.get()], [tuple(r) for r in self.open.get()], mark, self.limit)
+        before, opened = [tuple(r) for r in self.waiting.get()], [tuple(r) for r in self.open.get()]
+        waiting, held, done = advance(list(before), opened, mark, self.limit)
         held = [(a, f) for a, f in held if mark - a < self.limit]
-        for state, rows in ((self.waiting, waiting), (self.open, held)):
-            if rows:
-                state.put(rows)
-            else:
+        # Every call goes to the state's process: only what changed is written.
+        for state, old, new in ((self.waiting, before, waiting), (self.open, opened, held)):
+            if new and new != old:
+                state.put(new)
+            elif old and not new:
                 state.clear()
-        self.due.clear()
         if waiting or held:
             due = waiting[0][0] if waiting else max(a for a, _ in held) + self.limit
-            self._set(max(due // 1000, mark // 1000 + 1))
-        return frames([(key[0], *m) for m in done], ["run_key", "added_us", "fetched_us", "enriched_us"])
+            self._set(max(due // 1000, mark // 1000 + 1), None)
+        else:
+            self.due.clear()
+        return iter([Row(run_key=key[0], added_us=a, fetched_us=f, enriched_us=us) for a, f, us in done])
 
-    def _set(self, ms: int) -> None:
-        old = self.due.get() if self.due.exists() else None
+    def _set(self, ms: int, old: tuple | None) -> None:
         if old is None or ms < old[0]:
             if old is not None:
                 self.handle.deleteTimer(old[0])
@@ -101,9 +99,9 @@ def lifecycle_stream(events: DataFrame, within_seconds: int = 300, delay: str =
         events.filter(F.col("event_type").isin(*KINDS))
         .withWatermark("occurred_at", delay)
         .select(
-            F.coalesce("correlation_id", "id").alias("run_key"), "occurred_at", F.col("ord").cast("long").alias("ord"),
-            kind[F.col("event_type")].alias("kind"), F.unix_micros("occurred_at").alias("us"),
+            F.unix_micros("occurred_at").alias("us"), F.col("ord").cast("long").alias("ord"), kind[F.col("event_type")].alias("kind"),
+            F.coalesce("correlation_id", "id").alias("run_key"), "occurred_at",
         )
         .groupBy("run_key")
-        .transformWithStateInPandas(statefulProcessor=Lifecycle(within_seconds * 1_000_000), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime")
+        .transformWithState(statefulProcessor=Lifecycle(within_seconds * 1_000_000), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime")
     )
