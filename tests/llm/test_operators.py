@@ -188,6 +188,63 @@ def test_windows_are_the_cartesian_tree():
         assert starts == list(range(n - t + 1))
 
 
+def test_window_minima_of_several_ranges():
+    rng = np.random.default_rng(5)
+    h = rng.integers(1, 40, 400, dtype=np.uint64) << np.uint64(50)
+    first, last = np.array([0, 90, 100, 180, 395]), np.array([99, 92, 190, 394, 399])
+    got = list(zip(*passage_dedup.cartesian_windows(h, first, last, 9)))
+    assert all((h[l : r + 1] >= h[c]).all() for l, c, r in got)
+    for a, b in ((0, 99), (100, 190), (180, 394)):
+        starts = sorted(s for l, c, r in got if a <= l and r <= b for s in range(max(l, c - 8), min(c, r - 8) + 1))
+        assert set(starts) >= set(range(a, b - 7))
+    assert sum(min(c, r - 8) - max(l, c - 8) + 1 for l, c, r in got) == 92 + 83 + 207
+    words = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
+    for n in (1, 2, 5, 51, 90):
+        total = np.zeros(91 - n, dtype=np.uint64)
+        for j in range(n):
+            total = total * np.uint64(0xD6E8FEB86659FD93) + words[j : 91 - n + j]
+        assert (common.shingle_hashes(words, n) == common.mix(total + np.uint64(n))).all()
+
+
+def test_near_windows_are_those_of_all_pairs(monkeypatch):
+    """Every window's smallest near id; windows that agree place by place are not sorted."""
+    rng, window = np.random.default_rng(6), 9
+    base = [rng.integers(0, r, 40, dtype=np.uint32) for r in (1 << 30, 12, 1 << 30)]
+    group, ids, c1, c2, rows = [], [], [], [], []
+    for i in range(90):
+        g, n = i // 30, int(rng.integers(window, 16))
+        a = int(rng.integers(20 - n + 1, 18))
+        row = base[g][a : a + n].copy()
+        row[rng.random(n) < 0.1] = rng.integers(0, 1 << 30)
+        group.append(g), ids.append(i // 2), c1.append(18 - a), c2.append(19 - a + int(rng.random() < 0.2)), rows.append(row)
+    sorted_ = []
+    met = passage_dedup._windows_met
+    monkeypatch.setattr(passage_dedup, "_windows_met", lambda x, y, *rest: sorted_.append((x, y)) or met(x, y, *rest))
+    arrays = [np.array(x) for x in (group, ids, c1, c2)]
+    s0 = np.arange(90) * 100
+    lengths = np.array([len(r) for r in rows])
+    one, low, high, least = passage_dedup.near_windows(*arrays, s0, np.concatenate(rows), lengths, window, 75)
+    got = {s: b for _, lo, hi, b in zip(one, low, high, least) for s in range(lo, hi + 1)}
+    want = {}
+    for m, x in enumerate(rows):
+        for o, y in enumerate(rows):
+            for move in {c1[o] - c1[m], c2[o] - c2[m]} if group[m] == group[o] and ids[m] != ids[o] else ():
+                for i in range(max(0, -move), min(len(x), len(y) - move) - window + 1):
+                    a, b = set(x[i : i + window].tolist()), set(y[i + move : i + move + window].tolist())
+                    if 100 * len(a & b) >= 75 * len(a | b):
+                        s = 100 * m + i
+                        want[s] = min(want.get(s, ids[m]), ids[o])
+    assert got == want and len(want) > 100
+    assert not any((x == y).all(axis=1).any() for x, y in sorted_)
+
+
+def test_nodes_are_made_once(spark, monkeypatch):
+    plans, stored = {}, common.stored
+    monkeypatch.setattr(common, "stored", lambda frame, name: plans.setdefault(name, frame._jdf.queryExecution().executedPlan().toString()) and stored(frame, name))
+    passage_dedup.repeated_passages(spark.createDataFrame([(1, "a b c", "en", 0)], DOCS))
+    assert plans["nodes"].split("== Initial Plan ==")[-1].count("MapInArrow") == 1
+
+
 def brute_hits(doc, items, n=13):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = lambda t: word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))

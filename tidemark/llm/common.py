@@ -207,7 +207,12 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     if not len(words):
         return words
     n = min(n, len(words))
-    total = np.zeros(len(words) - n + 1, dtype=np.uint64)
-    for j in range(n):
-        total = total * _U(0xD6E8FEB86659FD93) + words[j : len(words) - n + 1 + j]
+    # The run's digits double, or grow by one word, along the bits of n.
+    total, width, base = words, 1, 0xD6E8FEB86659FD93
+    for bit in bin(n)[3:]:
+        total = total[:-width] * _U(pow(base, width, 1 << 64)) + total[width:]
+        width *= 2
+        if bit == "1":
+            total = total[:-1] * _U(base) + words[width:]
+            width += 1
     return mix(total + _U(n))

@@ -57,39 +57,51 @@ _POSITION = 28
 _U = np.uint64
 
 
+def _slid(x: np.ndarray, window: int, join: np.ufunc) -> np.ndarray:
+    """Every run of `window` values joined by an operation that may meet a value twice."""
+    width = 1
+    while 2 * width <= window:
+        x = join(x[:-width], x[width:])
+        width *= 2
+    rest = window - width
+    return join(x[: len(x) - rest], x[rest:]) if rest else x
+
+
 def cartesian_windows(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nodes (l, c, r) of the Cartesian trees over the ranges [first, last], of `least` width or more.
 
-    All trees grow together, one level at a time; a level looks its minima up in a sparse table.
-    Equal hashes are ordered by scrambled position, so runs of one token make a balanced tree.
+    A node that wide holds the minimum of some window of `least` places, and so do its parents: the
+    trees are those over the windows' minima alone. There a node reaches to the nearest smaller
+    minimum on each side, found by following those of the ones between. Equal hashes are ordered by
+    scrambled position, so runs of one token make a balanced tree.
     """
-    keep = last - first + 1 >= least
-    l, r = first[keep], last[keep]
+    starts = np.maximum(last - first + 2 - least, 0)
     none = np.zeros(0, dtype=np.int64)
-    if not len(l):
+    if not starts.sum():
         return none, none, none
     mask = _U((1 << _POSITION) - 1)
     odd = 0x9E3779B1
     key = (hashes & ~mask) | ((np.arange(len(hashes), dtype=np.uint64) * _U(odd)) & mask)
     inverse = _U(pow(odd, -1, 1 << _POSITION))
-    table = [key]
-    while 1 << len(table) <= int((r - l).max()) + 1:
-        below, half = table[-1], 1 << (len(table) - 1)
-        table.append(np.minimum(below[:-half], below[half:]))
-    height = np.frexp(np.arange(1, (1 << len(table)) + 1))[1] - 1
-    out = []
-    while len(l):
-        level = height[r - l]
-        best = np.empty(len(l), dtype=np.uint64)
-        for v in np.unique(level):
-            at = level == v
-            best[at] = np.minimum(table[v][l[at]], table[v][r[at] - (1 << v) + 1])
-        c = ((best & mask) * inverse & mask).astype(np.int64)
-        out.append((l, c, r))
-        l, r = np.concatenate([l, c + 1]), np.concatenate([c - 1, r])
-        keep = r - l + 1 >= least
-        l, r = l[keep], r[keep]
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    tree = np.repeat(np.arange(len(starts)), starts)
+    least_at = _slid(key, least, np.minimum)[np.arange(len(tree)) + np.repeat(first - np.cumsum(starts) + starts, starts)]
+    # Windows of one minimum follow each other.
+    fresh = np.flatnonzero(np.concatenate([[True], (least_at[1:] != least_at[:-1]) | (tree[1:] != tree[:-1])]))
+    key, tree = least_at[fresh], tree[fresh]
+    place = ((key & mask) * inverse & mask).astype(np.int64)
+    new = np.concatenate([[True], tree[1:] != tree[:-1]])
+    end, count = len(key), np.arange(len(key))
+    key, at = np.append(key, _U(0)), np.append(place, 0)
+
+    def smaller(to: np.ndarray) -> np.ndarray:
+        go = np.flatnonzero(key[to] > key[:-1])
+        while len(go):
+            to[go] = to[to[go]]
+            go = go[key[to[go]] > key[go]]
+        return to
+
+    left, right = smaller(np.where(new, end, count - 1)), smaller(np.where(np.append(new[1:], True), end, count + 1))
+    return np.where(left == end, first[tree], at[left] + 1), place, np.where(right == end, last[tree], at[right] - 1)
 
 
 def start_runs(shingles: np.ndarray, lengths: np.ndarray, window: int, multipliers: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -122,9 +134,13 @@ def start_runs(shingles: np.ndarray, lengths: np.ndarray, window: int, multiplie
         at = to
 
 
-def _hashes(raw: bytes | None) -> np.ndarray:
-    parts = [w.hashes for _, _, w in common.steps(pa.array([raw or b""], pa.binary()), common.BLANK)]
-    return parts[0]
+def _runs_of(found: common.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of every text's runs of n words, and how many a text has: none with fewer words."""
+    many = np.diff(found.at)
+    if len(found.hashes) < n:
+        return np.zeros(0, np.uint64), np.zeros(len(many), np.int64)
+    text = np.repeat(np.arange(len(many)), many)
+    return common.shingle_hashes(found.hashes, n)[text[: len(text) - n + 1] == text[n - 1 :]], np.maximum(many - n + 1, 0)
 
 
 def _window_rows(texts: DataFrame, words: int, functions: int) -> DataFrame:
@@ -137,9 +153,7 @@ def _window_rows(texts: DataFrame, words: int, functions: int) -> DataFrame:
         for batch in batches:
             fp = batch.column("fp").to_numpy()
             for low, high, found in common.steps(batch.column("_raw"), common.BLANK):
-                lists = [common.shingle_hashes(found.hashes[found.at[i] : found.at[i + 1]], SHINGLE) for i in range(high - low)]
-                lengths = np.array([len(x) if n >= SHINGLE else 0 for x, n in zip(lists, np.diff(found.at), strict=True)])
-                flat = np.concatenate([x[:n] for x, n in zip(lists, lengths, strict=True)]) if lists else np.zeros(0, np.uint64)
+                flat, lengths = _runs_of(found, SHINGLE)
                 for owner, v, c, s0, s1 in start_runs(flat, lengths, window, multipliers):
                     columns = [pa.array(v.view(np.int64)), pa.array(fp[low + owner])] + [pa.array(x.astype(np.int32)) for x in (c, s0, s1)]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -161,6 +175,13 @@ def _lists(column: pa.Array, *fields: str) -> Iterator[tuple[np.ndarray, ...] |
         yield None if not row.is_valid else tuple(row.values.field(f).to_numpy(zero_copy_only=False) for f in fields)
 
 
+def _flat_lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """The row of every struct in lists of structs, and the named fields of all of them."""
+    lengths = np.diff(column.offsets.to_numpy())
+    values = column.flatten()
+    return np.repeat(np.arange(len(column)), lengths), tuple(values.field(f).to_numpy(zero_copy_only=False) for f in fields)
+
+
 def _word_counts(texts: DataFrame) -> DataFrame:
     """(id, fp, n) with the number of blank-separated words of each row."""
     _, is_word = common.BLANK
@@ -194,10 +215,12 @@ def repeated_passages(
     nodes = _window_rows(common.text_bytes(rows, "fp"), words, functions)
     # Half of a text's fingerprint tells texts apart here; it halves what is shuffled.
     half = F.col("fp").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    shared = nodes.groupBy("v").agg(F.min(half).alias("_lo"), F.max(half).alias("_hi")).filter("_lo <> _hi").select("v")
     spent: list[str] = []
+    # Every node is made, dealt and sorted once.
+    held = Window.partitionBy("v")
+    nodes = nodes.withColumn("_lo", F.min(half).over(held)).withColumn("_hi", F.max(half).over(held)).filter("_lo <> _hi").drop("_lo", "_hi")
     with common.scope(spent):
-        hits = common.stored(nodes.join(shared, "v").groupBy("fp", "v", "c", "s0", "s1").agg(F.count(F.lit(1)).alias("_n")).drop("_n"), "nodes")
+        hits = common.stored(nodes.dropDuplicates(), "nodes")
 
     reps = rows.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     runs = hits.groupBy("fp").agg(F.collect_list(F.struct("v", "c", "s0", "s1")).alias("runs"))
@@ -206,15 +229,15 @@ def repeated_passages(
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, s, n = [], [], []
-            for raw, (s0, s1) in zip(batch.column("raw").to_pylist(), _lists(batch.column("runs"), "s0", "s1"), strict=True):
-                hashes = _hashes(raw)
-                at = np.flatnonzero(_covered(max(0, len(hashes) - words + 1), s0, s1, functions))
-                w.append(common.shingle_hashes(hashes, words)[at] if len(at) else np.zeros(0, np.uint64))
-                s.append(at)
-                n.append(len(at))
-            ids = np.repeat(batch.column("id").to_numpy(), n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(w).view(np.int64)), pa.array(ids), pa.array(np.concatenate(s).astype(np.int32))], names=["w", "id", "s"])
+            ids, runs = batch.column("id").to_numpy(), batch.column("runs")
+            for low, high, found in common.steps(batch.column("raw"), common.BLANK):
+                flat, lengths = _runs_of(found, words)
+                begin = np.cumsum(lengths) - lengths
+                text, (s0, s1) = _flat_lists(runs.slice(low, high - low), "s0", "s1")
+                # The starts of all texts are one line; no run leaves its text.
+                at = np.flatnonzero(_covered(len(flat), begin[text] + s0, begin[text] + np.minimum(s1, lengths[text] - 1), functions))
+                text = np.searchsorted(begin, at, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at].view(np.int64)), pa.array(ids[low + text]), pa.array((at - begin[text]).astype(np.int32))], names=["w", "id", "s"])
 
     common.remove(docs.sparkSession, spent)
     with common.scope(spent):
@@ -247,6 +270,10 @@ def _runs(rows: pa.Table) -> np.ndarray:
 def _windows_met(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
     """Which rows of two matrices of shingles are as similar as sets; nx and ny count their distinct ones."""
     both = nx + ny - _distinct(np.concatenate([x, y], axis=1))
+    return _similar(both, nx, ny, percent)
+
+
+def _similar(both: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
     return (100 * both >= percent * (nx + ny - both)) & (both > 0)
 
 
@@ -260,18 +287,9 @@ class Bits:
     bit that it lacks, or hides behind an equal one, so missing bits never exceed missing shingles."""
 
     def __init__(self, flat: np.ndarray, window: int):
-        bit = common.mix(flat)
-        one = _U(1) << (bit & _U(63))
-        self.words = [self._slid(np.where((bit >> _U(6)) & _U(3) == w, one, _U(0)), window) for w in range(4)]
-
-    @staticmethod
-    def _slid(one: np.ndarray, window: int) -> np.ndarray:
-        width = 1
-        while 2 * width <= window:
-            one = one[:-width] | one[width:]
-            width *= 2
-        rest = window - width
-        return one[: len(one) - rest] | one[rest:]
+        one = _U(1) << (flat & 63).astype(np.uint64)
+        part = (flat >> 6) & 3
+        self.words = [_slid(np.where(part == w, one, _U(0)), window, np.bitwise_or) for w in range(4)]
 
     def may_meet(self, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
         """False for pairs of windows that lack too many of each other's shingles to be as similar."""
@@ -294,57 +312,88 @@ def near_windows(
     """(id, first start, last start, smallest id) of the windows that have a near window of another
     id in their group, as runs of neighbouring starts.
 
-    Rows are sorted by group and id; `flat` holds their shingles from s0 on. Two windows are
-    compared where they are aligned at either shared minimum. Every partner is tried, smallest id
-    first, until one is near; a window goes untried only if too few of its shingles occur in any
-    other text of its group for a partner to exist. Bits tell most pairs that are not near.
+    Rows are sorted by group and id; `flat` holds their shingles (32 bits of hash) from s0 on. Two
+    windows are compared where they are aligned at either shared minimum. Every partner is tried,
+    smallest id first, until one is near; a window goes untried only if too few of its shingles
+    occur in any other text of its group for a partner to exist. Two rows are laid side by side
+    once for each alignment that differs, with all their open windows. Bits tell most pairs that
+    are not near, equal shingles at equal places most that are; sets are sorted for the others.
     """
     base = np.cumsum(lengths) - lengths
     n = lengths - window + 1
     member = np.repeat(np.arange(len(n)), n)
     inner = np.arange(len(member)) - np.repeat(np.cumsum(n) - n, n)
     at = base[member] + inner
-    span = np.arange(window)
-    steps = range(0, len(at), WINDOWS)
-    size = np.concatenate([_distinct(flat[at[i : i + WINDOWS, None] + span]) for i in steps]) if len(at) else np.zeros(0, np.int64)
-    # Shingles that two ids of the group hold; a collision of tokens only tries more.
     owner = np.repeat(np.arange(len(n)), lengths)
-    token = common.mix(flat ^ common.mix(group[owner].astype(np.uint64) + _U(1)))
-    order = np.argsort(token)
-    begin = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]])) if len(token) else np.zeros(0, np.int64)
-    holders = ids[owner][order]
-    shared = np.zeros(len(token) + 1, dtype=np.int64)
-    if len(token):
-        many = np.minimum.reduceat(holders, begin) != np.maximum.reduceat(holders, begin)
-        shared[1:][order] = np.repeat(many, np.diff(np.append(begin, len(token))))
+    # By shingle and place, so by shingle, group and id: rows are in this order.
+    place = np.sort((flat.astype(np.uint64) << _U(32)) | np.arange(len(flat), dtype=np.uint64)).view(np.int64) & 0xFFFFFFFF
+    row, token = owner[place], flat[place]
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(place)), dtype=bool), (token[1:] != token[:-1]) | (group[row[1:]] != group[row[:-1]])]))
+    end = np.append(begin[1:], len(place))[: len(begin)]
+    # Shingles that two ids of the group hold.
+    shared = np.zeros(len(flat) + 1, dtype=np.int64)
+    shared[1:][place] = np.repeat(ids[row[begin]] != ids[row[end - 1]], end - begin)
     shared = np.cumsum(shared)
-    alive = 100 * (shared[at + window] - shared[at]) >= percent * size
-    member, inner, at, size = member[alive], inner[alive], at[alive], size[alive]
+    # Where a shingle was last seen in its row: windows that hold both places have one less.
+    before = np.full(len(flat), -1, dtype=np.int32)
+    again = np.flatnonzero((token[1:] == token[:-1]) & (row[1:] == row[:-1]))
+    before[place[again + 1]] = place[again]
+    again, seen = place[again + 1], place[again]
+    low = np.maximum(again - window + 1, base[owner[again]])
+    again, seen, low = again[low <= seen], seen[low <= seen], low[low <= seen]
+    less = np.bincount(low, minlength=len(flat) + 1) - np.bincount(seen + 1, minlength=len(flat) + 1)
     size_at = np.zeros(len(flat) + 1, dtype=np.int64)
-    size_at[at] = size
-    partners = np.unique(member)
-    first = np.searchsorted(group[partners], group[member], side="left")
-    end = np.searchsorted(group[partners], group[member], side="right")
-    best = np.full(len(at), -1, dtype=np.int64)
-    bits = Bits(flat, window) if len(at) else None
-    active = np.arange(len(at))
+    size_at[at] = window - np.cumsum(less)[at]
+    alive = 100 * (shared[at + window] - shared[at]) >= percent * size_at[at]
+    size_at[at[~alive]] = 0
+    open_ = size_at > 0
+    left = np.bincount(member[alive], minlength=len(n))
+    partners = np.flatnonzero(left)
+    first = np.searchsorted(group[partners], group[partners], side="left")
+    end = np.searchsorted(group[partners], group[partners], side="right")
+    none = np.iinfo(np.int64).max
+    best_at = np.full(len(flat) + 1, none, dtype=np.int64)
+    if len(partners):
+        bits = Bits(flat, window)
+        run, run_before = (np.lib.stride_tricks.sliding_window_view(x, window) for x in (flat, before))
+    active = np.arange(len(partners))
     turn = 0
-    while len(active):
-        active = active[first[active] + turn < end[active]]
-        other = partners[first[active] + turn]
+    while len(active := active[(first[active] + turn < end[active]) & (left[partners[active]] > 0)]):
+        # Few rows meet several partners at once.
+        turns = max(1, WINDOWS // len(active))
+        other = (first[active, None] + turn + np.arange(turns)).ravel()
+        mine = np.repeat(active, turns)
+        has = np.flatnonzero(other < end[mine])
+        mine, other = partners[mine[has]], partners[other[has]]
         for c in (c1, c2):
-            mine, near = member[active], inner[active] - c[member[active]] + c[other]
-            can = np.flatnonzero((best[active] < 0) & (ids[mine] != ids[other]) & (near >= 0) & (near < n[other]))
-            x, y = at[active[can]], base[other[can]] + near[can]
-            can = can[(size_at[y] > 0) & bits.may_meet(x, y, size_at[x], size_at[y], percent)]
-            for i in range(0, len(can), WINDOWS):
-                part = can[i : i + WINDOWS]
-                x, y = at[active[part]], base[other[part]] + near[part]
-                met = part[_windows_met(flat[x[:, None] + span], flat[y[:, None] + span], size_at[x], size_at[y], percent)]
-                best[active[met]] = np.minimum(ids[mine[met]], ids[other[met]])
-        active = active[best[active] < 0]
-        turn += 1
-    found = np.flatnonzero(best >= 0)
+            move = c[other] - c[mine]
+            low, high = np.maximum(0, -move), np.minimum(n[mine], n[other] - move)
+            pair = np.flatnonzero((low < high) & (ids[mine] != ids[other]) & ((c is c1) | (move != c1[other] - c1[mine])))
+            many = high[pair] - low[pair]
+            x = np.repeat(base[mine[pair]] + low[pair] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            y = x + np.repeat(base[other[pair]] + move[pair] - base[mine[pair]], many)
+            can = np.flatnonzero(open_[x] & (size_at[y] > 0))
+            least = np.repeat(np.minimum(ids[mine[pair]], ids[other[pair]]), many)[can]
+            x, y = x[can], y[can]
+            can = bits.may_meet(x, y, size_at[x], size_at[y], percent)
+            x, y, least = x[can], y[can], least[can]
+            met = np.zeros(len(x), dtype=bool)
+            for i in range(0, len(x), WINDOWS):
+                a, b = x[i : i + WINDOWS], y[i : i + WINDOWS]
+                na, nb = size_at[a], size_at[b]
+                of_a, of_b = run[a], run[b]
+                aligned = np.count_nonzero((of_a == of_b) & (run_before[a] < a.astype(np.int32)[:, None]), axis=1)
+                near = _similar(aligned, na, nb, percent)
+                rest = np.flatnonzero(~near)
+                near[rest] = _windows_met(of_a[rest], of_b[rest], na[rest], nb[rest], percent)
+                met[i : i + WINDOWS] = near
+            np.minimum.at(best_at, x[met], least[met])
+        done = np.flatnonzero(open_ & (best_at != none))
+        open_[done] = False
+        left -= np.bincount(owner[done], minlength=len(n))
+        turn += turns
+    best = best_at[at]
+    found = np.flatnonzero(best != none)
     member, inner, best = member[found], inner[found], best[found]
     go_on = (member[1:] == member[:-1]) & (inner[1:] == inner[:-1] + 1) & (best[1:] == best[:-1])
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(found)), dtype=bool), ~go_on]))
@@ -399,15 +448,21 @@ def _near(texts: DataFrame, spans: DataFrame, words: int, window: int, enough: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fields = ("k", "chunks", "c1", "c2", "s0", "s1")
-            for one, raw, (k, chunks, c1, c2, s0, s1) in zip(batch.column("id").to_pylist(), batch.column("raw").to_pylist(), _lists(batch.column("asked"), *fields), strict=True):
-                shingles = np.ascontiguousarray(common.shingle_hashes(_hashes(raw), SHINGLE).view(np.uint8).reshape(-1, 8)[:, :TOKEN])
-                for low in range(0, len(k), 1024):
-                    part = slice(low, low + 1024)
-                    tokens = [shingles[a : b + window].tobytes() for a, b in zip(s0[part], s1[part], strict=True)]
-                    columns = [pa.array(k[part], pa.int64()), pa.array(np.full(len(tokens), one), pa.int64())]
+            ids, asked = batch.column("id").to_numpy(), batch.column("asked")
+            for low, high, found in common.steps(batch.column("raw"), common.BLANK):
+                flat, lengths = _runs_of(found, SHINGLE)
+                flat = flat.view(np.uint32)[::2]
+                text, (k, chunks, c1, c2, s0, s1) = _flat_lists(asked.slice(low, high - low), "k", "chunks", "c1", "c2", "s0", "s1")
+                begin = (np.cumsum(lengths) - lengths)[text] + s0
+                many = s1 - s0 + window
+                for at in range(0, len(k), WINDOWS):
+                    part = slice(at, at + WINDOWS)
+                    offsets = np.append(0, np.cumsum(many[part]))
+                    token = flat[np.repeat(begin[part] - offsets[:-1], many[part]) + np.arange(offsets[-1])]
+                    tokens = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * TOKEN).astype(np.int32)), pa.py_buffer(token)])
+                    columns = [pa.array(k[part], pa.int64()), pa.array(ids[low + text[part]], pa.int64())]
                     columns += [pa.array(x[part].astype(np.int32), pa.int32()) for x in (chunks, c1 - s0, c2 - s0, s0)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.binary())], names=["k", "id", "chunks", "c1", "c2", "s0", "tokens"])
+                    yield pa.RecordBatch.from_arrays([*columns, tokens], names=["k", "id", "chunks", "c1", "c2", "s0", "tokens"])
 
     cuts = texts.select("id", "fp", "raw").join(asked, "fp").mapInArrow(cut, "k long, id long, chunks int, c1 int, c2 int, s0 int, tokens binary")
     # A large group is dealt out, and every two of its chunks meet in one task.
@@ -417,11 +472,10 @@ def _near(texts: DataFrame, spans: DataFrame, words: int, window: int, enough: i
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(rows: pa.Table) -> pa.RecordBatch:
             column = {c: rows.column(c).to_numpy() for c in ("id", "c1", "c2", "s0")}
-            blobs = [x.as_buffer() for x in rows.column("tokens")]
-            flat = np.zeros((sum(b.size for b in blobs) // TOKEN, 8), np.uint8)
-            flat[:, :TOKEN] = np.concatenate([np.frombuffer(b, np.uint8) for b in blobs]).reshape(-1, TOKEN)
-            sizes = np.array([b.size // TOKEN for b in blobs])
-            one, low, high, least = near_windows(_runs(rows), *column.values(), flat.view(np.uint64).ravel(), sizes, window, percent)
+            blobs = pa.chunked_array(rows.column("tokens"), pa.large_binary()).combine_chunks()
+            where = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+            flat = np.frombuffer(blobs.buffers()[2], np.uint8)[where[0] : where[-1]].view(np.uint32)
+            one, low, high, least = near_windows(_runs(rows), *column.values(), flat, np.diff(where) // TOKEN, window, percent)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((one, low, high, least), kinds, strict=True)], names=["id", "s0", "s1", "passage_id"])
 
