@@ -47,6 +47,8 @@ ROOT = 1 << 15
 TOGETHER = 1 << 18
 #: Bytes of a shingle's hash by which windows of one group are compared.
 TOKEN = 4
+#: Bits of that hash from which sets of bits are made, one after the other.
+SHIFTS = (0, 8)
 #: Rows of one chunk of a group, rows of groups that are verified at once, and windows of one step.
 CHUNK_ROWS = 1 << 10
 TASK_ROWS = 1 << 11
@@ -293,7 +295,7 @@ class Bits:
 
     def may_meet(self, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
         """False for pairs of windows that lack too many of each other's shingles to be as similar."""
-        only_x, only_y = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
+        only_x, only_y = np.zeros(len(x), dtype=np.int16), np.zeros(len(x), dtype=np.int16)
         for word in self.words:
             a, b = word[x], word[y]
             only_x += np.bitwise_count(a & ~b)
@@ -354,7 +356,7 @@ def near_windows(
     none = np.iinfo(np.int64).max
     best_at = np.full(len(flat) + 1, none, dtype=np.int64)
     if len(partners):
-        bits = Bits(flat, window)
+        bits = [Bits(flat >> shift, window) for shift in SHIFTS]
         run, run_before = (np.lib.stride_tricks.sliding_window_view(x, window) for x in (flat, before))
     active = np.arange(len(partners))
     turn = 0
@@ -375,8 +377,9 @@ def near_windows(
             can = np.flatnonzero(open_[x] & (size_at[y] > 0))
             least = np.repeat(np.minimum(ids[mine[pair]], ids[other[pair]]), many)[can]
             x, y = x[can], y[can]
-            can = bits.may_meet(x, y, size_at[x], size_at[y], percent)
-            x, y, least = x[can], y[can], least[can]
+            for some in bits:
+                can = some.may_meet(x, y, size_at[x], size_at[y], percent)
+                x, y, least = x[can], y[can], least[can]
             met = np.zeros(len(x), dtype=bool)
             for i in range(0, len(x), WINDOWS):
                 a, b = x[i : i + WINDOWS], y[i : i + WINDOWS]
